@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, nearjoin, packing, quality
+from lectern.llm import decontaminate, nearjoin, packing, quality, secrets
 from lectern.llm.common import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,6 +32,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark; every document stays."""
+    return secrets.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in the training windows."""
     return packing.pack(docs)
@@ -41,6 +46,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
     ("packing", pack),
 ]
 

@@ -3,8 +3,8 @@
 Each rule reads a few measures of a text and votes bad, good or not at all. The votes
 of the whole table are counted by pattern (at most 3^rules patterns, whatever the
 table's size); expectation-maximisation over those counts estimates the share of good
-texts and, for each rule, how often it votes each way on good and on bad ones; a text
-is kept if its posterior probability of being good reaches a threshold and the two
+texts and of each kind of bad ones, and how often each rule votes each way on them; a
+text is kept if its posterior probability of being good reaches a threshold and the two
 hard limits of the base (50 words; repeated three-word windows over half of the words)
 hold.
 
@@ -114,48 +114,62 @@ def votes() -> Column:
     return F.concat(*[F.coalesce(v, F.lit("-")) for _, v in rules()])
 
 
-def fit(counts: dict[str, int], rounds: int = 60) -> tuple[float, list[dict[str, float]], list[dict[str, float]]]:
-    """(share of good, P(vote | good), P(vote | bad)) for each rule by expectation-maximisation.
+class Model:
+    """A mixture of one good kind of text and, for each rule, one bad kind that the rule was made for.
 
-    It starts from rules that seldom accuse a good text and often miss a bad one. Counts
-    are smoothed by one text a vote, and a rule may not come out worse than chance: its
-    bad votes stay likelier on bad texts than on good ones, and the other way round.
+    p[k][j][v]: the chance that rule j votes v on kind k; kind 0 is good. Bad texts of
+    different kinds break different rules, so one bad kind for all would hold that rules
+    which never agree are noise.
     """
-    n_rules = len(next(iter(counts), ""))
-    good = [{GOOD: 0.9, BAD: 0.02, "-": 0.08} for _ in range(n_rules)]
-    bad = [{GOOD: 0.5, BAD: 0.4, "-": 0.1} for _ in range(n_rules)]
-    share = 0.85
-    for _ in range(rounds):
-        sums = [[dict.fromkeys((GOOD, BAD, "-"), 1.0) for _ in range(n_rules)] for _ in range(2)]
-        mass = [1.0, 1.0]
-        for pattern, n in counts.items():
-            p = posterior(pattern, share, good, bad)
-            for side, w in ((0, p * n), (1, (1 - p) * n)):
-                mass[side] += w
-                for k, v in enumerate(pattern):
-                    sums[side][k][v] += w
-        share = min(0.999, max(0.5, mass[0] / (mass[0] + mass[1])))
-        good, bad = ([{v: x[v] / sum(x.values()) for v in x} for x in side] for side in sums)
-        for g, b in zip(good, bad):
-            b[BAD], g[GOOD] = max(b[BAD], g[BAD]), max(g[GOOD], b[GOOD])
-            b["-"] = g["-"] = (g["-"] + b["-"]) / 2  # silence tells nothing
-    return share, good, bad
-
-
-def posterior(pattern: str, share: float, good: list, bad: list) -> float:
-    x = math.log(share / (1 - share)) + sum(math.log(good[k][v] / bad[k][v]) for k, v in enumerate(pattern))
-    return 1 / (1 + math.exp(-max(-700, min(700, x))))
+
+    def __init__(self, n_rules: int):
+        good = {GOOD: 0.9, BAD: 0.01, "-": 0.09}
+        self.p = [[dict(good) for _ in range(n_rules)] for _ in range(n_rules + 1)]
+        for k in range(n_rules):
+            self.p[k + 1][k] = {GOOD: 0.02, BAD: 0.9, "-": 0.08}
+        self.share = [0.9] + [0.1 / max(1, n_rules)] * n_rules
+
+    def kinds(self, pattern: str) -> list[float]:
+        """P(kind | votes)."""
+        logs = [math.log(w) + sum(math.log(p[j][v]) for j, v in enumerate(pattern)) for w, p in zip(self.share, self.p)]
+        most = max(logs)
+        parts = [math.exp(x - most) for x in logs]
+        return [x / sum(parts) for x in parts]
+
+    def fit(self, counts: dict[str, int], rounds: int = 40) -> Model:
+        """Expectation-maximisation; each chance is smoothed by one text of its first value."""
+        prior = [[dict(p) for p in kind] for kind in self.p]
+        for _ in range(rounds):
+            sums = [[dict(p) for p in kind] for kind in prior]
+            mass = [1.0] * len(self.p)
+            for pattern, n in counts.items():
+                for k, w in enumerate(self.kinds(pattern)):
+                    mass[k] += w * n
+                    for j, v in enumerate(pattern):
+                        sums[k][j][v] += w * n
+            self.share = [m / sum(mass) for m in mass]
+            self.p = [[{v: x / sum(p.values()) for v, x in p.items()} for p in kind] for kind in sums]
+        return self
+
+    def p_good(self) -> Column:
+        """P(good) as an expression over the column votes."""
+
+        def log_of(k: int) -> Column:
+            x = F.lit(math.log(self.share[k]))
+            for j, p in enumerate(self.p[k]):
+                v = F.substring("votes", j + 1, 1)
+                x = x + F.when(v == GOOD, math.log(p[GOOD])).when(v == BAD, math.log(p[BAD])).otherwise(math.log(p["-"]))
+            return x
+
+        good = log_of(0)
+        rest = [F.exp(F.least(log_of(k) - good, F.lit(700.0))) for k in range(1, len(self.p))]
+        return 1 / (1 + sum(rest[1:], rest[0]))
 
 
 def model(voted: DataFrame) -> Column:
     """Fits on a frame that has a column votes; returns P(good) as an expression over votes."""
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    share, good, bad = fit(counts)
-    x = F.lit(math.log(share / (1 - share)))
-    for k in range(len(rules())):
-        v = F.substring("votes", k + 1, 1)
-        x = x + F.when(v == GOOD, math.log(good[k][GOOD] / bad[k][GOOD])).when(v == BAD, math.log(good[k][BAD] / bad[k][BAD])).otherwise(0.0)
-    return 1 / (1 + F.exp(-x))
+    return Model(len(rules())).fit(counts).p_good()
 
 
 def judge(docs: DataFrame, keep_at: float = KEEP_AT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

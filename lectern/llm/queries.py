@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, nearjoin, packing, quality
+from lectern.llm import decontaminate, licenses, lm, nearjoin, packing, quality, secrets
 from lectern.llm.common import table
 
 
@@ -13,6 +13,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "p_good")
@@ -26,7 +34,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_quality_rules, op8_ngram_jaccard_join, op9_decontamination)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_lm_scoring, op4_secret_scan, op5_quality_rules, op8_ngram_jaccard_join, op9_decontamination, op10_license_scan)}
 
 #: Words of a text as in lectern.llm.common: A-Z lowered, split at 0x20 and 0x09-0x0D.
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda w: w <> '')"""
@@ -37,6 +49,24 @@ def _shingle_rows(source: str, key: str, extra: str = "") -> str:
     from (select {key}{extra}, {_WORDS} as w from {source})"""
 
 
+def _license_sql() -> str:
+    """Dice of every unit with every template whose size is within the bounds."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(name)}, {k}, [{', '.join(map(quote, licenses.bigrams_of(t)))}])" for k, (name, t) in enumerate(licenses.TEMPLATES))
+    return f"""
+with t(license, template, g) as (values {rows}),
+d as (select doc_id, coalesce(text, '') as text from documents),
+u as (
+  select doc_id, 'line' as unit, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'x': x, 'i': i - 1}})) as s from d
+  union all select doc_id, unit, s from (select doc_id, 'paragraph' as unit, unnest(list_transform(regexp_split_to_array(text, '\n[ \x09-\x0D]*\n'), lambda x, i: {{'x': x, 'i': i - 1}})) as s from d) where contains(s.x, chr(10))
+  union all select doc_id, 'text', {{'x': text, 'i': 0}} from d where contains(text, chr(10))),
+w as (select doc_id, unit, s.i as position, list_filter(string_split(regexp_replace(lower(s.x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') as w from u),
+b as (select doc_id, unit, position, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from w where len(w) >= 2),
+m as (select doc_id, unit, position, license, template, cast(len(b) as bigint) as n_bigrams, cast(2 * len(list_intersect(b, g)) as double) / (len(b) + len(g)) as dice
+  from b join t on len(b) >= 0.6666 * len(g) and len(b) <= 1.5001 * len(g) and list_has_any(b, g))
+select * from m where dice >= 0.8 qualify row_number() over (partition by doc_id, unit, position order by dice desc, license, template) = 1"""
+
+
 ORACLES = {
     "op8_ngram_jaccard_join": f"""
 with recursive texts as (select coalesce(text, '') as text, min(doc_id) as rep, count(*) as copies from documents group by 1),
@@ -53,4 +83,5 @@ from documents d join texts t on t.text = coalesce(d.text, '') left join cls on
 with i as ({_shingle_rows("benchmark", "item_id")}), d as ({_shingle_rows("documents", "doc_id")}), n as (select item_id, count(*) as n_item from i group by 1)
 select doc_id, item_id, count(*) as n_shared, n_item, count(*) / n_item as containment from d join i using (s) join n using (item_id)
 group by doc_id, item_id, n_item having 10 * count(*) >= 8 * n_item""",
+    "op10_license_scan": _license_sql(),
 }
