@@ -31,34 +31,78 @@ from lectern.llm.common import as_bytes, workers_see_package
 WINDOW = 2048
 END_ID = 1
 SHARD_PIECES = 16_384
-_MEMO = 200_000
-#: White space that the tokenizer drops and never joins across.
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_MEMO = 150_000
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+_SAFE = re.compile(r"[\x21-\x7e" + "À-ÖØ-öø-ÿ" + r"]+\Z")
+_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 class WordIds(dict):
     """A run between white space -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and joins nothing across it, so the ids of a text
-    are those of its runs one after the other.
+    are those of its runs one after the other. Runs seen of late are remembered, in two
+    generations so that the frequent ones stay. Others go through the vocabulary's
+    merges directly: letters that normalisation only lowers are cut into parts as the
+    tokenizer cuts them, and byte 0xFF, which no UTF-8 text has, stands for the end of a
+    word. Runs with any other character are left to the tokenizer.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= _MEMO:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        back = {c: b for b, c in _byte_letters().items()}
+
+        def as_bytes(token: str) -> bytes:
+            end = token.endswith("</w>")
+            return bytes(back[c] for c in token.removesuffix("</w>")) + b"\xff" * end
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+        for pair in model["merges"]:
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            ranks.setdefault(as_bytes(left) + as_bytes(right), len(ranks) + 1)
+        ids = {as_bytes(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
+        self.id_of = np.zeros(max(ranks.values()) + 1, "<u4")
+        for token, rank in ranks.items():
+            self.id_of[rank] = ids.get(token, 0)
+        self.core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, run: bytes) -> bytes:
+        found = self.old.get(run)
+        if found is None:
+            found = self.ids_of(run.decode("utf-8", "replace"))
         if len(run) <= 40:
-            self[run] = ids
-        return ids
+            if len(self) >= _MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[run] = found
+        return found
+
+    def ids_of(self, run: str) -> bytes:
+        if not _SAFE.match(run) or "<|" in run:
+            return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        ranks: list[int] = []
+        for part in _PARTS.findall(run.lower()):
+            ranks += self.core(part.encode() + b"\xff")
+        return self.id_of[ranks].tobytes()
+
+    def encode(self, data: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, data.split()))
+
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, _SPACE.split(text))))
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable bytes for themselves, others from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -86,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
         for batch in batches:
             rows: list[tuple] = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(data.as_py().decode("utf-8", "replace")) + end
+                ids = encode(data.as_py()) + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
