@@ -117,21 +117,22 @@ def votes() -> Column:
 class Model:
     """A mixture of one good kind of text and, for each rule, one bad kind that the rule was made for.
 
-    p[k][j][v]: the chance that rule j votes v on kind k; kind 0 is good. Bad texts of
+    p[k][j][v]: the chance that rule j, where it votes, votes v on kind k; kind 0 is good.
+    No vote tells nothing. Bad texts of
     different kinds break different rules, so one bad kind for all would hold that rules
     which never agree are noise.
     """
 
     def __init__(self, n_rules: int):
-        good = {GOOD: 0.9, BAD: 0.01, "-": 0.09}
+        good = {GOOD: 0.99, BAD: 0.01}
         self.p = [[dict(good) for _ in range(n_rules)] for _ in range(n_rules + 1)]
         for k in range(n_rules):
-            self.p[k + 1][k] = {GOOD: 0.02, BAD: 0.9, "-": 0.08}
+            self.p[k + 1][k] = {GOOD: 0.05, BAD: 0.95}
         self.share = [0.9] + [0.1 / max(1, n_rules)] * n_rules
 
     def kinds(self, pattern: str) -> list[float]:
         """P(kind | votes)."""
-        logs = [math.log(w) + sum(math.log(p[j][v]) for j, v in enumerate(pattern)) for w, p in zip(self.share, self.p)]
+        logs = [math.log(w) + sum(math.log(p[j][v]) for j, v in enumerate(pattern) if v in p[j]) for w, p in zip(self.share, self.p)]
         most = max(logs)
         parts = [math.exp(x - most) for x in logs]
         return [x / sum(parts) for x in parts]
@@ -146,7 +147,8 @@ class Model:
                 for k, w in enumerate(self.kinds(pattern)):
                     mass[k] += w * n
                     for j, v in enumerate(pattern):
-                        sums[k][j][v] += w * n
+                        if v in sums[k][j]:
+                            sums[k][j][v] += w * n
             self.share = [m / sum(mass) for m in mass]
             self.p = [[{v: x / sum(p.values()) for v, x in p.items()} for p in kind] for kind in sums]
         return self
@@ -158,7 +160,7 @@ class Model:
             x = F.lit(math.log(self.share[k]))
             for j, p in enumerate(self.p[k]):
                 v = F.substring("votes", j + 1, 1)
-                x = x + F.when(v == GOOD, math.log(p[GOOD])).when(v == BAD, math.log(p[BAD])).otherwise(math.log(p["-"]))
+                x = x + F.when(v == GOOD, math.log(p[GOOD])).when(v == BAD, math.log(p[BAD])).otherwise(0.0)
             return x
 
         good = log_of(0)
