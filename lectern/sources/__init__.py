@@ -1 +1 @@
-
+"""Where payloads come from: folders, stored listings, caches, plug-ins."""
