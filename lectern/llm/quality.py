@@ -182,6 +182,8 @@ def judge(docs: DataFrame, keep_at: float = KEEP_AT, text: str = "text", doc_id:
 
 def keep_good(docs: DataFrame, keep_at: float = KEEP_AT, text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    judged = with_measures(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text")), "__row", text="__text").withColumn("votes", votes())
+    measured = with_measures(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text")), "__row", text="__text")
+    # the filter reads votes many times: inline() keeps their expressions out of it
+    judged = measured.select("*", F.inline(F.array(F.struct(votes().alias("votes")))))
     p_good = model(judged.drop("__row"))
     return judged.where(~base_failed() & (p_good >= keep_at)).select("__row.*")
