@@ -37,6 +37,8 @@ def dedupe_rolling_window(cues: DataFrame) -> DataFrame:
     """
 
     def run(pdf):
+        import pandas as pd
+
         pdf = pdf.sort_values("cue_idx", kind="stable")
         longest = max((len(t.split()) for t in pdf["text"]), default=0)
         tail: list[str] = []
@@ -50,7 +52,7 @@ def dedupe_rolling_window(cues: DataFrame) -> DataFrame:
                 texts.append(" ".join(fresh))
                 words.append(list(timed) if len(timed) == len(fresh) else [])
         out = pdf[keep].copy()
-        out["text"], out["words"] = texts, words
+        out["text"], out["words"] = pd.Series(texts, index=out.index, dtype=object), pd.Series(words, index=out.index, dtype=object)
         return out
 
     return cues.select(*[c.strip().split(" ")[0] for c in CUES.split(", ")]).groupBy(*TRACK).applyInPandas(run, CUES)

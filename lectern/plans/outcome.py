@@ -138,9 +138,11 @@ def envelope(documents: DataFrame, files: DataFrame, errors: DataFrame, warnings
     """One row of JSON: ok, results (empty where files were written), files, errors, warnings. For a run's report, whose size a run's request bounds."""
 
     def rows(df: DataFrame, value: Column, order: str) -> DataFrame:
-        return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).cast("string").alias("o"), value.alias("v")))), lambda x: x["v"]).alias("a"))
+        # maps have no order, so rows are compared by their key alone
+        by_key = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+        return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).cast("string").alias("o"), value.alias("v"))), by_key), lambda x: x["v"]).alias("a"))
 
-    trouble = F.struct(F.col("source_id").alias("source"), F.col("failure.cause").alias("message"), F.col("failure.code").alias("code"), F.col("failure.try").alias("try"), F.col("failure.context").alias("context"))
+    trouble = F.struct(redact(F.col("source_id")).alias("source"), F.col("failure.cause").alias("message"), F.col("failure.code").alias("code"), F.col("failure.try").alias("try"), F.col("failure.context").alias("context"))
     d, f = rows(documents, F.col("text"), "source_id").withColumnRenamed("a", "d"), rows(files, F.col("name"), "name").withColumnRenamed("a", "f")
     e, w = rows(errors, trouble, "source_id").withColumnRenamed("a", "e"), rows(warnings, trouble, "source_id").withColumnRenamed("a", "w")
     j = d.crossJoin(f).crossJoin(e).crossJoin(w)

@@ -1 +1 @@
-
+"""Additions beyond batch work: the same rules over streams of cues and events."""
