@@ -138,18 +138,27 @@ class Model:
         return [x / sum(parts) for x in parts]
 
     def fit(self, counts: dict[str, int], rounds: int = 40) -> Model:
-        """Expectation-maximisation; each chance is smoothed by one text of its first value."""
-        prior = [[dict(p) for p in kind] for kind in self.p]
+        """Expectation-maximisation; each chance is smoothed by one text of its first value.
+
+        Texts on which a rule does not vote tell nothing of the kind it was made for: that
+        kind's share and chances come from the texts on which it does.
+        """
+        prior, first = [[dict(p) for p in kind] for kind in self.p], list(self.share)
         for _ in range(rounds):
             sums = [[dict(p) for p in kind] for kind in prior]
-            mass = [1.0] * len(self.p)
+            mass, voted = list(first), [1.0] * len(self.p)
             for pattern, n in counts.items():
                 for k, w in enumerate(self.kinds(pattern)):
+                    if k and pattern[k - 1] not in sums[k][k - 1]:
+                        continue
                     mass[k] += w * n
+                    voted[k] += n
                     for j, v in enumerate(pattern):
                         if v in sums[k][j]:
                             sums[k][j][v] += w * n
-            self.share = [m / sum(mass) for m in mass]
+            bad = [m / v for m, v in zip(mass[1:], voted[1:])]
+            self.share = [x / max(1.0, sum(bad) / 0.95) for x in bad]
+            self.share.insert(0, 1 - sum(self.share))
             self.p = [[{v: x / sum(p.values()) for v, x in p.items()} for p in kind] for kind in sums]
         return self
 
