@@ -131,8 +131,9 @@ class Model:
         self.share = [0.9] + [0.1 / max(1, n_rules)] * n_rules
 
     def kinds(self, pattern: str) -> list[float]:
-        """P(kind | votes)."""
-        logs = [math.log(w) + sum(math.log(p[j][v]) for j, v in enumerate(pattern) if v in p[j]) for w, p in zip(self.share, self.p)]
+        """P(kind | votes). Where a rule does not vote, a text is not held to be of its kind."""
+        able = [k == 0 or pattern[k - 1] in self.p[k][k - 1] for k in range(len(self.p))]
+        logs = [math.log(w) + sum(math.log(p[j][v]) for j, v in enumerate(pattern) if v in p[j]) if ok else -math.inf for ok, w, p in zip(able, self.share, self.p)]
         most = max(logs)
         parts = [math.exp(x - most) for x in logs]
         return [x / sum(parts) for x in parts]
@@ -140,26 +141,19 @@ class Model:
     def fit(self, counts: dict[str, int], rounds: int = 40) -> Model:
         """Expectation-maximisation; each chance is smoothed by one text of its first value.
 
-        Texts on which a rule does not vote tell nothing of the kind it was made for: that
-        kind's share and chances come from the texts on which it does.
+        A kind's own rule keeps its first chances: they are what makes it that kind.
         """
         prior, first = [[dict(p) for p in kind] for kind in self.p], list(self.share)
         for _ in range(rounds):
-            sums = [[dict(p) for p in kind] for kind in prior]
-            mass, voted = list(first), [1.0] * len(self.p)
+            sums, mass = [[dict(p) for p in kind] for kind in prior], list(first)
             for pattern, n in counts.items():
                 for k, w in enumerate(self.kinds(pattern)):
-                    if k and pattern[k - 1] not in sums[k][k - 1]:
-                        continue
                     mass[k] += w * n
-                    voted[k] += n
                     for j, v in enumerate(pattern):
                         if v in sums[k][j]:
                             sums[k][j][v] += w * n
-            bad = [m / v for m, v in zip(mass[1:], voted[1:])]
-            self.share = [x / max(1.0, sum(bad) / 0.95) for x in bad]
-            self.share.insert(0, 1 - sum(self.share))
-            self.p = [[{v: x / sum(p.values()) for v, x in p.items()} for p in kind] for kind in sums]
+            self.share = [m / sum(mass) for m in mass]
+            self.p = [[prior[k][j] if k == j + 1 else {v: x / sum(p.values()) for v, x in p.items()} for j, p in enumerate(kind)] for k, kind in enumerate(sums)]
         return self
 
     def p_good(self) -> Column:
@@ -173,7 +167,7 @@ class Model:
             return x
 
         good = log_of(0)
-        rest = [F.exp(F.least(log_of(k) - good, F.lit(700.0))) for k in range(1, len(self.p))]
+        rest = [F.when(F.substring("votes", k, 1) == "-", 0.0).otherwise(F.exp(F.least(log_of(k) - good, F.lit(700.0)))) for k in range(1, len(self.p))]
         return 1 / (1 + sum(rest[1:], rest[0]))
 
 

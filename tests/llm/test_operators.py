@@ -174,7 +174,7 @@ def test_measures_equal_brute_force(spark):
 
 def test_em_learns_what_a_noisy_rule_is_worth():
     m = quality.Model(3).fit({"ggg": 900, "bbg": 60, "bgg": 5, "gbg": 30, "gg-": 5})
-    assert m.kinds("ggg")[0] > 0.9 and m.kinds("bbg")[0] < 0.5 and abs(m.kinds("---")[0] - m.share[0]) < 1e-9
+    assert m.kinds("ggg")[0] > 0.9 and m.kinds("bbg")[0] < 0.5 and m.kinds("---")[0] == 1
 
 
 SECRET = "4f9a0c7be1d2483f9a6b5c4d3e2f1a0b9c8d7e6f"
@@ -335,7 +335,7 @@ def test_pipeline(spark, tmp_path):
 
     good = [prose(120, random.Random(k)) for k in range(12)]
     item = prose(40, random.Random(99))
-    texts = [*good, good[0], good[1] + " extra", "junk%%% " * 60, good[2] + " " + item, f"{prose(100, random.Random(5))} token = \"{SECRET}\" done", None, ""]
+    texts = [*good, good[0], good[1] + " extra", "junk%%% " * 60, good[2] + " " + item, f"{prose(100, random.Random(500))} token = \"{SECRET}\" done", None, ""]
     d = str(tmp_path)
     spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
