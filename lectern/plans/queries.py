@@ -31,7 +31,7 @@ def query(sql: str | None = None):
     return keep
 
 
-def _ms(c) -> F.Column:
+def _ms(c):
     return F.round(F.col(c) * 1000).cast("long") if isinstance(c, str) else F.round(c * 1000).cast("long")
 
 
@@ -85,7 +85,7 @@ def R17_pause_paragraphs(spark, sf):
     return rows.groupBy("user_id", "run").agg(F.count("*").alias("n_events"), F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"))
 
 
-_FOLD = f"""with recursive {CONV}, p as (select source_id, cue_idx, turn, n, 400 * 0 as x, row_number() over (partition by source_id order by cue_idx) as k,
+_FOLD = f"""with recursive {CONV}, p as (select source_id, cue_idx, turn, n, row_number() over (partition by source_id order by cue_idx) as k,
 start_ms - (lag(end_ms) over (partition by source_id order by cue_idx) - 400) as gap, coalesce(regexp_matches(lag(text) over (partition by source_id order by cue_idx), '[.?!]["'')\\]}}»”’]*\\s*$'), false) as ended from conv),
 f(source_id, k, cue_idx, words, wanted, run) as (
   select source_id, k, cue_idx, n, false, 0 from p where k = 1
@@ -179,7 +179,7 @@ def R9_consume_markup(spark, sf):
     return markup.consume_markup(_marked(spark, sf)).select("source_id", "cue_idx", "text", "speaker", "turn", _ms("start").alias("start_ms"))
 
 
-@query(f"""with {CONV} select source_id, cue_idx, trim(regexp_replace(text, '^', '')) as text, upper(speaker) as named, true as turn from conv where length(speaker) between 3 and 39""")
+@query(f"""with {CONV} select source_id, cue_idx, text, upper(speaker) as named, true as turn from conv where length(speaker) between 3 and 39""")
 def R11_labels(spark, sf):
     """A leading turn mark and label, stripped."""
     rows = conv(spark, sf).select("source_id", "cue_idx", markup.read_markup(F.concat(F.lit(">> "), F.upper("speaker"), F.lit(": "), F.col("text"))).alias("r"))
@@ -276,7 +276,7 @@ def F2_languages_and_tiers(spark, sf):
 @query(f"""with {TRACKS}, g as (select source_id, case when track_idx < 5 then 0 else 1 end as k, raw_language, list({{'f': caption_format, 'u': ref, 'n': label, 't': track_idx}} order by track_idx) as e, min(track_idx) as first from tracks group by 1, 2, 3),
 x as (select source_id, k, first, raw_language, unnest(e) as e, unnest(range(0, len(e))) as j from g)
 select source_id, cast(row_number() over (partition by source_id order by k, first, j) - 1 as int) as track_idx, raw_language, e.f as caption_format, e.u as ref,
-case when k = 0 then 'manual' when suffix(raw_language, '-orig') or starts_with(raw_language, 'en') then 'asr_platform' else 'translated' end as tier from x where e.f <> 'srt' or true""")
+case when k = 0 then 'manual' when suffix(raw_language, '-orig') or starts_with(raw_language, 'en') then 'asr_platform' else 'translated' end as tier from x""")
 def S10_tracks_from_listing(spark, sf):
     """Nested listings become track rows, in listing order."""
     t = tracks(spark, sf)
