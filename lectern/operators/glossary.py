@@ -88,20 +88,23 @@ def merely_inflected(phrase: Column, term: Column, origin: Column) -> Column:
 def ngrams(passages: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     """source_id, passage_idx, i (first word), n, phrase (as written, white space and all), folded: windows of every length."""
 
-    def windows(pos: Column) -> Column:
-        # where each word begins and ends, from the lengths of words and of the gaps before them
+    def windows(words: Column, gaps: Column) -> Column:
+        # gaps[k] stands before word k, so a window is its words with the gaps inside it
         def of(n: int) -> Column:
-            last = F.size(pos) - n
-            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.substring(F.col("text"), F.get(pos, i)["a"] + 1, F.get(pos, i + n - 1)["b"] - F.get(pos, i)["a"]).alias("phrase")))).otherwise(F.array().cast("array<struct<i:int,n:int,phrase:string>>"))
+            def window(i: Column) -> Column:
+                parts = [F.get(words, i)]
+                for k in range(1, n):
+                    parts += [F.get(gaps, i + k), F.get(words, i + k)]
+                return F.struct(i.alias("i"), F.lit(n).alias("n"), F.concat(*parts).alias("phrase"))
+
+            last = F.size(words) - n
+            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).otherwise(F.array().cast("array<struct<i:int,n:int,phrase:string>>"))
 
         return F.flatten(F.array(*map(of, lengths)))
 
     word = r"(?U)[^\s\x1c-\x1f]+"
-    gaps, words = F.split(F.col("text"), word, -1), F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0))
-    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(1))), words, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    spans = F.aggregate(F.filter(zipped, lambda z: z["w"].isNotNull()), start, lambda acc, z: F.struct((acc["at"] + z["g"] + z["w"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + z["g"]).alias("a"), (acc["at"] + z["g"] + z["w"]).alias("b")))).alias("out")))["out"]
-    rows = passages.select("source_id", "passage_idx", *keep, F.explode(let(spans, windows)).alias("g"))
+    every = let(F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0)), lambda w: let(F.split(F.col("text"), word, -1), lambda g: windows(w, g)))
+    rows = passages.select("source_id", "passage_idx", *keep, F.explode(every).alias("g"))
     return rows.select("source_id", "passage_idx", *keep, "g.*").withColumn("folded", fold("phrase"))
 
 
