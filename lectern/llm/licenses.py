@@ -4,7 +4,9 @@ Lines, paragraphs (lines between blank ones, where more than one) and whole text
 normalised (lower case, runs of other than letters and digits become one space) and
 compared with licence templates as sets of word bigrams: 2 |A and B| / (|A| + |B|). A
 coefficient of t is out of reach unless |B| lies within [t / (2 - t), (2 - t) / t] of
-|A|; only templates within those bounds are compared. Rows never leave their task.
+|A|; only templates within those bounds are compared. Nor is it without one of the
+template's telling words (see :func:`telling_words`), which is looked for first: units
+without any are not cut into words. Rows never leave their task.
 
 Edge cases: null and empty texts, and units of fewer than two words, match nothing. Of
 templates that tie the first by licence and template is reported. Repeated rows are
@@ -64,24 +66,45 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+#: Words that any prose has, the last choice as telling words.
+COMMON = frozenset("a an and are as at be by for from in is it of on or other that the this to was with you".split())
+
+
 def bigrams_of(text: str) -> list[str]:
     """Distinct word bigrams of a template."""
     words = re.sub(r"[^\w]+|_", " ", text.lower()).split()
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def telling_words(grams: list[str], dice_at: float) -> list[str]:
+    """Words of a template one of which any text has that reaches dice_at with it: rare and long ones first.
+
+    Such a text shares at least dice_at / (2 - dice_at) of the template's bigrams, so it
+    misses fewer than the bigrams in which these words stand.
+    """
+    missed = (1 - dice_at / (2 - dice_at)) * len(grams) + 1e-9
+    chosen: list[str] = []
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
+        if sum(any(w in chosen for w in g.split()) for g in grams) > missed:
+            break
+        chosen.append(word)
+    return chosen
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
-def units(text: Column) -> Column:
-    """array<struct<unit, position, words>> of all units of two words or more."""
+def units(text: Column, telling: str) -> Column:
+    """array<struct<unit, position, words>> of all units that have a telling word, and two words or more."""
+    has = lambda x: F.lower(x).rlike(telling)
     lines = F.split(text, "\n")
     parts = F.split(text, r"\n[ \t-\r]*\n")
-    entry = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("position"), _words(x).alias("words"))
-    multi = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: F.contains(p["x"], F.lit("\n")))
+    entry = lambda kind: lambda x: F.struct(F.lit(kind).alias("unit"), x["i"].cast("long").alias("position"), _words(x["x"]).alias("words"))
+    numbered = lambda xs: F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: has(p["x"]))
+    multi = F.filter(numbered(parts), lambda p: F.contains(p["x"], F.lit("\n")))
     whole = F.when(F.contains(text, F.lit("\n")), F.array(text)).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.transform(lines, entry("line")), F.transform(multi, lambda p: entry("paragraph")(p["x"], p["i"])), F.transform(whole, entry("text")))
+    every = F.concat(F.transform(numbered(lines), entry("line")), F.transform(multi, entry("paragraph")), F.transform(numbered(whole), entry("text")))
     return F.filter(every, lambda u: F.size(u["words"]) >= 2)
 
 
@@ -90,7 +113,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, dice_a
     chosen = [(name, k, bigrams_of(t)) for k, (name, t) in enumerate(templates or TEMPLATES)]
     chosen = sorted((c for c in chosen if c[2]), key=lambda c: c[:2])
     low, high = dice_at / (2 - dice_at), (2 - dice_at) / dice_at
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(units(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("u"))
+    telling = sorted({w for _, _, grams in chosen for w in telling_words(grams, dice_at)})
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(telling)})(?![\p{{L}}\p{{N}}])"
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.lower("text").rlike(pattern))
+    rows = own.select("doc_id", F.explode(units(F.col("text"), pattern)).alias("u"))
     pairs = F.array_distinct(F.transform(F.slice(F.col("u.words"), F.lit(1), F.size("u.words") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("u.words"), i + 1))))
     rows = rows.select("doc_id", F.col("u.unit"), F.col("u.position"), F.inline(F.array(F.struct(pairs.alias("b")))))
     n = F.size("b")
