@@ -2,17 +2,22 @@
 
 Each page is read into text blocks, each with the path of the elements around it (tag
 and presentation: class and id without digits). The trees of all pages of a host are
-merged by path. A node's importance is one minus the entropy, in units of its greatest
+merged by path. A node's value is one minus the entropy, in units of its greatest
 possible value, with which its texts spread over the pages that have it: texts of their
-own on each page make a node important, texts that recur from page to page do not.
-Hosts with few pages lean on the tree merged over all hosts.
+own on each page make a node important, texts that recur from page to page do not. A
+text within a node has a value alike, so a notice between paragraphs is told from them.
+Values lean on the tree merged over all hosts and, where few pages tell, on one half.
 
-Branches that the markup itself declares (menus, headers, footers, asides, forms,
-scripts, and classes or ids that say so) have importance 0; blocks in an article are
-content. What is left to decide is joined with the importances, and branches below the
-threshold are removed from their page. Statistics are counts by (host, node, text) with
-partial aggregation, so a host with a third of all pages is no single task's work; html
-is read once and never shuffled, and only the blocks of undecided pages move.
+What the markup declares (boilerplate: menus, headers, footers, asides, forms, classes
+or ids that say so; content: articles) is a prior, joined with the value as odds. Its
+weight is learned by host: the share of what is declared boilerplate that the tree puts
+below what is declared content. Every block has an importance so and is removed below
+the threshold. Copies of a page count once on their host.
+
+Statistics are counts by (host, node, text) with partial aggregation, so a host with a
+third of all pages is no single task's work. Texts never move: pages are read twice, and
+only where the tree overrules the markup does a hash of 8 bytes travel to the tasks: one
+a node, and one a text that recurs over most pages of a node that stays.
 
 Edge cases: null and empty pages have an empty text. A null URL belongs to the empty
 host. Repeated rows are each extracted. An empty table gives no rows. Broken markup is
@@ -26,17 +31,22 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, workers_see_package
+from lectern.llm.common import _mix, cut, workers_see_package
 from lectern.llm.urls import split_url
 
 IMPORTANT = 0.5
-#: A host's own tree counts like this many pages of the tree over all hosts.
+#: The tree over all hosts counts like this many pages at most.
 ENOUGH_PAGES = 8
+#: Importance by markup alone: declared boilerplate, the same inside content, undeclared, content. One of .5 or more is kept where the tree knows nothing.
+PRIORS = (0.01, 0.3, 0.5, 0.95)
+#: Values of nodes and texts lie within this of 0 and 1.
+SURE = 0.005
 
 #: Elements by role, and words in a class or id that tell boilerplate.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "title", "head", "textarea", "select", "audio", "video"}
@@ -51,6 +61,7 @@ HINTS = set("ad ads adv advert adverts advertisement advertising sponsor sponsor
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"(?:\s|^)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_WITHIN = re.compile(r"/(?:article|main)(?![^/\[])")
 
 
 def _look(attributes: str) -> tuple[str, bool]:
@@ -145,61 +156,139 @@ def blocks_of(page: str) -> list[tuple[str, int, str]]:
     return out
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """(rid, page_id, url, html) -> rid, page_id, url, host, nodes (node, text hashes, distinct), text if all is decided, else blocks (node, undecided, text) of what is not boilerplate."""
+class _Nodes(dict):
+    """(path, kind of a block) -> (64-bit hash, index in PRIORS), remembered."""
+
+    def __missing__(self, key: tuple[str, int]) -> tuple[int, int]:
+        if len(self) > 100_000:
+            self.clear()
+        path, kind = key
+        look = kind + 1 if kind else int(bool(_WITHIN.search(path)))
+        found = self[key] = _hash(f"{look}{path}"), look
+        return found
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - 2**63
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
 
-        def node(path: str) -> int:
-            if len(known) > 100_000:
-                known.clear()
-            if path not in known:
-                known[path] = xxhash.xxh3_64_intdigest(path) - 2**63
-            return known[path]
+def seen(pages: DataFrame) -> DataFrame:
+    """(url, html) -> host (hash), page (hash), nodes (node, look, text hash; null once for the page itself)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Nodes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                hosts, nodes, texts, left = [], [], [], []
+                hosts, prints, nodes = [], [], []
                 for url, page in zip(part.column("url").to_pylist(), part.column("html")):
-                    found = blocks_of(page.as_py() or "")
-                    hosts.append(split_url(url)[0])
-                    nodes.append([{"node": a, "text": b} for a, b in {(node(p), xxhash.xxh3_64_intdigest(t) - 2**63) for p, _, t in found}])
-                    kept = [b for b in found if b[1]]
-                    decided = all(kind == 2 for _, kind, _ in kept)
-                    texts.append(" ".join(t for _, _, t in kept) if decided else None)
-                    left.append([] if decided else [{"node": node(p), "open": kind == 1, "text": t} for p, kind, t in kept])
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(nodes, kinds[0]), pa.array(texts, pa.string()), pa.array(left, kinds[1])], ["rid", "page_id", "url", "host", "nodes", "text", "blocks"])
-
-    kinds = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.int64())])), pa.list_(pa.struct([("node", pa.int64()), ("open", pa.bool_()), ("text", pa.string())]))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.mapInArrow(run, f"rid long, page_id {kind}, url string, host string, nodes array<struct<node:long,text:long>>, text string, blocks array<struct<node:long,open:boolean,text:string>>")
-
-
-def importances(parsed: DataFrame) -> DataFrame:
-    """(host, nodes) -> host, node, importance: the merged style trees."""
-    seen = parsed.select("host", F.inline("nodes"))
-    of_host = seen.groupBy("host", "node", "text").agg(F.count("*").alias("n"))
-    # texts of a node, each spread evenly over n of the node's m page texts: entropy log n / log m
-    own = of_host.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("e"))
-    every = of_host.groupBy("node", "text").agg(F.sum("n").alias("n")).groupBy("node").agg(F.sum("n").alias("m_all"), F.sum(F.col("n") * F.log("n")).alias("e_all"))
-    value = lambda e, m: F.when(m > 1, 1 - e / m / F.log(m)).otherwise(1.0)
-    m, few = F.col("m"), F.lit(float(ENOUGH_PAGES))
-    blended = (m * value(F.col("e"), m) + few * value(F.col("e_all"), F.col("m_all"))) / (m + few)
-    return own.join(every, "node").select("host", "node", F.when(m > 20 * few, value(F.col("e"), m)).otherwise(blended).alias("importance"))
+                    page = page.as_py() or ""
+                    found = {(*known[p, kind], _hash(t)) for p, kind, t in blocks_of(page)}
+                    found |= {(node, look, None) for node, look, _ in found}
+                    hosts.append(_hash(split_url(url)[0] or ""))
+                    prints.append(_hash(page))
+                    nodes.append([{"node": a, "look": b, "text": c} for a, b, c in found])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(prints, pa.int64()), pa.array(nodes, kind_of)], ["host", "page", "nodes"])
+
+    kind_of = pa.list_(pa.struct([("node", pa.int64()), ("look", pa.int8()), ("text", pa.int64())]))
+    return pages.select("url", "html").mapInArrow(run, "host long, page long, nodes array<struct<node:long,look:byte,text:long>>")
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """(host, page, nodes) -> host, node, look, text, n: the distinct pages of a host with a text in a node; with the node where text is null."""
+    once = pages.groupBy("host", "page").agg(F.first("nodes").alias("nodes"))
+    return once.select("host", F.inline("nodes")).groupBy("host", "node", "look", "text").agg(F.count("*").alias("n"))
+
+
+def values(counts: DataFrame) -> DataFrame:
+    """(host, node, look, text, n) -> host, node, look, m (pages), value: the merged style trees."""
+    text, n = F.col("text"), F.col("n")
+    # of a node's texts, each spread evenly over n of its m pages: the mean entropy log n / log m
+    sums = [F.sum(F.when(text.isNull(), n)).alias("m"), F.sum(F.when(text.isNotNull(), n)).alias("k"), F.sum(F.when(text.isNotNull(), n * F.log("n"))).alias("e")]
+    own = counts.groupBy("host", "node", "look").agg(*sums)
+    every = counts.groupBy("node", "text").agg(F.sum("n").alias("n")).groupBy("node").agg(*sums).select("node", *[F.col(c).alias(f"{c}_all") for c in "mke"])
+    of = lambda m, k, e: F.when(m > 1, 1 - e / k / F.log(m)).otherwise(0.0)
+    m, m_all = F.col("m"), F.col("m_all")
+    few = F.least(m_all - 1, F.lit(ENOUGH_PAGES))
+    value = ((m - 1) * of(m, F.col("k"), F.col("e")) + few * of(m_all, F.col("k_all"), F.col("e_all")) + 0.5) / (m + few)
+    return own.join(every, "node").select("host", "node", "look", "m", value.alias("value"))
+
+
+def trusts(nodes: DataFrame) -> DataFrame:
+    """values -> host, trust: the share of what the markup declares boilerplate that has a lower value than what it declares content."""
+    w, value, look = F.col("m") - 1, F.col("value"), F.col("look")
+    content = nodes.where(look == len(PRIORS) - 1).groupBy("host").agg(F.try_divide(F.sum(w * value), F.sum(w)).alias("content"))
+    declared = nodes.where(look < 2).join(content, "host")
+    below = F.sum(F.when(value < F.col("content"), w).otherwise(0))
+    return declared.where("content is not null").groupBy("host").agg(((below + ENOUGH_PAGES) / (F.sum(w) + ENOUGH_PAGES)).alias("trust"))
+
+
+def importance(value: Column, look: Column, trust: Column) -> Column:
+    """value and the markup's prior as odds, the prior's raised to trust."""
+    prior = F.element_at(F.array(*[F.lit(p) for p in PRIORS]), look.cast("int") + 1)
+    v = F.least(F.greatest(value, F.lit(SURE)), F.lit(1 - SURE))
+    odds = v / (1 - v) * F.pow(prior / (1 - prior), trust)
+    return F.round(odds / (1 + odds), 12)
+
+
+def overruled(counts: DataFrame, important: float) -> DataFrame:
+    """host, node, text: nodes (text null) where the tree decides otherwise than the markup, and texts that go from nodes that stay."""
+    nodes = values(counts)
+    nodes = nodes.join(trusts(nodes), "host", "left").withColumn("trust", F.coalesce("trust", F.lit(1.0)))
+    declared = F.element_at(F.array(*[F.lit(p >= important) for p in PRIORS]), F.col("look").cast("int") + 1)
+    nodes = nodes.withColumn("stays", importance(F.col("value"), F.col("look"), F.col("trust")) >= important)
+    turned = nodes.where(F.col("stays") != declared).select("host", "node", F.lit(None).cast("long").alias("text"))
+    shared = counts.where("text is not null and n > 1").join(nodes.where("stays").drop("look"), ["host", "node"])
+    value = ((F.col("m") - 1) * (1 - F.log("n") / F.log("m")) + 0.5) / F.col("m")
+    gone = shared.where(importance(value, F.col("look"), F.col("trust")) < important).select("host", "node", "text")
+    return turned.union(gone)
+
+
+def _key(host: np.ndarray, node: np.ndarray, text: np.ndarray) -> np.ndarray:
+    host, node, text = (np.asarray(x, np.int64).view(np.uint64) for x in (host, node, text))
+    return _mix(_mix(_mix(host) + node) + text)
+
+
+def keys_of(rows: DataFrame) -> np.ndarray:
+    """(host, node, text) as sorted hashes; a null text counts as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _key(*[batch.column(c).to_numpy() for c in ("host", "node", "text")])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    found = rows.select("host", "node", F.coalesce("text", F.lit(0)).alias("text")).mapInArrow(run, "key long").toArrow()
+    return np.unique(found.column("key").to_numpy().view(np.uint64))
+
+
+def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found if len(keys) else np.zeros(len(found), bool)
 
 
 def extract(pages: DataFrame, important: float = IMPORTANT, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of each row of pages."""
-    workers_see_package(pages.sparkSession)
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    parsed = cut(parse(rows), "pages")
-    undecided = parsed.where("text is null").select("rid", "page_id", "url", "host", F.posexplode("blocks").alias("pos", "b")).select("rid", "page_id", "url", "host", "pos", "b.*")
-    tree = importances(parsed)
-    scored = undecided.where("open").join(tree, ["host", "node"]).where(F.col("importance") >= important).select("rid", "pos", "text")
-    kept = undecided.where(~F.col("open")).select("rid", "pos", "text").union(scored)
-    joined = kept.groupBy("rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("found"))
-    open_pages = parsed.where("text is null").select("rid", "page_id", "url").join(joined, "rid", "left").select("page_id", "url", F.coalesce("found", F.lit("")).alias("text"))
-    out = parsed.where("text is not null").select("page_id", "url", "text").union(open_pages)
+    spark = pages.sparkSession
+    workers_see_package(spark)
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
+    shared = spark.sparkContext.broadcast(keys_of(overruled(cut(spread(seen(rows)), "spread"), important)))
+    declared = np.array(PRIORS) >= important
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keys = _Nodes(), shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = []
+                for url, page in zip(part.column("url").to_pylist(), part.column("html")):
+                    found = blocks_of(page.as_py() or "")
+                    nodes = [known[p, kind] for p, kind, _ in found]
+                    node = np.array([a for a, _ in nodes], np.int64)
+                    host = np.full(len(found), _hash(split_url(url)[0] or ""), np.int64)
+                    stays = declared[[b for _, b in nodes]] if found else np.zeros(0, bool)
+                    stays = (stays ^ _among(keys, _key(host, node, np.zeros_like(node)))) & ~_among(keys, _key(host, node, np.array([_hash(t) for *_, t in found], np.int64)))
+                    texts.append(" ".join(found[i][2] for i in np.flatnonzero(stays)))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -280,6 +280,20 @@ def test_html(spark):
         assert f"own text number {i} " in text and "Same on every page" not in text and text.startswith("own") and len(text) == out[100 + i]["n_chars"]
 
 
+def test_html_tree_decides_inside_articles(spark):
+    r = random.Random(8)
+    page = lambda i: f"<html><body><nav><a>Home</a></nav><article><h1>{prose(4, r)}</h1><p>{prose(30, r)}</p><p>Read more of us every week</p><div class='share-story'>{prose(20, r)}</div><div class='sponsor'>Paid for by X</div></article></body>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(30)]
+    copy = f"<article><p>{prose(12, r)}</p></article>"
+    rows += [(100 + i, f"http://c.org/{i}", copy) for i in range(30)] + [(200, "http://one.org/", page(0)), (201, "http://two.org/", page(0)), (202, "http://two.org/x", page(0))]
+    out = {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, html in rows[:30]:
+        title, first, story = (re.search(p, html)[1] for p in ("<h1>(.*?)</h1>", "<p>(.*?)</p>", "story'>(.*?)</div>"))
+        assert out[i] == f"{title} {first} {story}"
+    assert {out[100 + i] for i in range(30)} == {re.sub("<.*?>", "", copy)}
+    assert all("Read more" in out[i] and "Home" not in out[i] for i in (200, 201, 202))
+
+
 def brute_lm(texts):
     train = [(i, t) for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     counts = Counter(w for _, t in train for w in [*words_of((t or "").encode()), b""])
