@@ -8,7 +8,9 @@ Jaccard of item and window is then at least about a fifth where the item is cont
 An item is a candidate if it shares any min-wise value with a window of its class
 (one row a band; the number of bands follows from the recall wanted). Windows of all
 classes come from the same minima over blocks of 16 shingles, so a document is hashed
-once. Each candidate is verified exactly: |item and document| / |item| on the shingle
+once. Items of fewer than 8 shingles would fill too little of the smallest window; they
+are looked up by so many of their shingles that a document with threshold of the item
+has one of these. Each candidate is verified exactly: |item and document| / |item| on the shingle
 sets of the whole item and the whole document.
 
 Items travel to the tasks in blocks of at most BLOCK_ITEMS; more items mean more
@@ -60,7 +62,14 @@ class Items:
         self.minhash = MinHash(functions_for(threshold))
         self.classes: dict[int, tuple[np.ndarray, dict]] = {}
         by_class: dict[int, list[int]] = defaultdict(list)
+        self.short, self.short_bits = defaultdict(list), np.zeros(1 << _BITS, bool)
         for i, s in enumerate(self.sets):
+            if len(s) < BASE // 2:
+                some = s[: len(s) - max(1, math.ceil(threshold * len(s) - 1e-9)) + 1]
+                self.short_bits[some >> np.uint64(64 - _BITS)] = True
+                for h in some.tolist():
+                    self.short[h].append(i)
+                continue
             by_class[max(0, math.ceil(math.log2(len(s) / BASE)))].append(i)
         salt = np.arange(len(self.minhash.a), dtype=np.uint32) * np.uint32(0x9E3779B1)
         self.salt = salt[:, None]
@@ -83,6 +92,11 @@ class Items:
 
     def candidates(self, hashes: np.ndarray) -> set[int]:
         found: set[int] = set()
+        if self.short:
+            for h in hashes[self.short_bits[hashes >> np.uint64(64 - _BITS)]].tolist():
+                found.update(self.short.get(h, ()))
+        if not self.classes:
+            return found
         level, step = self.minima(hashes), 0
         for c in range(max(self.classes, default=-1) + 1):
             while step < c:  # two blocks become one of the next class's step

@@ -142,6 +142,23 @@ def test_containment_equals_brute_force(spark, docs):
     assert decontaminate.find(d.limit(0), b).count() == 0 and decontaminate.find(d, b.limit(0)).count() == 0
 
 
+def test_short_items_in_long_documents(spark):
+    r = random.Random(12)
+    items = [prose(5 + k % 8, r) for k in range(160)]
+    own = []
+    for item in items:
+        words = prose(2000, r).split(" ")
+        at = r.randrange(1900)
+        own.append(" ".join(words[:at] + item.split(" ") + words[at:]))
+    own += [prose(300, r) + " " + changed(item, 1, r) + " " + prose(300, r) for item in items]
+    expected = set()
+    for k, item in enumerate(items):
+        s = shingle_set(item)
+        expected |= {(i, k) for i in (k, k + len(items)) if len(s & shingle_set(own[i])) >= 0.8 * len(s) - 1e-9}
+    out = decontaminate.find(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in out.collect()} == expected and len(expected) >= len(items)
+
+
 def brute_measures(text):
     t = text or ""
     w = [x for x in re.split(r"[\x20\x09-\x0d]+", t) if x]
