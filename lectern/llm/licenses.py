@@ -8,6 +8,11 @@ coefficient of t is out of reach unless |B| lies within [t / (2 - t), (2 - t) /
 template's telling words (see :func:`telling_words`), which is looked for first: units
 without any are not cut into words. Rows never leave their task.
 
+Within these units, sentences and windows of a template's number of words, laid where a
+telling word would stand in it, are compared alike, with full licence texts besides. Of
+them, units ``sentence`` and ``passage``, those are reported that no reported unit covers
+by half, the largest template first; their position is the number of words before them.
+
 Edge cases: null and empty texts, and units of fewer than two words, match nothing. Of
 templates that tie the first by licence and template is reported. Repeated rows are
 each reported. An empty table gives no rows. Other columns are ignored.
@@ -15,7 +20,9 @@ each reported. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +73,9 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+#: Licences whose full text is in license_texts, numbered after the templates.
+FULL_TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "MPL-2.0")
+
 #: Words that any prose has, the last choice as telling words.
 COMMON = frozenset("a an and are as at be by for from in is it of on or other that the this to was with you".split())
 
@@ -76,6 +86,10 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    return [(name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in FULL_TEXTS]
+
+
 def telling_words(grams: list[str], dice_at: float) -> list[str]:
     """Words of a template one of which any text has that reaches dice_at with it: rare and long ones first.
 
@@ -83,49 +97,79 @@ def telling_words(grams: list[str], dice_at: float) -> list[str]:
     misses fewer than the bigrams in which these words stand.
     """
     missed = (1 - dice_at / (2 - dice_at)) * len(grams) + 1e-9
-    chosen: list[str] = []
+    chosen: set[str] = set()
     for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
-        if sum(any(w in chosen for w in g.split()) for g in grams) > missed:
+        if sum(not chosen.isdisjoint(g.split()) for g in grams) > missed:
             break
-        chosen.append(word)
-    return chosen
+        chosen.add(word)
+    return sorted(chosen)
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
-def units(text: Column, telling: str) -> Column:
-    """array<struct<unit, position, words>> of all units that have a telling word, and two words or more."""
+def units(text: Column, words: Column, telling: str, places: dict[str, list[tuple[int, int]]]) -> Column:
+    """array<struct<unit, position, start, words>> of all units that have a telling word, and two words or more; start is the number of words before."""
     has = lambda x: F.lower(x).rlike(telling)
-    lines = F.split(text, "\n")
-    parts = F.split(text, r"\n[ \t-\r]*\n")
-    entry = lambda kind: lambda x: F.struct(F.lit(kind).alias("unit"), x["i"].cast("long").alias("position"), _words(x["x"]).alias("words"))
-    numbered = lambda xs: F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: has(p["x"]))
-    multi = F.filter(numbered(parts), lambda p: F.contains(p["x"], F.lit("\n")))
+    sizes = lambda xs: F.transform(xs, lambda x: F.size(_words(x)))
+
+    def numbered(xs: Column) -> Column:
+        return let(sizes(xs), lambda n: F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.when(has(x), F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda a, k: a + k)).alias("start"))), lambda p: p["start"].isNotNull()))
+
+    def entry(kind: str):
+        position = lambda x: x["start"] if kind == "sentence" else x["i"]
+        return lambda x: F.struct(F.lit(kind).alias("unit"), position(x).cast("long").alias("position"), x["start"].alias("start"), _words(x["x"]).alias("words"))
+
+    multi = F.filter(numbered(F.split(text, r"\n[ \t-\r]*\n")), lambda p: F.contains(p["x"], F.lit("\n")))
     whole = F.when(F.contains(text, F.lit("\n")), F.array(text)).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.transform(numbered(lines), entry("line")), F.transform(multi, entry("paragraph")), F.transform(numbered(whole), entry("text")))
+    at = F.from_json(F.lit(json.dumps(places)), "map<string, array<array<int>>>")
+    anchors = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("i"), F.try_element_at(at, x).alias("p"))), lambda a: a["p"].isNotNull())
+    spans = F.flatten(F.transform(anchors, lambda a: F.transform(a["p"], lambda q: F.struct(F.greatest(a["i"] - q[0], F.lit(0)).alias("start"), (F.least(a["i"] - q[0], F.lit(0)) + q[1]).alias("size")))))
+    spans = F.array_distinct(F.filter(spans, lambda p: (p["size"] >= 2) & (3 * (F.size(words) - p["start"]) >= 2 * p["size"])))
+    passages = F.transform(spans, lambda p: F.struct(F.lit("passage").alias("unit"), p["start"].cast("long").alias("position"), p["start"].alias("start"), F.slice(words, p["start"] + 1, p["size"]).alias("words")))
+    sentences = F.transform(numbered(F.split(text, r"(?<=[.!?;:])\s+")), entry("sentence"))
+    every = F.concat(F.transform(numbered(F.split(text, "\n")), entry("line")), F.transform(multi, entry("paragraph")), F.transform(numbered(whole), entry("text")), sentences, passages)
     return F.filter(every, lambda u: F.size(u["words"]) >= 2)
 
 
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """doc_id and value, computed once a row."""
+    return rows.select("doc_id", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, dice_at: float = DICE_AT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, unit (line, paragraph or text), position, license, template, n_bigrams, dice: the best template of each unit that reaches dice_at."""
-    chosen = [(name, k, bigrams_of(t)) for k, (name, t) in enumerate(templates or TEMPLATES)]
+    """doc_id, unit (line, paragraph, text, sentence or passage), position, license, template, n_bigrams, dice: the best template of each unit that reaches dice_at."""
+    given = templates or [*TEMPLATES, *full_texts()]
+    chosen = [(name, k, bigrams_of(t), re.sub(r"[^\w]+|_", " ", t.lower()).split()) for k, (name, t) in enumerate(given)]
     chosen = sorted((c for c in chosen if c[2]), key=lambda c: c[:2])
     low, high = dice_at / (2 - dice_at), (2 - dice_at) / dice_at
-    telling = sorted({w for _, _, grams in chosen for w in telling_words(grams, dice_at)})
-    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(telling)})(?![\p{{L}}\p{{N}}])"
+    places: dict[str, list[tuple[int, int]]] = {}
+    for _, _, grams, words in chosen:
+        for w in telling_words(grams, dice_at):
+            places.setdefault(w, []).append((words.index(w), len(words)))
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(places))})(?![\p{{L}}\p{{N}}])"
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.lower("text").rlike(pattern))
-    rows = own.select("doc_id", F.explode(units(F.col("text"), pattern)).alias("u"))
-    pairs = F.array_distinct(F.transform(F.slice(F.col("u.words"), F.lit(1), F.size("u.words") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("u.words"), i + 1))))
-    rows = rows.select("doc_id", F.col("u.unit"), F.col("u.position"), F.inline(F.array(F.struct(pairs.alias("b")))))
-    n = F.size("b")
-    best = F.lit(None).cast("struct<dice:double,license:string,template:int>")
-    scored = []
-    for name, k, grams in chosen:
-        fits = n.between(math.ceil(low * len(grams) - 1e-9), math.floor(high * len(grams) + 1e-9))
-        dice = 2 * F.size(F.array_intersect("b", F.array(*map(F.lit, grams)))) / (n + len(grams))
-        scored.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"), F.lit(k).alias("template"))).otherwise(best))
-    top = F.aggregate(F.array(*scored), best, lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a)) if scored else best
-    out = rows.select("doc_id", "unit", "position", n.cast("long").alias("n_bigrams"), F.inline(F.array(F.struct(top.alias("t")))))
-    return out.where(F.col("t.dice") >= dice_at).select("doc_id", "unit", "position", "t.license", "t.template", "n_bigrams", "t.dice")
+    rows = own.select("doc_id", F.inline(F.array(F.struct("text", _words(F.col("text")).alias("w")))))
+    rows = _once(rows, units(F.col("text"), F.col("w"), pattern, places), "us")
+    pairs = lambda w: F.array_distinct(F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+    rows = _once(rows, F.transform("us", lambda u: F.struct(u["unit"], u["position"], u["start"], F.size(u["words"]).alias("size"), pairs(u["words"]).alias("b"))), "us")
+    best = F.lit(None).cast("struct<dice:double,license:string,template:int,size:int>")
+
+    def top(b: Column) -> Column:
+        n, scored = F.size(b), []
+        for name, k, grams, _ in chosen:
+            fits = n.between(math.ceil(low * len(grams) - 1e-9), math.floor(high * len(grams) + 1e-9))
+            dice = 2 * F.size(F.array_intersect(b, F.split(F.lit("|".join(grams)), r"\|"))) / (n + len(grams))
+            scored.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"), F.lit(k).alias("template"), F.lit(len(grams)).alias("size"))).otherwise(best))
+        return F.aggregate(F.array(*scored), best, lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a)) if scored else best
+
+    hits = F.transform("us", lambda u: F.struct(u["unit"], u["position"], u["start"], u["size"], F.size(u["b"]).cast("long").alias("n_bigrams"), top(u["b"]).alias("t")))
+    rows = _once(rows, F.filter(hits, lambda h: h["t"]["dice"] >= dice_at), "hits")
+    within = lambda h: h["unit"].isin("sentence", "passage")
+    order = lambda h: F.struct(-h["t"]["size"], -h["t"]["dice"], h["t"]["license"], h["t"]["template"], h["start"], h["size"], h["unit"])
+    ranked = F.array_sort(F.transform(F.filter("hits", within), lambda h: F.struct(order(h).alias("o"), h.alias("h"))))
+    shared = lambda x, y: F.least(x["start"] + x["size"], y["start"] + y["size"]) - F.greatest(x["start"], y["start"])
+    told = F.aggregate(F.transform(ranked, lambda r: r["h"]), F.filter("hits", lambda h: ~within(h)), lambda a, x: F.when(F.exists(a, lambda y: 2 * shared(x, y) >= x["size"]), a).otherwise(F.concat(a, F.array(x))))
+    out = rows.select("doc_id", F.explode(told).alias("h"))
+    return out.select("doc_id", "h.unit", "h.position", "h.t.license", "h.t.template", "h.n_bigrams", "h.t.dice")

@@ -244,6 +244,19 @@ def test_licenses_equal_brute_force(spark):
     assert got == expected and {i for i, *_ in got} == {0, 1, 2, 3, 7}
 
 
+def test_licenses_within_running_text(spark):
+    full = dict(licenses.full_texts())
+    wrap = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
+    texts = ["Copyright 2021 the authors. Licensed under the MIT License. See LICENSE for details.", prose(300) + " licensed under CC BY 4.0 " + prose(300), prose(40) + "\n" + wrap("MIT License Copyright (c) 2020 A. Person " + full["MIT"]) + "\n" + prose(40)]
+    texts += [prose(20) + " " + " ".join(full[name].split()) + " " + prose(2000) for name in licenses.FULL_TEXTS]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["template"], r["unit"]))
+    assert [x[0] for x in got[0]] == ["MIT"] and [x[0] for x in got[1]] == ["CC-BY-4.0"] and ("MIT", len(licenses.TEMPLATES) + licenses.FULL_TEXTS.index("MIT"), "passage") in got[2]
+    for k, name in enumerate(licenses.FULL_TEXTS):
+        assert (name, len(licenses.TEMPLATES) + k, "passage") in got[3 + k]
+
+
 def test_url_rules(spark):
     cases = [("https://WWW.Example.com/en/x?y", "www.example.com", "/en/x", "www.example.com/en/"), ("http://a.example.com/en/", "a.example.com", "/en/", "example.com/en/"), ("http://example.com/fr", "example.com", "/fr", "com/"), ("http://b.net/es/1#f", "b.net", "/es/1", "net/es/"), ("http://b.net/es", "b.net", "/es", None), ("http://notcom/", "notcom", "/", None), ("x.com/y", "", "", None), (None, "", "", None), ("a://b.com?q", "b.com", "", None), ("http://com/", "com", "/", "com/")]
     df = spark.createDataFrame([(i, u) for i, (u, *_) in enumerate(cases)], "page_id long, url string")
