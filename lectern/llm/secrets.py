@@ -1,7 +1,8 @@
 """Secret scans with a random forest against false positives, in DataFrame functions only.
 
 Candidates are what the pattern below matches anywhere in the whole text: private-key
-blocks, provider tokens, values assigned to telling names, and long runs that mix
+blocks (PGP's too, to their END line), provider tokens, passwords of logins in URLs,
+values assigned to telling names, and long runs that mix
 letters and digits. Each is described by its length, its character transitions, how
 much of it dictionary words cover, signs of a path, and the words next to it. A random
 forest, fitted on labelled findings (a bounded list, by default :func:`labelled_findings`)
@@ -28,13 +29,14 @@ from lectern.llm.common import let
 #: Names whose values are candidates, provider prefixes, dictionary words, telling neighbours.
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 PROVIDERS = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[\w-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*"
-KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?>(?s:.*?)-----(?=(?:BEGIN|END) ))END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?"
+URL_LOGIN = r"(?<![0-9A-Za-z+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/?#:@\"'<>]*+:"
 ASSIGNED = rf"(?i:{NAMES})[\w.-]{{0,40}}[\"']?\s{{0,4}}[:=]{{1,2}}\s{{0,4}}[\"']?"
 WORDS = "example|sample|dummy|test|demo|fake|foo|bar|baz|lorem|ipsum|change|replace|insert|enter|your|my|the|this|here|value|string|none|null|true|false|undefined|todo|redacted|hidden|masked|placeholder|password|passwd|secret|token|apikey|key|user|admin|root|login|name|default|config|env|process|get|set|self|request|response|header|param|file|path|home|usr|var|etc|bin|lib|src|main|index|module|package|version|build|release|class|function|return|import|http|https|www|com|org|net|html|json|xml|yaml|text|data|table|column|field|type|number|date|time|hash|commit|branch|license|public|private|local|host|server|client|service|system|please|note|required|optional|abc|qwerty|welcome|letmein"
 BENIGN = "example|sample|dummy|placeholder|commit|sha1|sha256|md5|checksum|digest|revision|uuid|guid|etag|isbn|doi|version|blob|tree|hash"
 TELLING = f"{NAMES}|bearer|authorization|key|login|export"
 
-PATTERN = rf"{KEY_BLOCK}|(?<![0-9A-Za-z])(?:{PROVIDERS})|{ASSIGNED}[^\s\"',;]{{6,}}|(?<![\w+/-])(?=[A-Za-z/+_-]{{0,80}}[0-9])(?=[0-9/+_-]{{0,80}}[A-Za-z])[A-Za-z0-9+/_-]{{24,}}={{0,2}}"
+PATTERN = rf"{KEY_BLOCK}|{URL_LOGIN}[^\s/?#@\"'<>]++(?=@)|(?<![0-9A-Za-z])(?:{PROVIDERS})|{ASSIGNED}[^\s\"',;]{{6,}}|(?<![\w+/-])(?=[A-Za-z/+_-]{{0,80}}[0-9])(?=[0-9/+_-]{{0,80}}[A-Za-z])[A-Za-z0-9+/_-]{{24,}}={{0,2}}"
 NEIGHBOUR_CHARS = 40
 SECRET_AT = 0.5
 _STEP = 128
@@ -59,8 +61,8 @@ def features(before: Column, value: Column, kind: Column) -> list[Column]:
         flag(value.rlike(r"^(?:\.{0,2}/|~/|[A-Za-z]:\\|https?:)|\.(?:py|js|java|html?|json|ya?ml|txt|png|jpg|so|dll|conf)$")),
         count(r"[${}<>()\[\]*]") / n,
         flag(F.lower(before).rlike(f"(?:{BENIGN})")),
-        flag(F.lower(before).rlike(f"(?:{TELLING})")),
-        flag(kind == "assigned"),
+        flag(F.lower(before).rlike(f"(?:{TELLING})") | (kind == "url")),
+        flag(kind.isin("assigned", "url")),
         flag(kind == "provider"),
         flag(value.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
     ]
@@ -85,8 +87,9 @@ def candidates(text: Column, forest: list | None) -> Column:
                         b = F.floor(i / _STEP).cast("int")
                         start = F.get(w, b) + add(F.slice(lens, b * _STEP + 1, i - b * _STEP)) + F.length(F.get(s, i))
                         assigned = F.regexp_extract(x, f"^{ASSIGNED}(.*)$", 1)
-                        kind = F.when(x.startswith("-----BEGIN"), "key_block").when(assigned != "", "assigned").when(x.rlike(f"^(?:{PROVIDERS})"), "provider").otherwise("run")
-                        value = F.when(kind == "assigned", assigned).otherwise(x)
+                        login = F.regexp_extract(x, f"^{URL_LOGIN}(.*)$", 1)
+                        kind = F.when(x.startswith("-----BEGIN"), "key_block").when(login != "", "url").when(assigned != "", "assigned").when(x.rlike(f"^(?:{PROVIDERS})"), "provider").otherwise("run")
+                        value = F.when(kind == "assigned", assigned).when(kind == "url", login).otherwise(x)
                         near = F.concat(F.right(F.get(s, i), F.lit(NEIGHBOUR_CHARS)), F.left(x, F.length(x) - F.length(value)))
                         return F.struct(F.get(s, i).alias("gap"), near.alias("before"), x.alias("match"), value.alias("value"), kind.alias("kind"), (start + F.length(x) - F.length(value)).cast("long").alias("start"), (start + F.length(x)).cast("long").alias("end"))
 

@@ -213,6 +213,20 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0), forest).count() == 0
 
 
+def test_key_blocks_and_url_logins(spark):
+    body = "\n".join(SECRET[i:] + SECRET[:i] for i in range(20)) + "\nQ9==\n"
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,9F86D081884C7D65\n\n{body}-----END RSA PRIVATE KEY-----"
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x - y\n\n{body}-----END PGP PRIVATE KEY BLOCK-----"
+    texts = [f"a {pem} b {pgp} c", "see postgres://app:k7Gq2zXw9Lp4@db.example.net:5432/x and http://h.org:80/a@b", f"-----BEGIN PRIVATE KEY----- words - {'so -- on ' * 9000}{pem} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forest = secrets.fit(spark)
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, forest).collect()}
+    assert out[0] == "a [SECRET] b [SECRET] c" and out[1] == texts[1].replace("k7Gq2zXw9Lp4", "[SECRET]")
+    assert out[2] == texts[2].replace("-----BEGIN PRIVATE KEY-----", "[SECRET]").replace(pem, "[SECRET]")
+    kinds = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["kind"]) for r in secrets.scan(df, forest).collect()}
+    assert kinds >= {(0, pem, "key_block"), (0, pgp, "key_block"), (1, "k7Gq2zXw9Lp4", "url")}
+
+
 def test_forest_holds_out(spark):
     forest = secrets.fit(spark)
     fresh = spark.createDataFrame(secrets.labelled_findings(600, seed=99), "text string, label int")
