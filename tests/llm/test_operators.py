@@ -338,6 +338,16 @@ def test_html_tree_decides_inside_articles(spark):
     assert all("Read more" in out[i] and "Home" not in out[i] for i in (200, 201, 202))
 
 
+def test_html_values_have_no_step_by_host_size(spark):
+    def value(pages):
+        half = [(f"http://h.org/{i}", f"<div>{'same' if i % 2 else f'own {i}'}</div>") for i in range(pages)]
+        rest = [(f"http://o{i % 40}.org/{i}", "<div>same</div>") for i in range(400)]
+        values = html_extract.values(html_extract.spread(html_extract.seen(spark.createDataFrame(half + rest, "url string, html string"))))
+        return values.orderBy(F.desc("m")).first()["value"]
+
+    assert abs(value(160) - value(161)) < 0.005
+
+
 def brute_lm(texts):
     train = [(i, t) for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     counts = Counter(w for _, t in train for w in [*words_of((t or "").encode()), b""])
