@@ -39,21 +39,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where none is set."""
+    """The folder that the cluster names. Only a local session, whose tasks run where the driver does, gets one of its own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lectern-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that lost executors repeat nothing before it."""
+    """Write df once to the shared folder and read it back, so that lost executors repeat nothing before it.
+
+    The application's tables go when the driver's file system closes; :func:`drop` deletes one before that.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    folder, fs = _hadoop(spark, own)
+    fs.deleteOnExit(folder)
+    return found
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`cut` returned and nothing reads any more."""
+    for df in tables:
+        at, fs = _hadoop(df.sparkSession, df.cut_path)
+        fs.delete(at, True)
+
+
+#: A key with more than this share of a join's rows is hot; there are at most as many hot keys as its inverse.
+HOT_SHARE, HOT_ROWS = 1 / 5_000, 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has at most one row a key, without any hot key in one task.
+
+    Rows of keys that hold over HOT_SHARE of left (at most 1 / HOT_SHARE keys) stay where
+    they are and meet right's rows by broadcast; all others meet by a shuffle.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__n"))
+    most = max(HOT_ROWS, left.count() * HOT_SHARE)
+    hot = counts.where(F.col("__n") >= most).select(*keys).collect()
+    if not hot:
+        return left.join(right, keys, how)
+    named = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
+    of_hot = F.broadcast(right.join(named, keys, "left_semi"))
+    return left.join(named, keys, "left_semi").join(of_hot, keys, how).unionByName(left.join(named, keys, "left_anti").join(right, keys, how))
 
 
 def let(value: Column, body) -> Column:

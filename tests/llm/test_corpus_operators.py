@@ -189,9 +189,57 @@ def test_measures_equal_brute_force(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def brute_em(patterns, rounds=200):
+    """P(good) of each pattern by expectation-maximisation over single texts."""
+    n = len(patterns[0])
+    p = {1: [{"g": 0.98, "b": 0.02} for _ in range(n)], 0: [{"g": 0.7, "b": 0.3} for _ in range(n)]}
+    share, first, start = {1: 0.9, 0: 0.1}, {1: 0.9, 0: 0.1}, {y: [dict(x) for x in p[y]] for y in p}
+
+    def good(votes):
+        of = {y: share[y] * math.prod(p[y][j][v] for j, v in enumerate(votes) if v != "-") for y in p}
+        return of[1] / (of[0] + of[1])
+
+    for _ in range(rounds):
+        w = [good(x) for x in patterns]
+        new = {y: [dict(x) for x in start[y]] for y in p}
+        for votes, x in zip(patterns, w):
+            for j, v in enumerate(votes):
+                if v != "-":
+                    new[1][j][v] += x
+                    new[0][j][v] += 1 - x
+        share = {1: (first[1] + sum(w)) / (1 + len(w)), 0: (first[0] + len(w) - sum(w)) / (1 + len(w))}
+        p = {y: [{v: k / sum(x.values()) for v, k in x.items()} for x in new[y]] for y in p}
+    return {x: good(x) for x in set(patterns)}
+
+
+def test_em_equals_brute_force():
+    r = random.Random(6)
+    texts = ["".join(r.choice("ggggggb-") for _ in range(4)) for _ in range(200)] + ["bbgg"] * 30 + ["ggbb"] * 20
+    m = quality.Model(4).fit(Counter(texts))
+    assert all(abs(m.good(x) - y) < 1e-6 for x, y in brute_em(texts).items())
+
+
 def test_em_learns_what_a_noisy_rule_is_worth():
-    m = quality.Model(3).fit({"ggg": 900, "bbg": 60, "bgg": 5, "gbg": 30, "gg-": 5})
-    assert m.kinds("ggg")[0] > 0.9 and m.kinds("bbg")[0] < 0.5 and m.kinds("---")[0] == 1
+    m = quality.Model(5).fit({"ggggg": 600, "ggggb": 300, "bbggg": 30, "bbggb": 12, "ggbbg": 25, "gg-bg": 5})
+    assert m.good("ggggb") > 0.9 and m.good("ggggg") > 0.9, "a rule that errs on a third of the good texts is outvoted"
+    assert m.good("bbggg") < 0.1 and m.good("ggbbg") < 0.1 and m.good("bbggb") < 0.1
+    (_, noisy), (hits, sure) = m.accuracies()[4], m.accuracies()[0]
+    assert 0.6 < noisy < 0.72 and sure > 0.98 and hits > 0.4 and abs(m.weight(4, "b")) < 0.7 < abs(m.weight(0, "b"))
+
+
+def test_a_noisy_rule_loses_on_texts(spark):
+    # a third of the good texts break their lines anywhere: one bad vote each, and kept
+    texts = [prose(90 + k) + "." if k % 3 else "\n".join(prose(20) for _ in range(5)) for k in range(90)] + [" ".join(w + "%%%" for w in prose(80).split()) for _ in range(9)] + [" ".join(w.upper() + "!!" for w in prose(80).split()).replace("W", "WORD") for _ in range(9)]
+    rows = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(r["kept"] == (r["doc_id"] < 90) for r in rows)
+    assert sum("b" in r["votes"] for r in rows[:90]) >= 30
+
+
+def test_repeated_windows_are_compared_by_words(spark):
+    texts = [t for t in QUALITY if len((t or "").split()) < 400]
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), quality.SPACE), "")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", quality._repeat_words(words, 50).alias("n")).orderBy("doc_id")
+    assert [r["n"] for r in df.collect()] == [brute_measures(t)[4] for t in texts]
 
 
 SECRET = "4f9a0c7be1d2483f9a6b5c4d3e2f1a0b9c8d7e6f"
