@@ -58,7 +58,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     own = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}"
     path = f"{own}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.cut_path = path
     folder, fs = _hadoop(spark, own)
@@ -83,15 +83,19 @@ def drop(*tables: DataFrame) -> None:
 HOT_SHARE, HOT_ROWS = 1 / 5_000, 1_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str]) -> list:
+    """counts(keys, n) -> the keys that hold over HOT_SHARE of all rows, at most 1 / HOT_SHARE."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") >= max(HOT_ROWS, total * HOT_SHARE)).select(*keys).collect()
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has at most one row a key, without any hot key in one task.
 
-    Rows of keys that hold over HOT_SHARE of left (at most 1 / HOT_SHARE keys) stay where
-    they are and meet right's rows by broadcast; all others meet by a shuffle.
+    Rows of left with hot keys stay where they are and meet right's rows by broadcast;
+    all others meet by a shuffle. counts(keys, n) are left's, where they are known.
     """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("__n"))
-    most = max(HOT_ROWS, left.count() * HOT_SHARE)
-    hot = counts.where(F.col("__n") >= most).select(*keys).collect()
+    hot = hot_keys(left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts, keys)
     if not hot:
         return left.join(right, keys, how)
     named = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
