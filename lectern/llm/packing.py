@@ -6,13 +6,17 @@ with the least room that still holds them, found in a segment tree indexed by ro
 
 Pieces are dealt by a hash into shards of about ``shard_pieces`` each, so that memory
 and the sequential part of one task are bounded while the number of shards grows with
-the corpus. Each shard leaves at most a few windows with much room, a share of the
-order of 1 / shard_pieces. Only (document, start, length, checksum) rows are shuffled,
-never ids; :func:`sequences` joins ids to their places where they are wanted.
+the corpus: with its documents and with the bytes of its texts, so that a few enormous
+documents are many shards too. A piece's hash takes in its place in its task, so that
+rows alike in id and text do not share a shard. Each shard leaves at most a few windows
+with much room, a share of the order of 1 / shard_pieces. Only (document, start,
+length, checksum) rows are shuffled, never ids; :func:`sequences` joins ids to their
+places where they are wanted.
 
 Edge cases: a null or empty text is one piece of the end id alone. Rows that repeat,
-doc_id included, are packed as often as they occur. A null doc_id is kept. An empty
-table gives no rows. Other columns are ignored.
+doc_id included, are packed as often as they occur. A null doc_id is kept, and ids of
+any size beside it stay as they are. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from lectern.llm.common import as_bytes, workers_see_package
 WINDOW = 2048
 END_ID = 1
 SHARD_PIECES = 16_384
+#: What shards are counted by: texts have about as many bytes an id. No bound rests on it.
+BYTES_AN_ID = 4
 _MEMO = 150_000
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _SAFE = re.compile(r"[\x21-\x7e" + "À-ÖØ-öø-ÿ" + r"]+\Z")
@@ -121,31 +127,35 @@ def encoder(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (and ids as array<int>)."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, nth (in its task; or ids as array<int> instead)."""
     workers_see_package(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids" if with_ids else "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode, nth = encoder(vocabulary).encode, 0
         for batch in batches:
-            rows: list[tuple] = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(data.as_py()) + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    rows.append((key, start, len(part) // 4, zlib.crc32(part), total, part))
-            cols = list(zip(*rows)) or [()] * 6
-            arrays = [pa.array(c, t) for c, t in zip(cols[:5], [batch.column(0).type, *[pa.int64()] * 4])]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                flat = np.frombuffer(b"".join(cols[5]), "<u4").astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[2]]), pa.int32()), pa.array(flat)))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows: list[tuple] = []
+                for row, data in enumerate(part.column(1)):
+                    ids = encode(data.as_py()) + end
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        own = ids[4 * start : 4 * (start + window)]
+                        rows.append((row, start, len(own) // 4, zlib.crc32(own), total, own if with_ids else nth))
+                        nth += 1
+                cols = list(zip(*rows)) or [()] * 6
+                arrays = [part.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:5]]]
+                if with_ids:
+                    flat = np.frombuffer(b"".join(cols[5]), "<u4").astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[2]]), pa.int32()), pa.array(flat)))
+                else:
+                    arrays.append(pa.array(cols[5], pa.int64()))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, " + ("ids array<int>" if with_ids else "nth long")
     return docs.select(F.col(doc_id).alias("doc_id"), as_bytes(F.col(text)).alias("data")).mapInArrow(run, schema)
 
 
@@ -203,31 +213,44 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def place(parts: DataFrame, n_shards: int, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to piece rows that have doc_id, start, length."""
-    names = [c for c in parts.columns if c != "ids"]
+    """Adds sequence_id and offset to the piece rows of :func:`pieces`, which nth leaves."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
-    def run(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        where, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
-        pdf["sequence_id"] = (pdf["shard"].to_numpy() << 32) + where
-        pdf["offset"] = offset
-        return pdf[[*names, "sequence_id", "offset"]]
+    def run(table: pa.Table) -> pa.Table:
+        # Arrow keeps ids as they are, also beside nulls
+        table = table.sort_by([("length", "descending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("nth", "ascending")])
+        where, offset = best_fit_decreasing(table.column("length").to_numpy(), window)
+        shard = table.column("shard").to_numpy()
+        table = table.select(names).append_column("sequence_id", pa.array((shard << 32) + where))
+        return table.append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name in names) + ", sequence_id long, offset long"
-    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.lit(7)), F.lit(n_shards))
-    return parts.select(*names, shard.alias("shard")).groupBy("shard").applyInPandas(run, schema)
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth", F.lit(7)), F.lit(n_shards))
+    return parts.withColumn("shard", shard).groupBy("shard").applyInArrow(run, schema)
+
+
+def n_shards(docs: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, text: str = "text") -> int:
+    """How many shards of about shard_pieces pieces the documents make."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(1, round((n + size / (BYTES_AN_ID * window)) / shard_pieces))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
     parts = pieces(docs, vocabulary or default_vocabulary(), window, end_id)
-    return place(parts, max(1, round(docs.count() / shard_pieces)), window)
+    return place(parts, n_shards(docs, window, shard_pieces), window)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, pad_id: int = 0) -> DataFrame:
-    """sequence_id, input_ids (array<int>, padded to window unless a power of two), doc_starts: the packed sequences themselves."""
-    parts = pieces(docs, vocabulary or default_vocabulary(), window, end_id, with_ids=True).dropDuplicates(["doc_id", "start", "ids_crc32"])
-    rows = placed.join(parts.select("doc_id", "start", "ids_crc32", "ids"), ["doc_id", "start", "ids_crc32"])
+    """sequence_id, input_ids (array<int>, padded to window unless a power of two), doc_starts: the packed sequences themselves.
+
+    placed is what :func:`pack` returns for docs with the same parameters; rows alike in
+    doc_id and text have the same ids, so one of them serves all.
+    """
+    keys = ["doc_id", "start", "ids_crc32"]
+    parts = pieces(docs, vocabulary or default_vocabulary(), window, end_id, with_ids=True).groupBy(*keys).agg(F.first("ids").alias("ids"))
+    parts = parts.select(*[F.col(k).alias(f"own_{k}") for k in keys], "ids")
+    rows = placed.join(parts, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys])
     seq = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     flat = F.flatten(F.transform("p", lambda x: x["ids"]))
     n = F.size("raw")

@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -46,31 +49,56 @@ def test_best_fit_decreasing_equals_brute_force(lengths):
         assert [a for a, _ in parts] == list(np.cumsum([0, *[n for _, n in parts]])[:-1])
 
 
+BIG = 9007199254740993  # over 2^53: floats would change it
+ROWS = [(1, "one two three"), (1, "one two three"), (2, None), (None, ""), (None, "null id " * 90), (None, None), (BIG, "big " * 70), (BIG + 2, "bigger"), (3, "word " * 5000), (4, "ümlaut’s 東京 \u0000 x")]
+
+
 @pytest.fixture()
 def docs(spark):
-    rows = [(1, "one two three"), (1, "one two three"), (2, None), (None, ""), (3, "word " * 5000), (4, "ümlaut’s 東京 \u0000 x")]
-    return spark.createDataFrame([(i, t, t, 5) for i, t in rows], "doc_id long, text string, length string, ids int")
-
-
-def test_pack_covers_every_id_once(spark, docs):
-    placed = packing.pack(docs, window=64, shard_pieces=4).toPandas()
-    import zlib
-
-    for doc_id, text in [(2, ""), (3, "word " * 5000), (4, "ümlaut’s 東京 \u0000 x")]:
-        ids = [*expected(text), 1]
-        own = placed[placed.doc_id == doc_id].sort_values("start")
-        assert own.doc_tokens.eq(len(ids)).all() and own.length.sum() == len(ids)
-        for r in own.itertuples():
-            assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
-    assert len(placed[placed.doc_id == 1]) == 2
-    for _, seq in placed.sort_values("offset").groupby("sequence_id"):
-        assert seq.offset.tolist() == np.cumsum([0, *seq.length])[:-1].tolist() and seq.length.sum() <= 64
+    return spark.createDataFrame([(i, t, t, 5) for i, t in ROWS], "doc_id long, text string, length string, ids int").repartition(2)
+
+
+@pytest.mark.parametrize("shard_pieces", [4, 16384])
+def test_pack_covers_every_id_once(spark, docs, shard_pieces):
+    placed = packing.pack(docs, window=64, shard_pieces=shard_pieces).collect()
+    wanted = Counter()
+    for doc_id, text in ROWS:
+        ids = [*expected(text or ""), 1]
+        for at in range(0, len(ids), 64):
+            part = ids[at : at + 64]
+            wanted[doc_id, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in placed) == wanted
+    by = defaultdict(list)
+    for r in placed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for seq in by.values():
+        at = 0
+        for offset, length in sorted(seq):
+            assert offset == at
+            at += length
+        assert at <= 64
     assert packing.pack(docs.limit(0)).count() == 0
+    assert shard_pieces > 4 or len({r["sequence_id"] >> 32 for r in placed}) > 4
+
+
+def test_rows_alike_do_not_share_a_shard(spark):
+    docs = spark.createDataFrame([(7, "same")] * 400, "doc_id long, text string")
+    shards = Counter(r["sequence_id"] >> 32 for r in packing.pack(docs, shard_pieces=50).collect())
+    assert len(shards) == 8 and max(shards.values()) < 100
+
+
+def test_a_long_document_is_many_shards(spark):
+    assert packing.n_shards(spark.createDataFrame([(1, "word " * 50_000)], "doc_id long, text string"), window=64, shard_pieces=100) > 5
 
 
 def test_sequences(spark, docs):
-    docs = docs.where("doc_id > 1")
-    out = packing.sequences(docs, packing.pack(docs, window=64), window=64, pad_id=0).toPandas()
-    assert all(len(x) == 64 or len(x) & (len(x) - 1) == 0 for x in out.input_ids)
-    total = sum(len(expected(t)) + 1 for t in ("", "word " * 5000, "ümlaut’s 東京 \u0000 x"))
-    assert sum((np.array(x) > 0).sum() for x in out.input_ids) == total
+    placed = packing.pack(docs, window=64).cache()
+    out = packing.sequences(docs, placed, window=64, pad_id=0).collect()
+    assert all(len(x["input_ids"]) == 64 or len(x["input_ids"]) & (len(x["input_ids"]) - 1) == 0 for x in out)
+    crcs = Counter()
+    of = {x["sequence_id"]: x["input_ids"] for x in out}
+    for r in placed.collect():
+        own = of[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert zlib.crc32(np.array(own, "<u4").tobytes()) == r["ids_crc32"]
+        crcs[r["doc_id"]] += len(own)
+    assert sum(crcs.values()) == sum(len(expected(t or "")) + 1 for _, t in ROWS) and crcs[BIG] and crcs[BIG + 2]
