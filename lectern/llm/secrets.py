@@ -2,8 +2,8 @@
 
 Candidates are what the pattern below matches anywhere in the whole text: private-key
 blocks (PGP's too, to their END line), provider tokens, passwords of logins in URLs,
-values assigned to telling names, and long runs that mix
-letters and digits. Each is described by its length, its character transitions, how
+values assigned to telling names (up to the closing quote where there is one), and runs
+of 24 characters or more that mix letters and digits. Each is described by its length, its character transitions, how
 much of it dictionary words cover, signs of a path, and the words next to it. A random
 forest, fitted on labelled findings (a bounded list, by default :func:`labelled_findings`)
 and compiled to a DataFrame expression, tells secrets from look-alikes. Rows never leave
@@ -31,12 +31,16 @@ NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|
 PROVIDERS = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[\w-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*"
 KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?>(?s:.*?)-----(?=(?:BEGIN|END) ))END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?"
 URL_LOGIN = r"(?<![0-9A-Za-z+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/?#:@\"'<>]*+:"
-ASSIGNED = rf"(?i:{NAMES})[\w.-]{{0,40}}[\"']?\s{{0,4}}[:=]{{1,2}}\s{{0,4}}[\"']?"
+ASSIGNED = rf"(?<![\w.-])(?=[\w.-]*?(?i:{NAMES}))[\w.-]++[\"']?\s*+[:=]{{1,2}}\s*+"
+#: A value up to its closing quote in the line, else up to white space or a separator.
+ASSIGNED_VALUE = r"(?:\"[^\"\n]{6,}+(?=\")|'[^'\n]{6,}+(?=')|[\"']?[^\s\"',;]{6,}+)"
+#: 24 characters or more of keys and hashes with a letter and a digit among them, wherever these are.
+RUN = r"(?<![\w+/-])(?=[A-Za-z/+_-]*+[0-9])(?=[0-9/+_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2}"
 WORDS = "example|sample|dummy|test|demo|fake|foo|bar|baz|lorem|ipsum|change|replace|insert|enter|your|my|the|this|here|value|string|none|null|true|false|undefined|todo|redacted|hidden|masked|placeholder|password|passwd|secret|token|apikey|key|user|admin|root|login|name|default|config|env|process|get|set|self|request|response|header|param|file|path|home|usr|var|etc|bin|lib|src|main|index|module|package|version|build|release|class|function|return|import|http|https|www|com|org|net|html|json|xml|yaml|text|data|table|column|field|type|number|date|time|hash|commit|branch|license|public|private|local|host|server|client|service|system|please|note|required|optional|abc|qwerty|welcome|letmein"
 BENIGN = "example|sample|dummy|placeholder|commit|sha1|sha256|md5|checksum|digest|revision|uuid|guid|etag|isbn|doi|version|blob|tree|hash"
 TELLING = f"{NAMES}|bearer|authorization|key|login|export"
 
-PATTERN = rf"{KEY_BLOCK}|{URL_LOGIN}[^\s/?#@\"'<>]++(?=@)|(?<![0-9A-Za-z])(?:{PROVIDERS})|{ASSIGNED}[^\s\"',;]{{6,}}|(?<![\w+/-])(?=[A-Za-z/+_-]{{0,80}}[0-9])(?=[0-9/+_-]{{0,80}}[A-Za-z])[A-Za-z0-9+/_-]{{24,}}={{0,2}}"
+PATTERN = rf"{KEY_BLOCK}|{URL_LOGIN}[^\s/?#@\"'<>]++(?=@)|(?<![0-9A-Za-z])(?:{PROVIDERS})|{ASSIGNED}{ASSIGNED_VALUE}|{RUN}"
 NEIGHBOUR_CHARS = 40
 SECRET_AT = 0.5
 _STEP = 128
@@ -65,6 +69,7 @@ def features(before: Column, value: Column, kind: Column) -> list[Column]:
         flag(kind.isin("assigned", "url")),
         flag(kind == "provider"),
         flag(value.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
+        count(r"\s") / n,
     ]
 
 
@@ -86,7 +91,7 @@ def candidates(text: Column, forest: list | None) -> Column:
                     def entry(x: Column, i: Column) -> Column:
                         b = F.floor(i / _STEP).cast("int")
                         start = F.get(w, b) + add(F.slice(lens, b * _STEP + 1, i - b * _STEP)) + F.length(F.get(s, i))
-                        assigned = F.regexp_extract(x, f"^{ASSIGNED}(.*)$", 1)
+                        assigned = F.regexp_extract(x, f"^{ASSIGNED}[\"']?(.*)$", 1)
                         login = F.regexp_extract(x, f"^{URL_LOGIN}(.*)$", 1)
                         kind = F.when(x.startswith("-----BEGIN"), "key_block").when(login != "", "url").when(assigned != "", "assigned").when(x.rlike(f"^(?:{PROVIDERS})"), "provider").otherwise("run")
                         value = F.when(kind == "assigned", assigned).when(kind == "url", login).otherwise(x)
@@ -120,7 +125,7 @@ def candidates(text: Column, forest: list | None) -> Column:
     return F.transform(base, lambda c: F.struct(c["gap"].alias("gap"), c["before"].alias("before"), c["match"].alias("match"), c["value"].alias("value"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), described(c).alias("p")))
 
 
-N_FEATURES = 15
+N_FEATURES = 16
 
 
 def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int]]:
@@ -133,11 +138,13 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int]]:
     syll = ["er", "on", "th", "en", "re", "an", "ti", "ha", "le", "ou", "sch", "ung", "ción", "eau"]
     prose = lambda k: " ".join("".join(r.choice(syll) for _ in range(r.randint(1, 4))) for _ in range(k))
     assign = lambda v: f"{r.choice(names)}{r.choice(['=', ' = ', ': ', ':', '=='])}{r.choice(['', chr(34)])}{v}"
+    quoted = lambda v: f"{r.choice(names)}{r.choice(['=', ' = ', ': '])}{chr(34)}{v.strip().ljust(6, '.')}{chr(34)}"
     good = [
         lambda: assign(pick(hexa, r.randint(14, 64))),
         lambda: assign(pick(b62, r.randint(10, 48))),
         lambda: assign(pick(b64, r.randint(20, 60))),
         lambda: assign(pick(b62 + "!@#%^&*", r.randint(8, 20))),
+        lambda: quoted(pick(b62 + "!@#%^&*;,. ", r.randint(10, 24))),
         lambda: f"AKIA{pick(string.ascii_uppercase + string.digits, 16)}",
         lambda: f"ghp_{pick(b62, 36)}",
         lambda: f"sk-{pick(b62, 40)}",
@@ -153,6 +160,8 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int]]:
         lambda: assign(r.choice(["os.environ[", "process.env.", "config.get(", "self."]) + r.choice(names).upper()),
         lambda: assign("".join(r.choice(words) for _ in range(r.randint(2, 4)))),
         lambda: assign("".join(r.choice(syll) for _ in range(r.randint(3, 6)))),
+        lambda: quoted(prose(r.randint(3, 12)).capitalize() + r.choice(["", ".", "!"])),
+        lambda: quoted(f"Enter {r.choice(['your', 'the'])} {r.choice(words)} {r.choice(['here', 'again', 'now'])}"),
         lambda: f"{r.choice(['commit', 'sha1', 'revision', 'etag', 'checksum', 'md5'])} {pick(hexa, r.choice([32, 40, 64]))}",
         lambda: f"uuid {pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}",
         lambda: "/".join(["", *[r.choice(words) + r.choice(["", "2", "64"]) for _ in range(r.randint(4, 7))], "file2"]),
