@@ -14,8 +14,9 @@ weight is learned by host: the share of what is declared boilerplate that the tr
 below what is declared content. Every block has an importance so and is removed below
 the threshold. Copies of a page count once on their host.
 
-Statistics are counts by (host, node, text) with partial aggregation, so a host with a
-third of all pages is no single task's work. Texts never move: pages are read twice, and
+Statistics are counts by (host, node, text) with partial aggregation, and what is known
+of a node, or of a host's node, meets the rows of a very frequent one by broadcast, so a
+host with a third of all pages is no single task's work. Texts never move: pages are read twice, and
 only where the tree overrules the markup does a hash of 8 bytes travel to the tasks: one
 a node, and one a text that recurs over most pages of a node that stays.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,85 +39,157 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import _mix, cut, workers_see_package
+from lectern.llm.common import _mix, cut, join_hot, workers_see_package
 from lectern.llm.urls import split_url
 
 IMPORTANT = 0.5
 #: The tree over all hosts counts like this many pages at most.
 ENOUGH_PAGES = 8
-#: Importance by markup alone: declared boilerplate, the same inside content, undeclared, content. One of .5 or more is kept where the tree knows nothing.
+#: Importance by markup alone: declared boilerplate, weakly declared inside content, undeclared, content. One of .5 or more is kept where the tree knows nothing.
 PRIORS = (0.01, 0.3, 0.5, 0.95)
-#: Values of nodes and texts lie within this of 0 and 1.
-SURE = 0.005
+#: Values of nodes and texts lie within this of 0 and 1: what is plainly declared boilerplate is overruled only where its host's markup has lost trust.
+SURE = 0.02
 
 #: Elements by role, and words in a class or id that tell boilerplate.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "title", "head", "textarea", "select", "audio", "video"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "header", "fieldset", "label"}
 CONTENT = {"article", "main"}
+FRAMES = {"form", "fieldset", "label"}
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "body", "html", "label", "button", "legend"}
 ITEM = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-HINTS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist reply replies disqus respond discussion share sharing social related recommended widget pagination pager skip".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
+#: Words that tell boilerplate wherever they stand in a class or id.
+STRONG = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe signup login sidebar navbar masthead breadcrumb breadcrumbs comment comments commentlist reply replies disqus respond pagination pager".split())
+#: Words that do so only beside each other and general ones: an entry's header or related work is content.
+WEAK = set("banner notice notices notification alert overlay side rail menu nav navigation footer foot header topbar toolbar discussion share sharing social related recommended widget skip".split())
+GENERAL = set("site page main global top bottom left right primary secondary box block container wrapper wrap inner outer bar area section list item items link links slot unit".split())
+#: Words before which a class says what something has, not what it is.
+HAVING = set("has have with without no not is js hide show".split())
+ROLES = set("navigation banner contentinfo complementary search alert dialog form".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(?:\s|^)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
-_WITHIN = re.compile(r"/(?:article|main)(?![^/\[])")
 
 
-def _look(attributes: str) -> tuple[str, bool]:
-    """(presentation, whether it tells boilerplate)."""
+def _telling(name: str) -> int:
+    """2 for one class or id that tells boilerplate by a strong word, 1 by weak ones, else 0."""
+    words = _PARTS.findall(name)
+    if not words or words[0] in HAVING and len(words) > 1:
+        return 0
+    if not STRONG.isdisjoint(words):
+        return 2
+    return int(not WEAK.isdisjoint(words) and all(w in WEAK or w in GENERAL for w in words))
+
+
+def _look(attributes: str) -> tuple[str, int]:
+    """(presentation, how surely it tells boilerplate: 0 to 2)."""
     if not attributes or attributes.isspace():
-        return "", False
-    seen, bad = [], False
+        return "", 0
+    seen, bad = [], 0
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             value = re.sub(r"\d+", "", value)
             seen.append(f"{name[0]}={value}")
-            bad = bad or not HINTS.isdisjoint(_PARTS.findall(value))
+            bad = max(bad, *map(_telling, value.split()), 0)
         elif name == "role":
-            bad = bad or value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form")
+            bad = max(bad, 2 * (value in ROLES))
         elif name == "hidden" or value == "true":
-            bad = True
+            bad = 2
     return ",".join(seen), bad
 
 
+def tokens_of(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(text, tag, attributes, end of the token) in page order; a tag's text is "/" where it ends an element.
+
+    Quotes within a tag hide its ``>``. Once they would hide the rest of the page they
+    are taken for plain characters, so a page is read in time linear in its length.
+    The reader may send a place to go on from.
+    """
+    at, n = 0, len(page)
+    last = {c: page.rfind(c) for c in "<>\"'"}
+    while at < n:
+        start = page.find("<", at) if at <= last["<"] else -1
+        if start < 0:
+            yield page[at:], "", "", n
+            return
+        if start > at:
+            yield page[at:start], "", "", start
+        at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            at = n if end < 0 else end + 3
+            yield html.escape(page[start + 9 : n if end < 0 else end]), "", "", at
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        m = _TAG.match(page, at)
+        if m is None or at > last[">"]:
+            at += 1
+            yield "<", "", "", at
+            continue
+        pos, end = m.end(), 0
+        while not end:
+            stop = _STOP.search(page, pos)
+            if stop is None:  # quotes hide all that follows
+                last["'"] = last['"'] = -1
+                end = page.index(">", m.end()) + 1 if m.end() <= last[">"] else -1
+            elif stop[0] == ">":
+                end = stop.end()
+            else:
+                pos = page.index(stop[0], stop.end()) + 1 if stop.start() < last[stop[0]] else stop.end()
+        if end < 0:
+            at += 1
+            yield "<", "", "", at
+            continue
+        at = end
+        sent = yield m[1], m[2].lower(), page[m.end() : end - 1], end
+        if sent is not None:
+            at = sent
+
+
 def blocks_of(page: str) -> list[tuple[str, int, str]]:
-    """(path, 0 for boilerplate, 1 for undecided or 2 for content, text) of each block with text, in page order."""
-    out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, in content
+    """(path, index in PRIORS, text) of each block with text, in page order.
+
+    A form, or what a class or id calls boilerplate, is not held to be any if it holds
+    an article and over half of the page's text: it is the page's frame.
+    """
+    out: list[tuple[str, bool, tuple[int, ...], bool, str]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = [("", "", False, (), False)]  # tag, path, boilerplate, doubtful frames (weak ones below 0), in content
     parts: list[str] = []
+    frames, holding = 0, set()
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, path, bad, content = stack[-1]
-                out.append((path, 0 if bad else 2 if content else 1, text))
+                out.append((*stack[-1][1:], text))
 
     def close(i: int) -> None:
         flush()
         del stack[i:]
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.match(page, at)
-        if m is None:
+    tokens, sent = tokens_of(page), None
+    while True:
+        try:
+            text, tag, attributes, at = tokens.send(sent)
+        except StopIteration:
             break
-        at = m.end()
-        if m[7] is not None:
-            parts.append(m[7])
-            continue
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:]))
+        sent = None
+        if not tag:
+            parts.append(text)
             continue
-        tag = tag.lower()
-        if end:
+        if text:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     close(i)
@@ -125,11 +199,9 @@ def blocks_of(page: str) -> list[tuple[str, int, str]]:
                     flush()
             continue
         if tag in RAW:
-            if tag == "head":
-                continue
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not attributes.rstrip().endswith("/"):
-                at = stop.end() if stop else n
+            if tag != "head" and not attributes.rstrip().endswith("/"):
+                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                sent = stop.end() if stop else len(page)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -148,23 +220,43 @@ def blocks_of(page: str) -> list[tuple[str, int, str]]:
                 if stack[i][0] in ITEM.get(tag, BLOCKS - {"p"}):
                     break
         flush()
-        _, path, was_bad, content = stack[-1]
-        content = content or tag in CONTENT
-        bad = was_bad or (bad and tag not in ("body", "html") and tag not in CONTENT) or (tag in BOILERPLATE and not (tag == "header" and content))
-        stack.append((tag, f"{path}/{tag}" + f"[{presentation}]" * bool(presentation), bad, content))
+        _, path, firm, doubtful, content = stack[-1]
+        if tag in ("body", "html"):
+            bad = 0
+        elif tag in CONTENT and bad < 2:
+            holding.update(doubtful)
+            content, bad = True, 0
+        if tag in BOILERPLATE - FRAMES and not (tag == "header" and content):
+            firm = True
+        elif bad or tag in FRAMES:
+            frames += 1
+            doubtful = (*doubtful, -frames if bad == 1 and tag not in FRAMES else frames)
+        stack.append((tag, f"{path}/{tag}" + f"[{presentation}]" * bool(presentation), firm, doubtful, content))
     flush()
-    return out
+    sizes: Counter = Counter()
+    for _, _, doubtful, _, text in out:
+        for k in doubtful:
+            sizes[k] += len(text)
+    total = sum(len(x[-1]) for x in out)
+    framing = {k for k in holding if 2 * sizes[k] > total}
+
+    def look(firm: bool, doubtful: tuple[int, ...], content: bool) -> int:
+        held = [k for k in doubtful if k not in framing]
+        if firm or held:
+            return int(not firm and content and max(held) < 0)
+        return 3 if content else 2
+
+    return [(path, look(firm, doubtful, content), text) for path, firm, doubtful, content, text in out]
 
 
 class _Nodes(dict):
-    """(path, kind of a block) -> (64-bit hash, index in PRIORS), remembered."""
+    """(path, index in PRIORS) -> 64-bit hash, remembered."""
 
-    def __missing__(self, key: tuple[str, int]) -> tuple[int, int]:
+    def __missing__(self, key: tuple[str, int]) -> int:
         if len(self) > 100_000:
             self.clear()
-        path, kind = key
-        look = kind + 1 if kind else int(bool(_WITHIN.search(path)))
-        found = self[key] = _hash(f"{look}{path}"), look
+        path, look = key
+        found = self[key] = _hash(f"{look}{path}")
         return found
 
 
@@ -183,7 +275,7 @@ def seen(pages: DataFrame) -> DataFrame:
                 hosts, prints, nodes = [], [], []
                 for url, page in zip(part.column("url").to_pylist(), part.column("html")):
                     page = page.as_py() or ""
-                    found = {(*known[p, kind], _hash(t)) for p, kind, t in blocks_of(page)}
+                    found = {(known[p, look], look, _hash(t)) for p, look, t in blocks_of(page)}
                     found |= {(node, look, None) for node, look, _ in found}
                     hosts.append(_hash(split_url(url)[0] or ""))
                     prints.append(_hash(page))
@@ -211,7 +303,8 @@ def values(counts: DataFrame) -> DataFrame:
     m, m_all = F.col("m"), F.col("m_all")
     few = F.least(m_all - 1, F.lit(ENOUGH_PAGES))
     value = ((m - 1) * of(m, F.col("k"), F.col("e")) + few * of(m_all, F.col("k_all"), F.col("e_all")) + 0.5) / (m + few)
-    return own.join(every, "node").select("host", "node", "look", "m", value.alias("value"))
+    # a node such as /html/body/div is on most hosts
+    return join_hot(cut(own, "own"), every, ["node"]).select("host", "node", "look", "m", value.alias("value"))
 
 
 def trusts(nodes: DataFrame) -> DataFrame:
@@ -233,12 +326,13 @@ def importance(value: Column, look: Column, trust: Column) -> Column:
 
 def overruled(counts: DataFrame, important: float) -> DataFrame:
     """host, node, text: nodes (text null) where the tree decides otherwise than the markup, and texts that go from nodes that stay."""
-    nodes = values(counts)
-    nodes = nodes.join(trusts(nodes), "host", "left").withColumn("trust", F.coalesce("trust", F.lit(1.0)))
+    nodes = cut(values(counts), "values")
+    nodes = join_hot(nodes, trusts(nodes), ["host"], "left").withColumn("trust", F.coalesce("trust", F.lit(1.0)))
     declared = F.element_at(F.array(*[F.lit(p >= important) for p in PRIORS]), F.col("look").cast("int") + 1)
     nodes = nodes.withColumn("stays", importance(F.col("value"), F.col("look"), F.col("trust")) >= important)
     turned = nodes.where(F.col("stays") != declared).select("host", "node", F.lit(None).cast("long").alias("text"))
-    shared = counts.where("text is not null and n > 1").join(nodes.where("stays").drop("look"), ["host", "node"])
+    # one host may hold a third of all pages, and its articles most of their texts
+    shared = join_hot(counts.where("text is not null and n > 1"), nodes.where("stays").drop("look"), ["host", "node"])
     value = ((F.col("m") - 1) * (1 - F.log("n") / F.log("m")) + 0.5) / F.col("m")
     gone = shared.where(importance(value, F.col("look"), F.col("trust")) < important).select("host", "node", "text")
     return turned.union(gone)
@@ -281,10 +375,9 @@ def extract(pages: DataFrame, important: float = IMPORTANT, page_id: str = "page
                 texts = []
                 for url, page in zip(part.column("url").to_pylist(), part.column("html")):
                     found = blocks_of(page.as_py() or "")
-                    nodes = [known[p, kind] for p, kind, _ in found]
-                    node = np.array([a for a, _ in nodes], np.int64)
+                    node = np.array([known[p, look] for p, look, _ in found], np.int64)
                     host = np.full(len(found), _hash(split_url(url)[0] or ""), np.int64)
-                    stays = declared[[b for _, b in nodes]] if found else np.zeros(0, bool)
+                    stays = declared[[look for _, look, _ in found]] if found else np.zeros(0, bool)
                     stays = (stays ^ _among(keys, _key(host, node, np.zeros_like(node)))) & ~_among(keys, _key(host, node, np.array([_hash(t) for *_, t in found], np.int64)))
                     texts.append(" ".join(found[i][2] for i in np.flatnonzero(stays)))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
