@@ -1,21 +1,26 @@
-"""Scoring texts by a Brown class-based bigram model with exchange clustering.
+"""Scoring texts by a Brown class-based trigram model with exchange clustering.
 
 Tokens are words (A-Z lowered, split at 0x20 and 0x09-0x0D) and one end a text. The
-model predicts a token's class from the class of the last classed token before it, and
-the token from its class: P(class | history) * P(token | class), both smoothed.
-
-Words by frequency in the training texts (bounds are parameters of the model, the same
-at every size of the corpus):
-
-* ``core`` words are clustered by the exchange algorithm on their counted pairs;
-* ``classed`` words beyond them take the class that fits their counted neighbours best;
-* all others share one rare class, in which each has its own smoothed frequency. They
-  leave the history as it is.
-
-The ``head`` words travel to the tasks with their counts; counts of the rest, which grow
-with the corpus, are joined by a shuffle on the word. None of those is frequent, so no
-key of that join is hot. Texts are encoded once and written to the shared folder, and
-every count (words, pairs, neighbours, transitions) covers all training texts.
+model predicts a token's class from the classes of the two tokens before it, and the
+token from its class: P(class | two classes before) * P(token | class). Trigrams of
+classes lean on bigrams and these on single classes, each with the weight of SMOOTH
+tokens.
+
+Every training word seen ``least`` times or more has a class, so the classed vocabulary
+grows with the corpus. Classes come from the exchange algorithm: first word by word on
+the counted pairs of the most frequent words, then in rounds over all classed words at
+once, in which each moves to the class that fits the counted classes of its neighbours
+best while the others stay (distributed exchange, after Uszkoreit and Brants 2008). A
+round that does not raise the likelihood is not taken. Words seen less often share a
+rare class, in which each has its own smoothed frequency; the end has a class to itself.
+
+Words seen twice or more travel to the tasks as 64-bit hashes with their counts, the
+``head``: ``most`` words at most, 16 bytes each, the most frequent if there are more
+(ties by hash; the others count as rare ones). Counts of the rest, which grow with the
+corpus, are joined by a shuffle on the word. In training texts none of those is
+frequent; words that only held-out texts have often meet their counts by broadcast.
+Texts are encoded once and written to the shared folder, and every count (words, pairs,
+neighbours, transitions) covers all training texts.
 
 Edge cases: a null or empty text is its end alone; a null doc_id counts as an empty one
 in the choice of training texts. Rows that repeat are scored, and counted, each. An
@@ -27,28 +32,33 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, cut, words_of, workers_see_package
+from lectern.llm.common import as_bytes, cut, join_hot, words_of, workers_see_package
 
 END = b""
 FOLDS, HELD_OUT = 7, 2
-_FLUSH_WORDS, _FLUSH_PAIRS = 400_000, 4_000_000
+#: What the shorter history counts like, in tokens.
+SMOOTH = 20
+_FLUSH_WORDS, _FLUSH_PAIRS, _MEMO = 400_000, 4_000_000, 300_000
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """Bounds of the model: most words of each kind, and classes."""
+    """least: times a word must be seen to have a class; core: words that are clustered pair by pair before all others join; most: bound of the broadcast head."""
 
-    head: int = 200_000
-    classed: int = 50_000
+    least: int = 4
     core: int = 2_048
-    classes: int = 32
+    classes: int = 64
     sweeps: int = 12
+    rounds: int = 2
+    most: int = 2_000_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -73,60 +83,93 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("data").mapInArrow(run, "word binary, c long").where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def head_words(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, the end first: all whose count reaches a bound that lets in at most ``most``.
+def hash_of(word: bytes) -> int:
+    """What F.xxhash64 gives for the word."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
-    The bound comes from the counts' histogram in steps of a 16th of an octave, so only
-    the words that qualify are sent to the driver.
-    """
-    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
-    words = vocabulary.where(F.length("word") > 0)
-    least, n = None, 0
-    for r in sorted(words.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["s"]):
-        n += r["n"]
-        if n > most:
-            break
-        least = r["c"]
-    found = [] if least is None else [(bytes(r["word"]), r["c"]) for r in words.where(F.col("c") >= least).collect()]
-    ends = vocabulary.where(F.length("word") == 0).collect()
-    return [(END, ends[0]["c"] if ends else 0), *sorted(found, key=lambda x: (-x[1], x[0]))]
 
-
-class _Ids(dict):
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words))))
-        self.rest = len(words)
-
-    def __missing__(self, word: bytes) -> int:
-        return self.rest
-
-
-def encode(docs: DataFrame, words) -> DataFrame:
-    """(rid, doc_id, held_out, data) -> ... ids (unsigned 32-bit, the end's 0 last), rest (words beyond the head)."""
+def in_head(vocabulary: DataFrame, most: int) -> Column:
+    """Whether a row (word, c) is among the head: words seen twice or more, the ``most`` most frequent ones, ties by hash."""
+    words = vocabulary.where(F.length("word") > 0)
+    fine = (F.length("word") > 0) & (F.col("c") >= 2)
+    n = words.where("c >= 2").count()
+    if n <= most:
+        return fine
+    # counts in steps of a 16th of an octave, then by single counts within the step that is cut, then by hash
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+
+    def upto(rows: DataFrame, by: Column, room: int, falling: bool) -> tuple[int, int]:
+        for r in sorted(rows.groupBy(by.alias("k")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["k"] if falling else r["k"]):
+            if r["n"] > room:
+                return r["k"], room
+            room -= r["n"]
+        raise AssertionError("all fit")
+
+    at_step, room = upto(words, step, most, True)
+    at_count, room = upto(words.where(step == at_step), F.col("c"), room, True)
+    part = F.shiftrightunsigned(F.xxhash64("word"), 48)
+    at_part, _ = upto(words.where(F.col("c") == at_count), part, room, False)
+    return fine & ((F.col("c") > at_count) | ((F.col("c") == at_count) & (part < at_part)))
+
+
+class Head:
+    """The head's words by hash; codes go by falling count, from 1; 0 is the end."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((hashes, -counts))
+        self.counts = counts[order]
+        by_hash = np.argsort(hashes[order])
+        self.hashes, self.codes = hashes[order][by_hash], (by_hash + 1).astype(np.uint32)
+        self.rest = len(counts) + 1
+        self.memo: dict[bytes, int] = {}
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            h = np.fromiter(map(hash_of, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+            code = np.where(self.hashes[at] == h, self.codes[at], self.rest) if len(self.hashes) else np.full(len(new), self.rest)
+            found[missing] = code
+            if len(self.memo) > _MEMO:
+                self.memo.clear()
+            self.memo.update(zip(new, code.tolist()))
+        return found.astype(np.uint32)
+
+
+def encode(docs: DataFrame, head) -> DataFrame:
+    """(rid, doc_id, held_out, data) -> ... ids (unsigned 32-bit, the end's 0 last), rest (words beyond the head and how often)."""
+    kind_of = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(words.value)
+        own: Head = head.value
         for batch in batches:
-            n = batch.num_rows
-            for at in range(0, n, 256):
-                part, codes, rest = batch.slice(at, min(256, n - at)), [], []
+            for at in range(0, batch.num_rows, 256):
+                part, codes, rest = batch.slice(at, 256), [], []
                 for data in part.column("data"):
                     w = words_of(data.as_py())
-                    code = np.zeros(len(w) + 1, np.uint32)
-                    code[:-1] = np.fromiter(map(ids.__getitem__, w), np.uint32, len(w))
+                    code = np.append(own.encode(w), np.uint32(0))
                     codes.append(code.tobytes())
-                    rest.append([w[i] for i in np.flatnonzero(code == ids.rest)])
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.binary()))], ["rid", "doc_id", "held_out", "ids", "rest"])
+                    rest.append([{"word": x, "k": k} for x, k in Counter(w[i] for i in np.flatnonzero(code == own.rest).tolist()).items()])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(codes, pa.binary()), pa.array(rest, kind_of)], ["rid", "doc_id", "held_out", "ids", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("rid", "doc_id", "held_out", "data").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, ids binary, rest array<binary>")
+    return docs.select("rid", "doc_id", "held_out", "data").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, ids binary, rest array<struct<word:binary,k:long>>")
+
 
+def before(codes: np.ndarray) -> np.ndarray:
+    """The token before each one; the end before the first. Every text ends in 0."""
+    return np.concatenate([np.zeros(1, codes.dtype), codes[:-1]])
 
-def history(codes: np.ndarray, classed: np.ndarray) -> np.ndarray:
-    """For each token the last token before it whose mask is set; the end's 0 at the start. Every text ends in 0, which is set."""
-    at = np.maximum.accumulate(np.where(classed, np.arange(len(codes)), -1))
-    at = np.r_[-1, at[:-1]]
-    return np.where(at >= 0, codes[at], 0)
+
+def histories(classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the two tokens before each one; the end's before a text's first."""
+    last = before(classes)
+    last[:1] = end
+    second = before(last)
+    second[:1] = end
+    return np.where(last == end, end, second), last
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -137,8 +180,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
                 yield np.frombuffer(data, np.uint32).astype(np.int64)
 
 
-def counted(encoded: DataFrame, codes_of) -> DataFrame:
-    """code, n over all rows of encoded(ids): codes_of turns a run of whole texts into codes; equal ones are counted in the task first."""
+def tallied(encoded: DataFrame, codes_of) -> DataFrame:
+    """code, n: codes_of turns a run of whole texts into codes; equal ones are counted in the task, so a code may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -156,7 +199,12 @@ def counted(encoded: DataFrame, codes_of) -> DataFrame:
                 size = 0
         yield flush()
 
-    return encoded.select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "code long, n long")
+
+
+def counted(encoded: DataFrame, codes_of) -> DataFrame:
+    """code, n over all rows of encoded(ids)."""
+    return tallied(encoded, codes_of).groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _dense(rows: DataFrame, size: int) -> np.ndarray:
@@ -213,97 +261,182 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return cls
 
 
-def best_classes(left: np.ndarray, right: np.ndarray, grid: np.ndarray, classes: int) -> np.ndarray:
+def best_classes(left: np.ndarray, right: np.ndarray, link: np.ndarray, classes: int) -> np.ndarray:
     """For each word, from counts of the classes before and after it, the class that makes them likeliest."""
-    g = grid + 0.5
-    link = np.log(g * g.sum() / (g.sum(1)[:, None] * g.sum(0)[None, :]))
     return np.argmax((left @ link + right @ link.T)[:, :classes], axis=1)
 
 
-def score(docs: DataFrame, sizes: Sizes = Sizes(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
-    spark = docs.sparkSession
-    workers_see_package(spark)
-    sc = spark.sparkContext
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), (F.crc32(key.cast("binary")) % FOLDS == HELD_OUT).alias("held_out"), as_bytes(F.col(text)).alias("data"))
+def link_of(moves: np.ndarray) -> np.ndarray:
+    """How much likelier than chance one class follows another, in logs."""
+    g = moves + 0.5
+    return np.log(g * g.sum() / (g.sum(1)[:, None] * g.sum(0)[None, :]))
 
-    vocabulary = cut(word_counts(base.where(~F.col("held_out"))), "vocabulary")
-    n_all, n_kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = head_words(vocabulary, sizes.head)
-    least_head = head[-1][1] if len(head) > 1 else None
-    words = sc.broadcast([w for w, _ in head])
-    n_head, n_classed, n_core = len(head), min(len(head), sizes.classed), min(len(head), sizes.core)
-    encoded = cut(encode(base.withColumn("rid", F.monotonically_increasing_id()), words), "encoded")
-    training = encoded.where(~F.col("held_out"))
-    c_end, c_rare, n_cls = sizes.classes, sizes.classes + 1, sizes.classes + 2
 
-    def core_pairs(tokens: np.ndarray) -> np.ndarray:
-        core = tokens < n_core
-        return history(tokens, core)[core] * n_core + tokens[core]
+def moved(training: DataFrame, cls, link, n_cls: int, classes: int) -> DataFrame:
+    """(word, cls): for every word of a class below ``classes`` or of class -1, the class that fits its neighbours best.
 
-    pairs = _dense(counted(training, core_pairs), n_core * n_core).reshape(n_core, n_core)
-    cls = np.full(n_head + 1, c_rare, np.int64)
-    cls[:n_core] = exchange(pairs, sizes.classes, sizes.sweeps)
-    if n_classed > n_core:
-        one = np.eye(n_cls)[cls[:n_core]]
-        shared = sc.broadcast(cls)
+    cls and link are broadcast; -1 marks words that have no class yet and count as rare ones here.
+    """
+    width = 2 * n_cls
+
+    def neighbours(tokens: np.ndarray) -> np.ndarray:
+        own = cls.value
+        at = own[tokens]
+        of = np.where(at < 0, n_cls - 1, at)
+        mine = np.flatnonzero(at < classes)  # -1 among them
+        left = before(of)[mine]
+        left[mine == 0] = classes
+        right = of[np.minimum(mine + 1, len(of) - 1)]  # the last token of a text is its end, which is never mine
+        return np.concatenate([tokens[mine] * width + left, tokens[mine] * width + n_cls + right])
 
-        def neighbours(tokens: np.ndarray) -> np.ndarray:
-            of = shared.value
-            core = tokens < n_core
-            mine = (tokens >= n_core) & (tokens < n_classed)
-            before = of[history(tokens, core)][mine]
-            after = of[np.r_[history(tokens[::-1], core[::-1])][::-1]][mine]
-            at = (tokens[mine] - n_core) * 2
-            return np.concatenate([at * n_cls + before, (at + 1) * n_cls + after])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how, carry = link.value, None
+
+        def settle(code: np.ndarray, n: np.ndarray):
+            word, at = np.unique(code // width, return_inverse=True)
+            table = np.zeros((len(word), width))
+            np.add.at(table, (at, code % width), n)
+            best = best_classes(table[:, :n_cls], table[:, n_cls:], how, classes)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(best.astype(np.int32))], ["word", "cls"])
+
+        for batch in batches:  # sorted by word: a word's rows are together
+            code, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+            if carry is not None:
+                code, n = np.concatenate([carry[0], code]), np.concatenate([carry[1], n])
+            if not len(code):
+                continue
+            last = int(np.searchsorted(code // width, code[-1] // width))
+            carry = (code[last:], n[last:])
+            if last:
+                yield settle(code[:last], n[:last])
+        if carry is not None and len(carry[0]):
+            yield settle(*carry)
+
+    word = F.floor(F.col("code") / width)
+    rows = tallied(training, neighbours).withColumn("word", word).repartition("word").sortWithinPartitions("word").select("code", "n")
+    return rows.mapInArrow(run, "word long, cls int")
+
+
+@dataclass
+class Model:
+    """cls: class of each code (0 the end, the last the rest); step: log10 of a class given the two before it; emit, plain: log10 of a token given its class, and of the base; n_all, n_kinds: training tokens and distinct ones; rare_total: divisor of the rare class."""
+
+    cls: np.ndarray
+    step: np.ndarray
+    emit: np.ndarray
+    plain: np.ndarray
+    n_all: int
+    n_kinds: int
+    rare_total: float
+    end_known: bool
+
+
+def likelihood(moves: np.ndarray, cls: np.ndarray, counts: np.ndarray, rare: int) -> float:
+    """Log-likelihood of the training texts under classes without smoothing, but for what no choice of classes changes."""
+    mass = np.bincount(cls, counts, len(moves))
+    return float(_xlogx(moves).sum() - _xlogx(moves.sum(1)).sum() - np.delete(_xlogx(mass), rare).sum())
+
+
+def fit(training: DataFrame, counts: np.ndarray, sizes: Sizes, n_all: int, n_kinds: int) -> Model:
+    """Classes and probabilities from encoded training texts; counts are those of the end and the head by code."""
+    sc = training.sparkSession.sparkContext
+    end, rare, n_cls = sizes.classes, sizes.classes + 1, sizes.classes + 2
+    n_head = len(counts)
+    n_classed = 1 + int((counts[1:] >= sizes.least).sum())  # codes go by falling count
+    n_core = min(n_classed, sizes.core)
 
-        around = _dense(counted(training, neighbours), (n_classed - n_core) * 2 * n_cls).reshape(-1, 2, n_cls)
-        cls[n_core:n_classed] = best_classes(around[:, 0], around[:, 1], one.T @ pairs @ one, sizes.classes)
+    def core_pairs(tokens: np.ndarray) -> np.ndarray:
+        last = before(tokens)
+        both = (tokens < n_core) & (last < n_core)
+        return last[both] * n_core + tokens[both]
 
-    shared_cls = sc.broadcast(cls)
+    pairs = _dense(counted(training, core_pairs), n_core * n_core).reshape(n_core, n_core)
+    cls = np.full(n_head + 1, rare, np.int64)
+    cls[:n_core] = exchange(pairs, sizes.classes, sizes.sweeps)
 
-    def transitions(tokens: np.ndarray) -> np.ndarray:
-        of = shared_cls.value
-        return of[history(tokens, tokens < n_classed)] * n_cls + of[tokens]
+    def transitions(of, order: int) -> np.ndarray:
+        shared = sc.broadcast(of)
+
+        def codes(tokens: np.ndarray) -> np.ndarray:
+            c = shared.value[tokens]
+            second, last = histories(c, end)
+            return ((second * n_cls if order == 3 else 0) + last) * n_cls + c
+
+        return _dense(counted(training, codes), n_cls**order).reshape((n_cls,) * order)
+
+    moves = transitions(cls, 2)
+    settled = None
+    for k in range(sizes.rounds if n_classed > 1 else 0):
+        marked = cls.astype(np.int32)
+        if k == 0:
+            marked[n_core:n_classed] = -1
+        found = moved(training, sc.broadcast(marked), sc.broadcast(link_of(moves)), n_cls, sizes.classes).toArrow()
+        new = cls.copy()
+        new[found.column("word").to_numpy()] = found.column("cls").to_numpy()
+        if k == 0:
+            new[:n_core] = cls[:n_core]
+        new_moves = transitions(new, 2)
+        now = likelihood(new_moves, new[:n_head], counts, rare)
+        if settled is not None and now <= settled:
+            break
+        settled, cls, moves = now, new, new_moves
 
-    moves = _dense(counted(training, transitions), n_cls * n_cls).reshape(n_cls, n_cls)
     share = (moves.sum(0) + 1) / (moves.sum() + n_cls)
-    step = np.log10((moves + 20 * share) / (moves.sum(1)[:, None] + 20))
-    counts = np.array([c for _, c in head], np.float64)
+    two = (moves + SMOOTH * share) / (moves.sum(1)[:, None] + SMOOTH)
+    three = transitions(cls, 3)
+    step = np.log10((three + SMOOTH * two[None]) / (three.sum(2)[:, :, None] + SMOOTH))
     in_class = np.bincount(cls[:n_classed], counts[:n_classed], n_cls)
-    rare_tokens, rare_kinds = n_all - counts[:n_classed].sum(), n_kinds - n_classed
     # a rare word's own frequency, less and less trusted the rarer it is: one unseen kind beside those seen
-    rare_total = rare_tokens + rare_kinds + 1
+    rare_total = float(n_all - counts[:n_classed].sum() + n_kinds - (n_classed - (counts[0] == 0)) + 1)
     emit = np.zeros(n_head + 1)
     emit[:n_classed] = np.log10(np.maximum(counts[:n_classed], 1e-9) / np.maximum(in_class[cls[:n_classed]], 1e-9))
     emit[n_classed:n_head] = np.log10((counts[n_classed:] + 1) / rare_total)
-    plain = np.r_[np.log10((counts + 1) / (n_all + n_kinds + 1)), 0.0]
-    model = sc.broadcast((cls, step, emit, plain, (counts > 0).tolist()))
+    plain = np.append(np.log10((counts + 1) / (n_all + n_kinds + 1)), 0.0)
+    return Model(cls, step, emit, plain, n_all, n_kinds, rare_total, bool(counts[0] > 0))
+
+
+def score(docs: DataFrame, sizes: Sizes = Sizes(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
+    spark = docs.sparkSession
+    workers_see_package(spark)
+    sc = spark.sparkContext
+    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    base = docs.select(F.col(doc_id).alias("doc_id"), (F.crc32(key.cast("binary")) % FOLDS == HELD_OUT).alias("held_out"), as_bytes(F.col(text)).alias("data"))
+
+    vocabulary = cut(word_counts(base.where(~F.col("held_out"))), "vocabulary")
+    n_all, n_kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    known = in_head(vocabulary, sizes.most)
+    found = vocabulary.where(known).select(F.xxhash64("word").alias("h"), "c").toArrow()
+    ends = vocabulary.where(F.length("word") == 0).collect()
+    head = Head(found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy())
+    counts = np.append(ends[0]["c"] if ends else 0, head.counts).astype(np.float64)
+    encoded = cut(encode(base.withColumn("rid", F.monotonically_increasing_id()), sc.broadcast(head)), "encoded")
+    model = fit(encoded.where(~F.col("held_out")), counts, sizes, n_all, n_kinds)
+    shared, end = sc.broadcast(model), sizes.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, log_step, log_emit, log_plain, seen = model.value
-        known = np.r_[np.array(seen, bool), False]
+        m = shared.value
+        rest = len(m.cls) - 1
         for batch in batches:
             rows = []
             for data in batch.column("ids"):
                 t = np.frombuffer(data.as_py(), np.uint32).astype(np.int64)
-                own = log_step[of[history(t, t < n_classed)], of[t]].sum() + log_emit[t].sum()
-                rows.append((len(t), int(known[t].sum()), float(log_plain[t].sum()), float(own)))
+                c = m.cls[t]
+                own = m.step[(*histories(c, end), c)].sum() + m.emit[t].sum()
+                rows.append((len(t), int((t != rest).sum()) - (not m.end_known), float(m.plain[t].sum()), float(own)))
             cols = list(zip(*rows)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "own"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     main = encoded.select("rid", "doc_id", "held_out", "ids").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, own double")
-    rest = encoded.select("rid", F.explode("rest").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("k"))
-    counts_of = vocabulary.where(F.length("word") > 0) if least_head is None else vocabulary.where((F.length("word") > 0) & (F.col("c") < least_head))
+    unpacked = lambda rows: rows.select("rid", F.inline("rest"))
     c = F.coalesce(F.col("c"), F.lit(0))
-    rest = rest.join(counts_of, "word", "left").select(
+    rest = join_hot(unpacked(encoded), vocabulary.where((F.length("word") > 0) & ~known), ["word"], "left", unpacked(encoded.where("held_out")).groupBy("word").agg(F.count("*").alias("n"))).select(
         "rid",
         F.when(c > 0, F.col("k")).otherwise(0).alias("known"),
         (F.col("k") * F.log10((c + 1) / F.lit(float(n_all + n_kinds + 1)))).alias("base"),
-        (F.col("k") * F.log10((c + 1) / F.lit(float(rare_total)))).alias("own"),
+        (F.col("k") * F.log10((c + 1) / F.lit(model.rare_total))).alias("own"),
     )
     rest = rest.groupBy("rid").agg(F.sum("known").alias("r_known"), F.sum("base").alias("r_base"), F.sum("own").alias("r_own"))
     zero = lambda x: F.coalesce(x, F.lit(0))
