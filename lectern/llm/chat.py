@@ -10,17 +10,22 @@ after the id for other roles and closed by the one for a role's end.
 The loss mask covers the texts of assistant turns: +1 is put where one starts and -1
 after it ends, and the mask is where the prefix sum is positive.
 
-Turns are encoded where they are read. Rows then meet by conversation, sorted by turn,
-and pass through each task as a stream: a conversation of any length is spliced in
-chunks of at most CHUNK ids, and none is ever held whole.
+Turns are encoded where they are read, and only their ids travel. Rows then meet by
+conversation, sorted by turn, and pass through each task as a stream: a conversation of
+any length is spliced in chunks of at most CHUNK ids, and none is ever held whole. One
+conversation is one task's work, since its digest is one sequence.
+
+The reserved ids are the first beyond the vocabulary that is given, whatever its size.
 
 Edge cases: null texts are empty, null roles are the empty role. Null turns come first;
-rows of one turn are ordered by role and text, so repeated rows all count. A null
-conv_id is one conversation. An empty table gives no rows. Other columns are ignored.
+rows of one turn are ordered by their ids (which role and text alone decide), so
+repeated rows all count. A null conv_id is one conversation. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -32,11 +37,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import as_bytes, workers_see_package
 
-VOCABULARY = 50_257
-#: Reserved ids above the vocabulary and what they read as.
-CONTROL = {50_257: "### System: ", 50_258: "### User: ", 50_259: "### Assistant: ", 50_260: "### Role ", 50_261: ": ", 50_262: " </turn>\n"}
-ROLES = {"system": 50_257, "user": 50_258, "assistant": 50_259}
-OTHER_ROLE, ROLE_END, TURN_END = 50_260, 50_261, 50_262
+#: What the reserved ids read as, in the order of the ids; the roles that have one.
+READS = ("### System: ", "### User: ", "### Assistant: ", "### Role ", ": ", " </turn>\n")
+ROLES = ("system", "user", "assistant")
+OTHER_ROLE, ROLE_END, TURN_END = 3, 4, 5
 LOSS_ROLE = "assistant"
 #: What a text must not say as it stands.
 _ESCAPE = re.compile(r"\\|###|</turn>")
@@ -53,21 +57,40 @@ def unescape(text: str) -> str:
 
 
 class Codec:
-    """Byte-level BPE of one vocabulary file; id -> bytes for reading back."""
+    """Byte-level BPE of one vocabulary file (ranks or JSON); ``base`` is the first id beyond it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        if path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._encode, self.bytes_of = own.encode_ordinary, own.decode_bytes
+            self.base = max(ranks.values()) + 1
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path)
+            own.encode_special_tokens = True  # their names in a text are ordinary text
+            back = {c: b for b, c in _byte_letters().items()}
+            pieces = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in own.get_vocab(True).items()}
+            self._encode = lambda text: own.encode(text, add_special_tokens=False).ids
+            self.bytes_of = lambda ids: b"".join(map(pieces.__getitem__, ids))
+            self.base = max(pieces) + 1
+        self.roles = {role: self.base + k for k, role in enumerate(ROLES)}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        back = {c: b for b, c in _byte_letters().items()}
-        self.pieces = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in self.tokenizer.get_vocab(True).items()}
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self._encode(text), np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def decode(self, ids: np.ndarray) -> str:
+        return self.bytes_of(ids.tolist()).decode("utf-8", "replace")
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+    def turn(self, role: str, text: str) -> tuple[np.ndarray, int]:
+        """(ids of the turn, where its text starts in them)."""
+        head = [self.roles[role]] if role in self.roles else [self.base + OTHER_ROLE, *self._encode(escape(role)), self.base + ROLE_END]
+        return np.concatenate([np.array(head, np.int32), self.encode(escape(text)), np.array([self.base + TURN_END], np.int32)]), len(head)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -89,30 +112,27 @@ def codec(path: str) -> Codec:
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def encode_turns(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """(conv_id, turn, role, text as bytes) -> adds ids (of the turn, reserved ones included), from and to of its text in them, loss."""
+    """(conv_id, turn, role, text as bytes) -> conv_id, turn, ids (of the turn, reserved ones included), start (of its text in them), loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                roles = [r.decode("utf-8", "replace") for r in part.column("role").to_pylist()]
-                texts = own.encode([escape(t.decode("utf-8", "replace")) for t in part.column("text").to_pylist()])
-                ids, start, loss = [], [], []
-                for role, text in zip(roles, texts):
-                    head = [ROLES[role]] if role in ROLES else [OTHER_ROLE, *own.encode([escape(role)])[0], ROLE_END]
-                    start.append(len(head))
-                    ids.append(np.concatenate([head, text, [TURN_END]]).astype("<i4").tobytes())
+                part, ids, start, loss = batch.slice(at, 512), [], [], []
+                for role, text in zip(part.column("role"), part.column("text")):
+                    role = role.as_py().decode("utf-8", "replace")
+                    turn, begins = own.turn(role, text.as_py().decode("utf-8", "replace"))
+                    ids.append(turn.astype("<i4").tobytes())
+                    start.append(begins)
                     loss.append(role == LOSS_ROLE)
-                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), part.column("role"), part.column("text"), pa.array(ids, pa.binary()), pa.array(start, pa.int32()), pa.array(loss, pa.bool_())], names)
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), pa.array(ids, pa.binary()), pa.array(start, pa.int32()), pa.array(loss, pa.bool_())], ["conv_id", "turn", "ids", "start", "loss"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    names = ["conv_id", "turn", "role", "text", "ids", "start", "loss"]
-    return rows.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role binary, text binary, ids binary, start int, loss boolean")
+    return rows.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids binary, start int, loss boolean")
 
 
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -120,7 +140,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
     workers_see_package(conversations.sparkSession)
     path = vocabulary or default_vocabulary()
     rows = conversations.select(F.col("conv_id"), F.col("turn"), as_bytes(F.col("role")).alias("role"), as_bytes(F.col("text")).alias("text"))
-    turns = encode_turns(rows, path).repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "ids", "start", "loss")
+    turns = encode_turns(rows, path).repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "ids").select("conv_id", "ids", "start", "loss")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chunk, held, size = None, 0, [], 0
@@ -169,41 +189,40 @@ class _Reader:
     def __init__(self, own: Codec):
         self.own, self.turns, self.all, self.loss = own, 0, hashlib.sha256(), hashlib.sha256()
         self.chars = self.loss_chars = 0
-        self.role, self.other, self.text, self.masked = "", [], [], []
-        self.in_role = False
+        self.role = ""
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []  # ids and mask since the last reserved id
 
     def feed(self, ids: np.ndarray, mask: np.ndarray) -> None:
         at = 0
-        for stop in [*np.flatnonzero(ids >= VOCABULARY).tolist(), len(ids)]:
+        for stop in [*np.flatnonzero(ids >= self.own.base).tolist(), len(ids)]:
             if stop > at:
-                (self.other if self.in_role else self.text).extend(ids[at:stop].tolist())
-                if not self.in_role:
-                    self.masked.extend(mask[at:stop].tolist())
+                self.held.append((ids[at:stop], mask[at:stop]))
             at = stop + 1
             if stop < len(ids):
-                self.control(int(ids[stop]))
+                self.control(int(ids[stop]) - self.own.base)
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        ids, mask = (np.concatenate([h[k] for h in self.held]) for k in (0, 1)) if self.held else (np.empty(0, np.int32), np.empty(0, bool))
+        self.held = []
+        return ids, mask
 
     def control(self, code: int) -> None:
-        self.chars += len(CONTROL[code])
+        self.chars += len(READS[code])
+        ids, mask = self.read()
+        written = self.own.decode(ids)
+        self.chars += len(written)
         if code == TURN_END:
-            written = self.own.decode(self.text)
-            self.chars += len(written)
             text = unescape(written)
             self.all.update(f"{self.role}\n{text}\n".encode())
-            if any(self.masked):
-                said = unescape(self.own.decode([t for t, m in zip(self.text, self.masked) if m]))
+            if mask.any():
+                said = text if mask.all() else unescape(self.own.decode(ids[mask]))
                 self.loss.update(said.encode())
                 self.loss_chars += len(said)
             self.turns += 1
-            self.text, self.masked = [], []
-        elif code == OTHER_ROLE:
-            self.in_role, self.other = True, []
         elif code == ROLE_END:
-            written = self.own.decode(self.other)
-            self.chars += len(written)
-            self.role, self.in_role = unescape(written), False
-        else:
-            self.role = next(r for r, i in ROLES.items() if i == code)
+            self.role = unescape(written)
+        elif code != OTHER_ROLE:
+            self.role = ROLES[code]
 
 
 def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
