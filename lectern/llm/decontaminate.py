@@ -14,7 +14,12 @@ has one of these. Each candidate is verified exactly: |item and document| / |ite
 sets of the whole item and the whole document.
 
 Items travel to the tasks in blocks of at most BLOCK_ITEMS; more items mean more
-passes over the documents, never a larger broadcast. Documents are not shuffled.
+passes over the documents, never a larger broadcast: what a block finds is written to
+the shared folder before the next but one is read, so that driver and executors never
+hold more than two. Documents are not shuffled.
+
+Recall is that of items whose shared shingles lie together in the document, as those of
+a copied passage do: 0.9999 from 8 shingles, and 1 below.
 
 Edge cases: null or empty documents and items contain and match nothing. Items of fewer
 than n words match documents of exactly these words. Repeated rows of documents each
@@ -27,14 +32,14 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SHINGLE, SIMILAR, MinHash, as_bytes, shingles, workers_see_package
+from lectern.llm.common import SHINGLE, SIMILAR, MinHash, as_bytes, cut, shingles, workers_see_package
 
 RECALL = 0.9999
 BLOCK_ITEMS = 20_000
@@ -149,14 +154,20 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, n: int =
 
         return docs.select(F.col(doc_id).alias("doc_id"), as_bytes(F.col(text)).alias("data")).mapInArrow(run, schema)
 
-    parts = [against(b) for b in item_blocks(items, threshold, n, block_items, text, item_id)]
-    out = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
-    for p in parts[1:]:
-        out = out.union(p)
+    blocks = item_blocks(items, threshold, n, block_items, text, item_id)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        out = against(first) if first else docs.sparkSession.createDataFrame([], schema)
+    else:
+        out = None
+        for block in chain([first, second], blocks):
+            part = cut(against(block), "found")
+            block.destroy()
+            out = out.union(part) if out is not None else part
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, n: int = SHINGLE, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, n: int = SHINGLE, text: str = "text", item_text: str = "text", item_id: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of docs that contain no test item, with all their columns."""
     workers_see_package(docs.sparkSession)
     at = docs.columns.index(text)
@@ -169,6 +180,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMI
 
         return df.mapInArrow(run, df.schema)
 
-    for block in item_blocks(items, threshold, n, text=item_text, item_id=item_id):
-        docs = without(docs, block)
+    blocks = item_blocks(items, threshold, n, block_items, item_text, item_id)
+    block = next(blocks, None)
+    while block:
+        left, after = without(docs, block), next(blocks, None)
+        if after:
+            left = cut(left, "left")
+            block.destroy()
+        docs, block = left, after
     return docs
