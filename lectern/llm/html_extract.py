@@ -10,8 +10,8 @@ Values lean on the tree merged over all hosts and, where few pages tell, on one
 
 What the markup declares (boilerplate: menus, headers, footers, asides, forms, classes
 or ids that say so; content: articles) is a prior, joined with the value as odds. Its
-weight is learned by host: the share of what is declared boilerplate that the tree puts
-below what is declared content. Every block has an importance so and is removed below
+weight is learned by host: the share of what is declared boilerplate that the tree does
+not put above what is declared content. Every block has an importance so and is removed below
 the threshold. Copies of a page count once on their host.
 
 Statistics are counts by (host, node, text) with partial aggregation, and what is known
@@ -308,11 +308,11 @@ def values(counts: DataFrame) -> DataFrame:
 
 
 def trusts(nodes: DataFrame) -> DataFrame:
-    """values -> host, trust: the share of what the markup declares boilerplate that has a lower value than what it declares content."""
+    """values -> host, trust: the share of what the markup declares boilerplate whose value is not above that of what it declares content, by more than SURE."""
     w, value, look = F.col("m") - 1, F.col("value"), F.col("look")
     content = nodes.where(look == len(PRIORS) - 1).groupBy("host").agg(F.try_divide(F.sum(w * value), F.sum(w)).alias("content"))
     declared = nodes.where(look < 2).join(content, "host")
-    below = F.sum(F.when(value < F.col("content"), w).otherwise(0))
+    below = F.sum(F.when(value <= F.col("content") + SURE, w).otherwise(0))
     return declared.where("content is not null").groupBy("host").agg(((below + ENOUGH_PAGES) / (F.sum(w) + ENOUGH_PAGES)).alias("trust"))
 
 
