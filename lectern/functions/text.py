@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,27 +61,43 @@ def strip_tags(text: Column | str) -> Column:
     return F.regexp_replace(col(text), "<[^>]*>", "")
 
 
-#: The character references that caption writers use.
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&lrm;": "‎", "&rlm;": "‏"}
+#: Characters that stand for numbers which name none: the C1 range as in Windows-1252.
+_RENAMED = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_NAMES = html.entities.html5  # "amp;" and, where the semicolon may be left out, "amp"
+_BARE = {k: v for k, v in _NAMES.items() if not k.endswith(";")}
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
 
 
-def unescape(text: Column | str) -> Column:
-    """The common character references, each read once; the ampersand's own goes last."""
-    out = col(text)
-    for name, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+def _table(of: dict[str, str]) -> Column:
+    """A map literal; one constant, however many entries."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in of.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _character(n: Column) -> Column:
+    """The character of a code point as HTML reads it; none for those that are no characters."""
+    none = n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000).isin(0xFFFE, 0xFFFF)
+    own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    renamed = F.try_element_at(_table({str(k): v for k, v in _RENAMED.items()}), n.cast("string"))
+    return F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when((n == 0) | (n == 13) | n.between(0x80, 0x9F), renamed).when(none, "").otherwise(own)
 
 
-def unescape_all():
-    """A pandas UDF for the full set of named and numeric references, where a text has more than the common ones."""
-    import pandas as pd
+def _referred(match: Column) -> Column:
+    """What one reference stands for; an unknown name stands for itself, but for a known one that it begins with."""
+    name = F.substring(match, 2, 64)
+    number = F.ltrim(F.regexp_extract(match, "^&#[xX]?([0-9a-fA-F]+)", 1), F.lit("0"))
+    base = F.when(match.rlike("^&#[xX]"), 16).otherwise(10)
+    # more digits than any character has
+    n = F.when(F.length(number) > 8, 0x110000).when(number == "", 0).otherwise(F.conv(number, 16, 10).cast("long"))
+    decimal = F.when(F.length(number) > 8, 0x110000).when(number == "", 0).otherwise(number.try_cast("long"))
+    by_number = _character(F.when(base == 16, n).otherwise(decimal))
+    bare = _table(_BARE)
+    prefixes = [F.when(F.length(name) > k, F.concat(F.try_element_at(bare, F.left(name, F.lit(k))), F.substring(match, k + 2, F.length(match)))) for k in range(max(map(len, _BARE)), 1, -1)]
+    return F.when(match.startswith("&#"), by_number).otherwise(F.coalesce(F.try_element_at(_table(_NAMES), name), *prefixes, match))
 
-    @F.pandas_udf("string")
-    def full(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
 
-    return lambda text: F.when(F.contains(col(text), F.lit("&")), full(col(text))).otherwise(col(text))
+def unescape(text: Column | str) -> Column:
+    """All named and numeric character references, each read once."""
+    return F.when(F.contains(col(text), F.lit("&")), replace_each(col(text), _REFERENCE, _referred)).otherwise(col(text))
 
 
 def label(text: Column | str) -> Column:
@@ -133,10 +149,17 @@ def has_digit(text: Column | str) -> Column:
     return col(text).rlike(r"\p{Nd}|[²³¹⁰-₉]")
 
 
+def casefold(text: Column | str) -> Column:
+    """Unicode's full case folding, but for Cherokee letters."""
+    # dotless i must not meet i; the translation between also keeps the optimizer from dropping the upper case
+    upper = F.upper(F.translate(col(text), "ıẞ", "\ue000ß"))
+    return F.translate(F.lower(F.translate(upper, "\ue000", "ı")), "ς", "σ")
+
+
 def fold(text: Column | str) -> Column:
-    """Lower case, white space collapsed, punctuation off the edges of every word."""
+    """Case folded, white space collapsed, punctuation off the edges of every word."""
     edges = f"^{_EDGE_CLASS}+|{_EDGE_CLASS}+$"
-    return F.trim(F.lower(F.array_join(F.transform(tokens(text), lambda w: F.regexp_replace(w, edges, "")), " ")))
+    return F.trim(casefold(F.array_join(F.transform(tokens(text), lambda w: F.regexp_replace(w, edges, "")), " ")))
 
 
 def strip_edges(text: Column | str) -> Column:
