@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SPACE, col, fold, has_digit, let, strip_edges, tokens
+from lectern.sources.shared import cut
 
 SHORTEST, SHORTEST_INHERITED, LONG = 6, 8, 10
 MAX_ENTRIES, MAX_CORRECTIONS = 2_000, 10_000
@@ -64,10 +65,10 @@ def read_glossary(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms, variants
 
 
-def too_many_entries(terms: DataFrame, variants: DataFrame) -> DataFrame:
+def too_many_entries(terms: DataFrame, variants: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
     """One failure row if the glossary is over its ceiling; it is refused whole, never cut."""
-    n = terms.agg(F.count("*").alias("n")).crossJoin(variants.agg(F.count("*").alias("m"))).select((F.col("n") + F.col("m")).alias("n"))
-    return n.where(F.col("n") > MAX_ENTRIES).select(F.lit("PAYLOAD_TOO_LARGE").alias("code"), F.col("n").alias("entries"))
+    n = terms.select(F.lit(1)).union(variants.select(F.lit(1))).agg(F.count("*").alias("n"))
+    return n.where(F.col("n") > most).select(F.lit("PAYLOAD_TOO_LARGE").alias("code"), F.col("n").alias("entries"))
 
 
 def merge(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -108,23 +109,77 @@ def ngrams(passages: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     return rows.select("source_id", "passage_idx", *keep, "g.*").withColumn("folded", fold("phrase"))
 
 
+def _bounds(length: Column, k: int, i: int) -> tuple[Column, Column]:
+    """(start from 0, size) of part i of k nearly equal parts of a text of a length; the longer parts come last."""
+    base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
+    return base * i + F.greatest(F.lit(0), F.lit(i - k) + longer), base + (F.lit(i) >= k - longer).cast("int")
+
+
+def _key(length: Column, i: int, part: Column) -> Column:
+    return F.struct(length.cast("int").alias("length"), F.lit(i).alias("part"), part.alias("text"))
+
+
+def parts_of_term(term: Column) -> Column:
+    """array<struct<length, part, text>>: a term in one part more than the edits it is allowed."""
+    n = F.length(term)
+    of = lambda k: F.array(*[_key(n, i, F.substring(term, _bounds(n, k, i)[0] + 1, _bounds(n, k, i)[1])) for i in range(k)])
+    return F.when(n >= LONG, of(3)).otherwise(of(2))
+
+
+def parts_within(phrase: Column) -> Column:
+    """Every place where a phrase would have a part of a term that is at most its allowed edits away.
+
+    Of k parts an edit spoils at most one, so one stays whole; where it can then stand
+    follows from the edits before and after it (the selection of Pass-Join, Li et al. 2011).
+    """
+    n, out = F.length(phrase), []
+    for edits in (1, 2):
+        k = edits + 1
+        for longer in range(-edits, edits + 1):
+            length = n - longer
+            fits = (length >= LONG) if edits == 2 else (length < LONG)
+            for i in range(k):
+                start, size = _bounds(length, k, i)
+                for shift in range(max(-i, longer - (k - 1 - i)), min(i, longer + (k - 1 - i)) + 1):
+                    at = start + shift
+                    out.append(F.when(fits & (length >= k) & (at >= 0) & (at + size <= n), _key(length, i, F.substring(phrase, at + 1, size))))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+#: A table of so many rows or fewer, of a name or a part of one each, goes to every task; a larger one meets phrases by a shuffle.
+MOST_SENT = 100_000
+
+
+def _with(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with what table (a written one) has for their source, and with what it has for all (a null source_id)."""
+    own, shared = table.where("source_id is not null"), table.where("source_id is null").drop("source_id")
+    if table.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        own, shared = F.broadcast(own), F.broadcast(shared)
+    if how == "left_anti":
+        return rows.join(own, ["source_id", *keys], how).join(shared, keys, how)
+    return rows.join(own, ["source_id", *keys]).unionByName(rows.join(shared, keys))
+
+
 def hits(passages: DataFrame, terms: DataFrame, variants: DataFrame, lengths: list[int]) -> DataFrame:
     """source_id, passage_idx, start, i, n, phrase, term, evidence, distance: windows that are, or nearly are, a watched name.
 
     terms(source_id, term, origin, term_idx) and variants(source_id, folded, term,
-    evidence) are per source; a glossary has at most MAX_ENTRIES entries. Each distinct
-    folded phrase of a source is compared once, on equal word counts, and only where
-    lengths are near enough. Known variants win over known spellings, these over guesses,
-    and among guesses the first term, not the nearest.
+    evidence) are per source, or for all sources where source_id is null. Each distinct
+    folded phrase of a source is compared once, with the terms of as many words that
+    share a part with it which so many edits leave whole: no source and no glossary is
+    multiplied out. Known variants win over known spellings, these over guesses, and
+    among guesses the first term, not the nearest.
     """
     grams = ngrams(passages, lengths, "start").where("folded <> ''")
-    distinct = grams.select("source_id", "folded", "n").distinct()
-    named = distinct.join(variants, ["source_id", "folded"]).select("source_id", "folded", "n", F.col("term"), "evidence", F.lit(0).alias("distance"))
-    known = terms.select("source_id", fold("term").alias("folded")).distinct()
-    open_ = distinct.join(variants, ["source_id", "folded"], "left_anti").join(known, ["source_id", "folded"], "left_anti").where(~has_digit("folded"))
+    distinct = cut(grams.select("source_id", "folded", "n").distinct(), "phrases")
+    forms = cut(variants.select("source_id", "folded", "term", "evidence"), "forms")
+    named = _with(distinct, forms, ["folded"]).groupBy("source_id", "folded", "n").agg(F.min(F.struct("term", "evidence")).alias("v")).select("source_id", "folded", "n", "v.term", "v.evidence", F.lit(0).alias("distance"))
+    known = cut(terms.select("source_id", fold("term").alias("folded")).distinct(), "known")
+    open_ = _with(_with(distinct, forms.select("source_id", "folded"), ["folded"], "left_anti"), known, ["folded"], "left_anti").where(~has_digit("folded"))
     watched = terms.where(worth_watching("term")).select("source_id", "term", "origin", "term_idx", fold("term").alias("t"), F.size(tokens("term")).alias("n")).where(~has_digit("t"))
+    parts = cut(watched.withColumn("at", F.explode(parts_of_term(F.col("t")))), "parts")
     most = allowed_distance(F.col("t"))
-    near = open_.join(watched, ["source_id", "n"]).where(F.abs(F.length("folded") - F.length("t")) <= most)
+    near = _with(open_.withColumn("at", F.explode(parts_within(F.col("folded")))), parts, ["n", "at"])
     near = near.withColumn("distance", F.levenshtein("folded", "t")).where((F.col("distance") > 0) & (F.col("distance") <= most) & ~merely_inflected(F.col("folded"), F.col("t"), F.col("origin")))
     guess = near.groupBy("source_id", "folded", "n").agg(F.min_by(F.struct("term", "origin", "distance"), "term_idx").alias("g")).select("source_id", "folded", "n", "g.term", F.col("g.origin").alias("evidence"), "g.distance")
     return grams.join(named.unionByName(guess), ["source_id", "folded", "n"]).select("source_id", "passage_idx", "start", "i", "n", strip_edges("phrase").alias("phrase"), "folded", "term", "evidence", "distance")

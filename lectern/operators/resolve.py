@@ -44,6 +44,11 @@ def listed(lines, most: int):
     return F.when(F.size(lines) <= most, lines).otherwise(F.concat(F.slice(lines, 1, most), F.array(F.concat(F.lit("... and "), (F.size(lines) - most).cast("string"), F.lit(" more")))))
 
 
+def formats(tracks: DataFrame) -> DataFrame:
+    """source_id, formats: distinct and sorted."""
+    return tracks.groupBy("source_id").agg(F.array_sort(F.collect_set("caption_format")).alias("formats"))
+
+
 def languages(tracks: DataFrame) -> DataFrame:
     """source_id, languages: distinct, in the order first listed."""
     first = tracks.groupBy("source_id", "language").agg(F.min("track_idx").alias("i"))
