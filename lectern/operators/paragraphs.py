@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,40 +50,42 @@ def fold_step(gap: float, words: int, wanted: bool, turn: bool, is_punctuated: b
     return turn or closes, wanted
 
 
+def gap_before(start: Column, end_of_speech: Column) -> Column:
+    """How long nobody spoke before a cue; null for a track's first."""
+    w = W.partitionBy(*TRACK).orderBy("cue_idx", "piece_idx", "turn_idx")
+    return start - F.lag(end_of_speech).over(w)
+
+
 def paragraph_runs(cues: DataFrame) -> DataFrame:
     """cues(..., cue_idx, piece_idx, turn_idx, punctuated) -> adds run: which paragraph of its segment a cue is in, and seg.
 
-    A turn closes whatever is open, so tracks fall apart into segments at turns that are
-    folded apart from each other; a fold holds numbers only.
+    A turn closes whatever is open and begins a segment. Tracks are dealt over the tasks
+    and pass through each in order as one stream, which holds a few numbers.
     """
     order = ["cue_idx", "piece_idx", "turn_idx"]
-    w = W.partitionBy(*TRACK).orderBy(*order)
     end = F.col("start") + F.col("duration")
-    facts = cues.select(
-        *TRACK,
-        *order,
-        F.sum(F.col("turn").cast("int")).over(w).alias("seg"),
-        (F.col("start") - F.lag(speech_end(F.col("words"), end)).over(w)).alias("gap"),
-        n_tokens("text").alias("n"),
-        F.lag(ends_sentence("text")).over(w).alias("ended"),
-        "punctuated",
-    )
-
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        out, current, words, wanted = [], -1, 0, False
-        for k, (gap, n, ended, p) in enumerate(zip(pdf["gap"], pdf["n"], pdf["ended"], pdf["punctuated"])):
-            if k == 0:
-                current += 1
-            else:
-                closes, wanted = fold_step(gap, words, wanted, False, bool(p), bool(ended))
-                if closes:
-                    current, words, wanted = current + 1, 0, False
-            out.append(current)
-            words += n
-        return pdf.assign(run=out)[[*TRACK, *order, "seg", "run"]]
-
-    return facts.groupBy(*TRACK, "seg").applyInPandas(run, "source_id string, track_idx int, cue_idx int, piece_idx int, turn_idx int, seg long, run int")
+    facts = cues.select("source_id", *[F.col(c).cast("int").alias(c) for c in ("track_idx", *order)], "start", speech_end(F.col("words"), end).alias("spoken"), n_tokens("text").alias("n"), ends_sentence("text").alias("ended"), F.coalesce("turn", F.lit(False)).alias("turn"), "punctuated")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seg, current, words, wanted, last, said = None, 0, 0, 0, False, 0.0, False
+        for batch in batches:
+            segs, runs = [], []
+            for source, track, start, spoken, n, ended, turn, is_punctuated in zip(*[batch.column(c).to_pylist() for c in (*TRACK, "start", "spoken", "n", "ended", "turn", "punctuated")]):
+                if now != (source, track):
+                    now, seg, current, words, wanted = (source, track), int(turn), 0, 0, False
+                elif turn:
+                    seg, current, words, wanted = seg + 1, 0, 0, False
+                else:
+                    closes, wanted = fold_step(start - last, words, wanted, False, bool(is_punctuated), bool(said))
+                    if closes:
+                        current, words, wanted = current + 1, 0, False
+                segs.append(seg)
+                runs.append(current)
+                words, last, said = words + n, spoken, ended
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*TRACK, *order)], pa.array(segs, pa.int64()), pa.array(runs, pa.int32())], [*TRACK, *order, "seg", "run"])
+
+    in_order = facts.repartition(*TRACK).sortWithinPartitions(*TRACK, *order)
+    return in_order.mapInArrow(run, "source_id string, track_idx int, cue_idx int, piece_idx int, turn_idx int, seg long, run int")
 
 
 def runs_by_fold(cues: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def runs_by_fold(cues: DataFrame) -> DataFrame:
     order = ["cue_idx", "piece_idx", "turn_idx"]
     w = W.partitionBy(*TRACK).orderBy(*order)
     end = F.col("start") + F.col("duration")
-    facts = cues.select(*TRACK, *order, "turn", F.coalesce(F.col("start") - F.lag(speech_end(F.col("words"), end)).over(w), F.lit(0.0)).alias("gap"), n_tokens("text").alias("n"), F.coalesce(F.lag(ends_sentence("text")).over(w), F.lit(False)).alias("ended"), "punctuated")
+    facts = cues.select(*TRACK, *order, "turn", F.coalesce(gap_before(F.col("start"), speech_end(F.col("words"), end)), F.lit(0.0)).alias("gap"), n_tokens("text").alias("n"), F.coalesce(F.lag(ends_sentence("text")).over(w), F.lit(False)).alias("ended"), "punctuated")
     rows = F.array_sort(F.collect_list(F.struct(*order, "turn", "gap", "n", "ended", "punctuated")))
     kind = "array<struct<cue_idx:int,piece_idx:int,turn_idx:int,run:int>>"
     start = F.struct(F.lit(0).alias("words"), F.lit(False).alias("wanted"), F.lit(-1).alias("run"), F.array().cast(kind).alias("out"))
