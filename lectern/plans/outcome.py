@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
+import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import FALLBACK_STEM, sanitise
 from lectern.functions.web import redact
+from lectern.sources.store import there
 
 EXIT_OK, EXIT_FAILED, EXIT_PARTIAL = 0, 1, 2
 #: Code, what it says, what to try. {name} is filled from the context.
@@ -83,16 +86,23 @@ def plan_outputs(documents: DataFrame, existing: DataFrame, overwrite: bool = Fa
 
 
 def existing_files(spark: SparkSession, folder: str) -> DataFrame:
-    if not os.path.isdir(folder) or not os.listdir(folder):
+    """name, hash of the files of a folder of any file system."""
+    if not there(spark, folder):
         return spark.createDataFrame([], "name string, hash string")
     return spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("hash"))
 
 
-def write_outputs(planned: DataFrame, folder: str) -> DataFrame:
+def write_outputs(planned: DataFrame, folder: str, overwrite: bool = True) -> DataFrame:
     """Writes the files to be written, one document a file, each by an atomic replace; returns name, action, code.
 
-    Rows are written where they are; the folder must be one that the executors share.
+    Rows are written where they are, so the folder must be one that the executors mount
+    (as the cluster's shared folder is); a folder of another file system is refused.
+    Without overwrite a name is claimed first, so that of two runs one writes it.
     """
+    scheme = re.match("[A-Za-z][A-Za-z0-9+.-]*(?=://)", folder)
+    if scheme and scheme[0] != "file":
+        raise ValueError(f"files are written to a mounted folder, not to {scheme[0]}://")
+    root = folder[len("file://") :] if scheme else folder
 
     def put(it):
         import pandas as pd
@@ -102,26 +112,47 @@ def write_outputs(planned: DataFrame, folder: str) -> DataFrame:
             for name, text, action in zip(pdf["name"], pdf["text"], pdf["action"]):
                 code = "OUTPUT_EXISTS" if action == "refused" else None
                 if action == "write":
-                    code = atomic_write(os.path.join(folder, name), text)
+                    code = atomic_write(os.path.join(root, name), text, overwrite)
                 out.append((name, action, code))
             yield pd.DataFrame(out, columns=["name", "action", "code"])
 
     return planned.select("name", "text", "action").mapInPandas(put, "name string, action string, code string")
 
 
-def atomic_write(path: str, text: str) -> str | None:
-    """A failure code, or null once path holds all of text."""
+#: How often a replace that lost a race is tried, and the first wait in seconds, doubled each time.
+TRIES, WAIT = 6, 0.002
+
+
+def atomic_write(path: str, text: str, overwrite: bool = True) -> str | None:
+    """A failure code, or null once path holds all of text. A failed write leaves nothing of its own behind.
+
+    Text is forced to the disk under a name of its own before the name is claimed and
+    replaced, so a reader sees the old text or the new one.
+    """
+    temporary = claimed = None
     try:
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path))
+        handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path), suffix=".part")
         with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
             f.write(text)
             f.flush()
             os.fsync(f.fileno())
-        os.replace(temporary, path)
-    except OSError:
-        return "OUTPUT_UNWRITABLE"
-    return None
+        if not overwrite:
+            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            claimed = path
+        for k in range(TRIES):
+            try:
+                os.replace(temporary, path)
+                return None
+            except PermissionError:
+                if k == TRIES - 1:
+                    raise
+                time.sleep(WAIT * 2**k)
+    except OSError as e:
+        for left in (temporary, claimed):
+            if left and os.path.exists(left):
+                os.unlink(left)
+        return "OUTPUT_EXISTS" if isinstance(e, FileExistsError) else "OUTPUT_UNWRITABLE"
 
 
 def text_hash(text: str) -> str:
@@ -130,23 +161,30 @@ def text_hash(text: str) -> str:
 
 def exit_code(produced: DataFrame, failed: DataFrame) -> DataFrame:
     """One row: 0 without failures, 2 where something was produced beside them, else 1."""
-    n = produced.agg(F.count("*").alias("produced")).crossJoin(failed.agg(F.count("*").alias("failed")))
+    one = lambda df, p, f: df.select(F.lit(p).alias("p"), F.lit(f).alias("f"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    n = one(produced, 1, 0).union(one(failed, 0, 1)).agg(total("p").alias("produced"), total("f").alias("failed"))
     return n.select("produced", "failed", F.when(F.col("failed") == 0, EXIT_OK).when(F.col("produced") > 0, EXIT_PARTIAL).otherwise(EXIT_FAILED).alias("exit_code"))
 
 
 def envelope(documents: DataFrame, files: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row of JSON: ok, results (empty where files were written), files, errors, warnings. For a run's report, whose size a run's request bounds."""
-
-    def rows(df: DataFrame, value: Column, order: str) -> DataFrame:
-        # maps have no order, so rows are compared by their key alone
-        by_key = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
-        return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).cast("string").alias("o"), value.alias("v"))), by_key), lambda x: x["v"]).alias("a"))
+    """One row of JSON: ok, results (empty where files were written), files, errors, warnings.
 
+    For a run's report: where documents were written to files it holds their names alone,
+    else their texts, and is no larger than one value may be.
+    """
     trouble = F.struct(redact(F.col("source_id")).alias("source"), F.col("failure.cause").alias("message"), F.col("failure.code").alias("code"), F.col("failure.try").alias("try"), F.col("failure.context").alias("context"))
-    d, f = rows(documents, F.col("text"), "source_id").withColumnRenamed("a", "d"), rows(files, F.col("name"), "name").withColumnRenamed("a", "f")
-    e, w = rows(errors, trouble, "source_id").withColumnRenamed("a", "e"), rows(warnings, trouble, "source_id").withColumnRenamed("a", "w")
-    j = d.crossJoin(f).crossJoin(e).crossJoin(w)
-    return j.select(F.to_json(F.struct((F.size("e") == 0).alias("ok"), F.when(F.size("f") > 0, F.array().cast("array<string>")).otherwise(F.col("d")).alias("results"), F.col("f").alias("files"), F.col("e").alias("errors"), F.col("w").alias("warnings")), {"ignoreNullFields": "false"}).alias("json"))
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    rows = documents.select(F.lit("d").alias("k"), F.col("source_id").cast("string").alias("o"), text("text").alias("v"))
+    rows = rows.union(files.select(F.lit("f"), "name", text("name")))
+    for kind, df in (("e", errors), ("w", warnings)):
+        rows = rows.union(df.select(F.lit(kind), F.col("source_id").cast("string"), F.to_json(trouble, {"ignoreNullFields": "false"})))
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("o", "v"))))
+    one = rows.agg(*[listed(k).alias(k) for k in "dfew"])
+    joined = lambda k: F.concat(F.lit("["), F.array_join(F.transform(k, lambda x: x["v"]), ","), F.lit("]"))
+    results = F.when(F.size("f") > 0, "[]").otherwise(joined("d"))
+    ok = (F.size("e") == 0).cast("string")
+    return one.select(F.concat(F.lit('{"ok":'), ok, F.lit(',"results":'), results, F.lit(',"files":'), joined("f"), F.lit(',"errors":'), joined("e"), F.lit(',"warnings":'), joined("w"), F.lit("}")).alias("json"))
 
 
 VERSION = 1

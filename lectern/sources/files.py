@@ -62,13 +62,18 @@ def nothing_to_read(files: DataFrame, source: str) -> DataFrame:
 def payloads(spark: SparkSession, chosen: DataFrame, folder: str) -> DataFrame:
     """chosen tracks with payload, content_hash and code: UTF-8 without its mark, line ends as newlines.
 
-    A file over its ceiling or not UTF-8 has a code instead of a payload. The ceiling is
-    checked on the listing's length, before content is read.
+    Only the chosen files are opened. A file over its ceiling is not: its length in the
+    listing tells, and again the length of what is read. It, or one that is not UTF-8,
+    has a code instead of a payload.
     """
-    small = chosen.where(F.col("length") <= MAX_PAYLOAD)
     large = chosen.where(F.col("length") > MAX_PAYLOAD).select(*chosen.columns, F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("content_hash"), F.lit("PAYLOAD_TOO_LARGE").alias("code"))
-    content = spark.read.format("binaryFile").load(folder).where(F.col("length") <= MAX_PAYLOAD).select(F.col("path").alias("ref"), "content")
+    small = chosen.where(F.col("length") <= MAX_PAYLOAD)
+    paths = [r["ref"] for r in small.select("ref").toLocalIterator()]  # as many as the listing that the driver holds has at most
+    if not paths:
+        return large
+    content = spark.read.format("binaryFile").load(paths).where(F.col("length") <= MAX_PAYLOAD).select(F.col("path").alias("ref"), "content")
     raw = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    text = F.regexp_replace(F.regexp_replace(raw, "^﻿", ""), "\r\n?", "\n")
-    read = small.join(content, "ref").select(*chosen.columns, text.alias("payload"), F.sha2(text, 256).alias("content_hash"), F.when(text.isNull(), "INPUT_UNREADABLE").alias("code"))
-    return read.unionByName(large)
+    text = F.regexp_replace(F.regexp_replace(raw, "^\ufeff", ""), "\r\n?", "\n")
+    read = small.join(content, "ref", "left")
+    code = F.when(F.col("content").isNull() | text.isNull(), "INPUT_UNREADABLE")
+    return read.select(*chosen.columns, text.alias("payload"), F.sha2(text, 256).alias("content_hash"), code.alias("code")).unionByName(large)

@@ -9,18 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The cluster's spark.checkpoint.dir. Only a local session, whose tasks run where the driver does, gets a folder of its own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lectern-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(path, file system) of the JVM for any kind of folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written once and read back: later steps plan against a table, and lost executors repeat nothing before it."""
+    """df, written once and read back: later steps plan against a table, and lost executors repeat nothing before it.
+
+    The application's tables go when the driver's file system closes.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    own = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder, fs = hadoop(spark, own)
+    fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Stored payloads and listings: a Parquet table by key, spread by the key's first two characters.
 
 A miss is a missing row; a damaged listing counts as one. ``None`` for a folder turns the
-store off.
+store off. Values are added, never changed; the newest of a key counts.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.web import cache_key
+from lectern.sources.shared import hadoop
 
-SCHEMA = "key string, value string, prefix string"
+SCHEMA = "key string, value string, at timestamp, prefix string"
 SETTING = "LECTERN_CACHE"
 
 
@@ -25,20 +26,30 @@ def default_folder() -> str | None:
     return os.path.join(os.environ.get("XDG_CACHE_HOME", os.path.expanduser("~/.cache")), "lectern")
 
 
+def there(spark: SparkSession, folder: str | None) -> bool:
+    """Whether a folder of any file system has something in it."""
+    if not folder:
+        return False
+    at, fs = hadoop(spark, folder)
+    return fs.exists(at) and len(fs.listStatus(at)) > 0
+
+
 def write(values: DataFrame, folder: str | None, *key: str) -> None:
-    """Adds values(key columns..., value); addresses with signatures must not be among them."""
+    """Adds values(key columns..., value); addresses with signatures must not be among them. Null values are not stored."""
     if folder:
-        rows = values.select(cache_key(*key).alias("key"), "value").withColumn("prefix", F.left("key", F.lit(2)))
+        rows = values.where("value is not null").select(cache_key(*key).alias("key"), "value", F.current_timestamp().alias("at")).withColumn("prefix", F.left("key", F.lit(2)))
         rows.write.mode("append").partitionBy("prefix").parquet(folder)
 
 
 def read(spark: SparkSession, wanted: DataFrame, folder: str | None, *key: str) -> DataFrame:
-    """wanted with value, null where nothing is stored; of several values the greatest."""
+    """wanted with value, null where nothing is stored. Only values of wanted keys are shuffled."""
     keyed = wanted.withColumn("__key", cache_key(*key))
-    if not folder or not os.path.isdir(folder):
+    if not there(spark, folder):
         return keyed.withColumn("value", F.lit(None).cast("string")).drop("__key")
-    stored = spark.read.schema(SCHEMA).parquet(folder).groupBy("prefix", "key").agg(F.max("value").alias("value"))
-    return keyed.withColumn("prefix", F.left("__key", F.lit(2))).join(stored.withColumnRenamed("key", "__key"), ["prefix", "__key"], "left").drop("prefix", "__key")
+    keys = keyed.select(F.col("__key"), F.left("__key", F.lit(2)).alias("prefix")).distinct()
+    stored = spark.read.schema(SCHEMA).parquet(folder).withColumnRenamed("key", "__key").join(keys, ["prefix", "__key"], "left_semi")
+    newest = stored.groupBy("__key").agg(F.max_by("value", F.struct("at", "value")).alias("value"))
+    return keyed.join(newest, "__key", "left").drop("__key")
 
 
 def read_listings(spark: SparkSession, wanted: DataFrame, folder: str | None, *key: str) -> DataFrame:
