@@ -15,7 +15,7 @@ from lectern.functions import times as D
 from lectern.functions import web as U
 from lectern.operators import TRACK, dedupe, glossary, markup, paragraphs, parse, resolve, sections, sentences
 from lectern.plans import render
-from lectern.plans.surrogates import CONV, DOC, MS, TRACKS, as_cues, conv, doc, table, tracks
+from lectern.plans.surrogates import CONV, DOC, MS, TALK, TRACKS, as_cues, conv, doc, table, talk, tracks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,17 +38,56 @@ def _ms(c):
 # ---- windows, runs, passages
 
 
-@query(f"""with {CONV}, s as (select *, sum(turn::int) over (partition by source_id order by cue_idx) as seg from conv),
-p as (select source_id, seg, min(cue_idx) as first, string_agg(text, ' ' order by cue_idx) as text, min(start_ms) as start_ms, max(end_ms) as end_ms, any_value(speaker) as speaker from s group by 1, 2)
-select source_id || ':' || (row_number() over (partition by source_id order by first) - 1) as id, source_id, speaker, true as turn, text, start_ms, end_ms, (start_ms // 60000) || ':' || lpad(cast(start_ms // 1000 % 60 as varchar), 2, '0') as timestamp from p""")
+_FOLD_CTE = f"""with recursive {TALK}, p as (select source_id, cue_idx, turn, n, row_number() over (partition by source_id order by cue_idx) as k,
+start_ms - (lag(end_ms) over (partition by source_id order by cue_idx) - 400) as gap, coalesce(regexp_matches(lag(text) over (partition by source_id order by cue_idx), '[.?!]["'')\\]}}»”’]*\\s*$'), false) as ended from talk),
+f(source_id, k, cue_idx, words, wanted, run) as (
+  select source_id, k, cue_idx, n, false, 0 from p where k = 1
+  union all
+  select p.source_id, p.k, p.cue_idx, case when c.closes then 0 else f.words end + p.n, case when c.closes then false else c.wanted end, f.run + c.closes::int
+  from f join p on p.source_id = f.source_id and p.k = f.k + 1,
+  lateral (select f.wanted or (case when p.gap > 1000 then f.words >= 67.5 else f.words >= 90 end) as wanted) w,
+  lateral (select w.wanted as wanted, p.turn or f.words >= 500 or ((w.wanted or f.words >= 250) and p.ended) as closes) c),
+ps as (select f.source_id, cast(f.run as int) as passage_idx, string_agg(t.text, ' ' order by t.cue_idx) as text, sum(t.n) as n, min(t.start_ms) as start_ms, max(t.end_ms) as end_ms, min_by(t.speaker, t.cue_idx) as speaker, min_by(t.turn, t.cue_idx) as turn
+  from f join talk t on t.source_id = f.source_id and t.cue_idx = f.cue_idx group by 1, 2),
+ch as (select source_id, cast(row_number() over (partition by source_id order by cue_idx) - 1 as int) as chapter_idx, 'part ' || cue_idx as title, start_ms + 100 as start_ms from talk where k % 20 = 10),
+a as (select ps.*, ch.title as section, ch.start_ms as opens, chapter_idx from ps asof left join ch on ps.source_id = ch.source_id and ps.start_ms >= ch.start_ms),
+b as (select *, (chapter_idx is distinct from lag(chapter_idx, 1, chapter_idx) over (partition by source_id order by passage_idx))::int as changed from a),
+s as (select *, sum(changed) over (partition by source_id order by passage_idx) as section_idx from b)"""
+
+
+def _stamp(ms: str) -> str:
+    return f"case when {ms} >= 3600000 then printf('%d:%02d:%02d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60) else printf('%d:%02d', {ms} // 60000, {ms} // 1000 % 60) end"
+
+
+def _talk_cues(spark, sf):
+    return as_cues(talk(spark, sf)).withColumn("piece_idx", F.lit(0)).withColumn("turn_idx", F.lit(0)).withColumn("punctuated", F.lit(True))
+
+
+def _talk_passages(spark, sf) -> DataFrame:
+    cues = _talk_cues(spark, sf)
+    return paragraphs.passages_of(cues.join(paragraphs.paragraph_runs(cues), [*TRACK, "cue_idx", "piece_idx", "turn_idx"]), ["seg", "run"]).drop("track_idx")
+
+
+def _described(passages: DataFrame) -> DataFrame:
+    """A lecture for every source of passages."""
+    rows = passages.groupBy("source_id").agg(F.max("end").alias("duration"))
+    return rows.select("source_id", F.concat(F.lit("Talk "), F.col("source_id")).alias("title"), F.concat(F.lit("https://example.org/w?v="), F.col("source_id")).alias("url"), F.lit("A Channel").alias("channel"), F.lit("2011-09-12").cast("date").alias("published"), "duration", F.lit("youtube").alias("provider"), F.lit("manual").alias("tier"), F.lit("en").alias("language"), F.lit("vtt").alias("caption_format"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("retrieved_at"), F.sha2("source_id", 256).alias("content_hash"))
+
+
+def _talk_lecture(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lectures, sections, passages of the talks; a chapter opens at every twentieth line from the eleventh."""
+    rows = talk(spark, sf).where("k % 20 = 10")
+    idx = F.row_number().over(W.partitionBy("source_id").orderBy("cue_idx")) - 1
+    chapters = rows.select("source_id", idx.alias("chapter_idx"), F.concat(F.lit("part "), F.col("cue_idx").cast("string")).alias("title"), ((F.col("start_ms") + 100) / 1000).alias("start"))
+    passages, secs = sections.build_sections(_talk_passages(spark, sf), chapters)
+    return _described(passages), secs, passages
+
+
+@query(f"""{_FOLD_CTE} select source_id || ':' || passage_idx as id, source_id, section, speaker, turn, text, start_ms, end_ms, {_stamp('start_ms')} as timestamp from s""")
 def W6_passage_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages of one speaker, numbered, as records."""
-    w = W.partitionBy("source_id").orderBy("cue_idx")
-    rows = conv(spark, sf).withColumn("seg", F.sum(F.col("turn").cast("int")).over(w))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", "text"))), lambda x: x["text"]), " ")
-    p = rows.groupBy("source_id", "seg").agg(F.min("cue_idx").alias("first"), text.alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("speaker", "cue_idx").alias("speaker"))
-    n = F.row_number().over(W.partitionBy("source_id").orderBy("first")) - 1
-    return p.select(F.concat("source_id", F.lit(":"), n.cast("string")).alias("id"), "source_id", "speaker", F.lit(True).alias("turn"), "text", "start_ms", "end_ms", F.format_string("%d:%02d", F.floor(F.col("start_ms") / 60000), F.floor(F.col("start_ms") / 1000) % 60).alias("timestamp"))
+    """Talks folded into paragraphs, under their chapters, numbered, as records."""
+    rows = render.records(*_talk_lecture(spark, sf))
+    return rows.select("id", "source_id", "section", "speaker", "turn", "text", _ms("start").alias("start_ms"), _ms("end").alias("end_ms"), "timestamp")
 
 
 @query(f"with {CONV} select source_id, cue_idx, speaker, start_ms, end_ms from conv where start_ms < 60000 and end_ms > 20000")
@@ -65,51 +104,47 @@ def W1_speaker_fill(spark, sf):
     return rows.select("source_id", "cue_idx", markup.fill_speaker(["cue_idx"], named, turn).alias("speaker"))
 
 
-@query("""with g as (select user_id, event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over w as gap_ms from events window w as (partition by user_id order by ts, event_id))
-select user_id, event_id, gap_ms from g where gap_ms is not null""")
-def W2_gap(spark, sf):
+def _event_cues(spark, sf) -> DataFrame:
+    """Events as cues of one word without an end, six hours to the second."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", (ms - F.lag(ms).over(w)).alias("gap_ms")).where("gap_ms is not null")
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("source_id"), "event_id", ms.alias("ms"), F.row_number().over(w).alias("cue_idx"))
+    none = F.array().cast("array<struct<text:string,start:double>>")
+    return rows.select("source_id", F.lit(0).alias("track_idx"), "cue_idx", F.lit(0).alias("piece_idx"), F.lit(0).alias("turn_idx"), F.lit("word").alias("text"), (F.col("ms") / 21600000).alias("start"), F.lit(0.0).alias("duration"), none.alias("words"), F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("turn"), F.lit(False).alias("punctuated"), "event_id", "ms")
+
+
+@query("""with g as (select cast(user_id as varchar) as source_id, event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over w as gap_ms from events window w as (partition by user_id order by ts, event_id))
+select source_id, event_id, gap_ms from g where gap_ms is not null""")
+def W2_gap(spark, sf):
+    """The gap before each cue, from where speech ended."""
+    rows = _event_cues(spark, sf)
+    gap = paragraphs.gap_before(F.col("ms"), paragraphs.speech_end(F.col("words"), F.col("ms")))
+    return rows.select("source_id", "event_id", gap.cast("long").alias("gap_ms")).where("gap_ms is not null")
 
 
 @query("""with g as (select *, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over w > 21600000, true)::int as new from events window w as (partition by user_id order by ts, event_id)),
-r as (select *, sum(new) over (partition by user_id order by ts, event_id) as run from g)
-select user_id, cast(run as bigint) as run, count(*) as n_events, epoch_us(min(ts)) // 1000 as start_ms, epoch_us(max(ts)) // 1000 as end_ms from r group by user_id, run""")
+r as (select *, sum(new) over (partition by user_id order by ts, event_id) - 1 as run from g)
+select cast(user_id as varchar) as source_id, cast(run as int) as run, count(*) as n_cues, epoch_us(min(ts)) // 1000 as start_ms, epoch_us(max(ts)) // 1000 as end_ms from r group by user_id, run""")
 def R17_pause_paragraphs(spark, sf):
-    """R17, W2, R21 in the case of text without punctuation: pauses alone close paragraphs."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").withColumn("run", F.coalesce((ms - F.lag(ms).over(w) > 21600000).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("run").over(w))
-    return rows.groupBy("user_id", "run").agg(F.count("*").alias("n_events"), F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"))
+    """R17, W2 in the case of text without punctuation: pauses alone close paragraphs."""
+    rows = _event_cues(spark, sf)
+    runs = rows.join(paragraphs.paragraph_runs(rows), [*TRACK, "cue_idx", "piece_idx", "turn_idx"])
+    return runs.groupBy("source_id", "run").agg(F.count("*").alias("n_cues"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"))
 
 
-_FOLD = f"""with recursive {CONV}, p as (select source_id, cue_idx, turn, n, row_number() over (partition by source_id order by cue_idx) as k,
-start_ms - (lag(end_ms) over (partition by source_id order by cue_idx) - 400) as gap, coalesce(regexp_matches(lag(text) over (partition by source_id order by cue_idx), '[.?!]["'')\\]}}»”’]*\\s*$'), false) as ended from conv),
-f(source_id, k, cue_idx, words, wanted, run) as (
-  select source_id, k, cue_idx, n, false, 0 from p where k = 1
-  union all
-  select p.source_id, p.k, p.cue_idx, case when c.closes then 0 else f.words end + p.n, case when c.closes then false else c.wanted end, f.run + c.closes::int
-  from f join p on p.source_id = f.source_id and p.k = f.k + 1,
-  lateral (select f.wanted or (case when p.gap > 1000 then f.words >= 67.5 else f.words >= 90 end) as wanted) w,
-  lateral (select w.wanted as wanted, p.turn or f.words >= 500 or ((w.wanted or f.words >= 250) and p.ended) as closes) c)
-select source_id, cue_idx, cast(run as int) as run from f"""
+_FOLD = _FOLD_CTE + " select source_id, cue_idx, cast(run as int) as run from f"
 
 
 @query(_FOLD)
 def R17_paragraph_fold(spark, sf):
-    """The whole fold, by segments between turns, over conversations as punctuated tracks."""
-    cues = as_cues(conv(spark, sf)).withColumn("piece_idx", F.lit(0)).withColumn("turn_idx", F.lit(0)).withColumn("punctuated", F.lit(True))
-    runs = paragraphs.paragraph_runs(cues)
+    """The whole fold as a stream, over talks as punctuated tracks."""
     w = W.partitionBy("source_id").orderBy("seg", "run")
-    return runs.select("source_id", "cue_idx", (F.dense_rank().over(w) - 1).alias("run"))
+    return paragraphs.paragraph_runs(_talk_cues(spark, sf)).select("source_id", "cue_idx", (F.dense_rank().over(w) - 1).alias("run"))
 
 
 @query(_FOLD)
 def R17_fold_as_expression(spark, sf):
-    cues = as_cues(conv(spark, sf)).withColumn("piece_idx", F.lit(0)).withColumn("turn_idx", F.lit(0)).withColumn("punctuated", F.lit(True))
-    return paragraphs.runs_by_fold(cues).select("source_id", "cue_idx", "run")
+    return paragraphs.runs_by_fold(_talk_cues(spark, sf)).select("source_id", "cue_idx", "run")
 
 
 # ---- tokens, dedupe, sentences
@@ -139,6 +174,21 @@ def R2_dedupe_rolling_window(spark, sf):
     return dedupe.dedupe_rolling_window(_windowed(spark, sf)).select("source_id", "cue_idx", "text")
 
 
+@query(
+    _WIN
+    + """ f(source_id, cue_idx, seen, fresh, whole) as (
+  select source_id, cue_idx, t, t, true from cue where cue_idx = 0
+  union all
+  select c.source_id, c.cue_idx, list_concat(f.seen, c.t[o.n + 1:])[-10:], c.t[o.n + 1:], o.n = 0 from f join cue c on c.source_id = f.source_id and c.cue_idx = f.cue_idx + 1,
+  lateral (select coalesce(list_max(list_filter(range(1, least(len(f.seen), len(c.t)) + 1), lambda n: f.seen[len(f.seen) - n + 1:] = c.t[1:n])), 0) as n) o)
+select source_id, cast(cue_idx as int) as cue_idx, cast(case when whole then len(fresh) else 0 end as int) as n_timed from f where len(fresh) > 0"""
+)
+def R3_word_times(spark, sf):
+    """A cue keeps its word times only where all of its words are new."""
+    rows = _windowed(spark, sf).withColumn("words", F.transform(T.tokens("text"), lambda t, i: F.struct(t.alias("text"), (F.col("start") + i).cast("double").alias("start"))))
+    return dedupe.dedupe_rolling_window(rows).select("source_id", "cue_idx", F.size("words").alias("n_timed"))
+
+
 @query(f"with {DOC} select source_id, sum(n)::bigint as n_words, sum(len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '[.?!][\"'')\\]}}»”’]*$'))))::bigint as n_endings, case when sum(n) >= 200 then n_endings >= sum(n) * 0.01 end as punctuated from doc group by 1")
 def R5_punctuation_density(spark, sf):
     """R5, R4, A1."""
@@ -340,13 +390,13 @@ def X5_body(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.body(F.concat(F.lit("# "), F.col("text"), F.lit("\n  == x"))).alias("body"))
 
 
-@query()
+@query("""select doc_id, regexp_replace('z' || regexp_replace('# ' || text || chr(10) || '  == x', '([\\\\\\[\\]<>`])', '\\\\\\1', 'g'), '(?m)^(\\s*)([#~=-]+)', '\\1\\\\\\2', 'g')[2:] as body from documents""")
 def X6_body_resumed(spark, sf):
-    """Without SQL, since look-behind is needed; tests compare it with Python."""
+    """A letter before the text stands for the line that it goes on."""
     return table(spark, sf, "documents").select("doc_id", T.body_resumed(F.concat(F.lit("# "), F.col("text"), F.lit("\n  == x"))).alias("body"))
 
 
-@query("""with b as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '[\\s\\x{00a0}]+', ' ', 'g')) as text from pages)
+@query("""with b as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\\s\\x{00a0}]+', ' ', 'g')) as text from pages)
 select page_id, text, length(text) as n_chars from b""")
 def X2_strip_markup(spark, sf):
     """X2, X3, P12."""
@@ -354,12 +404,12 @@ def X2_strip_markup(spark, sf):
     return p.withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query("""with t as (select doc_id, trim(regexp_replace(regexp_replace(left(text, 200) || '?/x. ', '[<>:"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')) as a from documents), u as (select doc_id, rtrim(a, '. ') as a from t),
+@query("""with t as (select doc_id, trim(regexp_replace(regexp_replace(text || '?/x. ', '[<>:"/\\\\|?*\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')) as a from documents), u as (select doc_id, rtrim(a, '. ') as a from t),
 v as (select doc_id, a, left(a, 120) as c, case when contains(left(a, 120), ' ') then left(left(a, 120), 120 - instr(reverse(left(a, 120)), ' ')) else left(a, 120) end as s from u)
 select doc_id, case when length(a) > 120 then rtrim(case when length(s) > 60 then s else c end, '. ') else a end as stem from v""")
 def X7_sanitise(spark, sf):
     """X7, X9."""
-    return table(spark, sf, "documents").select("doc_id", T.sanitise(F.concat(F.left("text", F.lit(200)), F.lit("?/x. "))).alias("stem"))
+    return table(spark, sf, "documents").select("doc_id", T.sanitise(F.concat("text", F.lit("?/x. "))).alias("stem"))
 
 
 @query("""select doc_id, case when n_chars < 1024 then n_chars || ' bytes' else printf('%.1f KiB', n_chars / 1024.0) end as size, case when n_chars >= 3600 then printf('%d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) else printf('%d:%02d', n_chars // 60, n_chars % 60) end as stamp,
@@ -403,55 +453,92 @@ def F8_url_kinds(spark, sf):
 # ---- glossary
 
 
-def _terms(spark, sf):
-    """Long ASCII words of the benchmark, with one letter changed: what to watch for in its own text."""
-    w = table(spark, sf, "benchmark").select("item_id", F.posexplode(T.tokens("text")).alias("j", "w")).where(F.col("w").rlike("^[A-Za-z]{8,}$"))
-    return w.select(F.concat(F.lit("X"), F.expr("substring(lower(w), 2)")).alias("term"), "item_id", "j").groupBy("term").agg(F.min(F.struct("item_id", "j")).alias("f")).select(F.lit("b").alias("source_id"), "term", F.lit("chapter").alias("origin"), (F.row_number().over(W.orderBy("f")) - 1).alias("term_idx"))
+_EDGE = "[.,;:!?\"''()\\[\\]{}—–\\-]+"
+_strip = lambda x: f"regexp_replace(regexp_replace({x}, '^{_EDGE}', ''), '{_EDGE}$', '')"
+_fold = lambda x: f"replace(lower({x}), 'ß', 'ss')"
 
 
-_TERMS = """w as (select item_id, unnest(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x, i: {'w': x, 'j': i - 1})) as x from benchmark),
-terms as (select 'X' || lower(x.w)[2:] as term, min({'i': item_id, 'j': x.j}) as f from w where regexp_full_match(x.w, '[A-Za-z]{8,}') group by 1),
-t as (select term, lower(term) as t, cast(row_number() over (order by f) - 1 as int) as term_idx from terms),
-g as (select item_id, x.j as i, trim(lower(regexp_replace(regexp_replace(x.w, '^[.,;:!?"''()\\[\\]{}—–\\-]+', ''), '[.,;:!?"''()\\[\\]{}—–\\-]+$', ''))) as folded from w),
-h as (select item_id, i, folded, term, term_idx, levenshtein(folded, t) as d from g join t on abs(length(folded) - length(t)) <= case when length(t) >= 10 then 2 else 1 end
- where folded <> '' and not regexp_matches(folded, '\\d') and folded not in (select t from t) and levenshtein(folded, t) between 1 and case when length(t) >= 10 then 2 else 1 end
- and greatest(folded, t) <> '' and not (case when length(folded) <= length(t) then t in (folded || 's', folded || 'es') else folded in (t || 's', t || 'es') end)),
-b as (select * from h qualify row_number() over (partition by item_id, i order by term_idx) = 1)"""
+# levenshtein counts bytes in SQL: letters of two bytes become capitals, which folded text has none of
+_letters = lambda x: f"translate({x}, 'äöüéèêëçóíáúñàùôâîïûœ', 'ABCDEFGHIJKLMNOPQRSTU')"
 
 
-def _items(spark, sf):
-    return table(spark, sf, "benchmark").select(F.lit("b").alias("source_id"), F.col("item_id").cast("int").alias("passage_idx"), "text", F.col("item_id").cast("double").alias("start"))
+def _item_words(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.tokens("text").alias("w"))
 
 
-def _no_variants(spark):
-    return spark.createDataFrame([], "source_id string, folded string, term string, evidence string")
+def _terms(spark, sf):
+    """Long ASCII words of the benchmark, and pairs of them, with one letter changed: what to watch for in all documents."""
+    rows = _item_words(spark, sf).select("item_id", "w", F.posexplode("w").alias("j", "x"))
+    other = lambda x: F.concat(F.lit("X"), F.expr(f"substring(lower({x}), 2)"))
+    next_ = F.get("w", F.col("j") + 1)
+    pairs = rows.withColumn("y", next_).where(F.col("x").rlike("^[A-Za-z]{6,}$") & F.col("y").rlike("^[A-Za-z]{6,}$"))
+    own = rows.where(F.col("x").rlike("^[A-Za-z]{10,}$")).select("item_id", "j", F.lit(0).alias("k"), other("x").alias("term")).union(pairs.select("item_id", "j", F.lit(1), F.concat(other("x"), F.lit(" "), "y")))
+    first = own.groupBy("term").agg(F.min(F.struct("item_id", "j", "k")).alias("f"))
+    return first.select(F.lit(None).cast("string").alias("source_id"), "term", F.lit("chapter").alias("origin"), (F.col("f.item_id") * 100_000 + F.col("f.j") * 2 + F.col("f.k")).alias("term_idx"))
+
+
+def _variants(spark, sf):
+    """The first two words of every item, as a known wrong form of a name."""
+    rows = _item_words(spark, sf).where("size(w) > 1").select("item_id", T.fold(F.concat(F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1)))).alias("folded"))
+    return rows.where("folded <> ''").groupBy("folded").agg(F.min("item_id").alias("i")).select(F.lit(None).cast("string").alias("source_id"), "folded", F.concat(F.lit("Item "), F.col("i").cast("string")).alias("term"), F.lit("given").alias("evidence"))
+
+
+_TERMS = f"""iw as (select item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from benchmark),
+ij as (select item_id, w, unnest(range(1, len(w) + 1)) as j from iw),
+own as (select item_id, j - 1 as j, 0 as k, 'X' || lower(w[j])[2:] as term from ij where regexp_full_match(w[j], '[A-Za-z]{{10,}}') union all
+  select item_id, j - 1, 1, 'X' || lower(w[j])[2:] || ' ' || w[j + 1] from ij where regexp_full_match(w[j], '[A-Za-z]{{6,}}') and regexp_full_match(coalesce(w[j + 1], ''), '[A-Za-z]{{6,}}')),
+t as (select term, lower(term) as t, len(string_split(term, ' ')) as n, min(item_id * 100000 + j * 2 + k) as term_idx from own group by 1, 2, 3),
+var as (select folded, 'Item ' || min(item_id) as vterm from (select item_id, {_fold(_strip('w[1]') + " || ' ' || " + _strip('w[2]'))} as folded from iw where len(w) > 1) where folded <> '' group by 1),
+dw as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from documents),
+g1 as (select doc_id, i - 1 as i, 1 as n, trim({_fold(_strip('w[i]'))}) as folded from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from dw)),
+g2 as (select doc_id, i - 1 as i, 2 as n, trim({_fold(_strip('w[i]') + " || ' ' || " + _strip('w[i + 1]'))}) as folded from (select doc_id, w, unnest(range(1, len(w))) as i from dw)),
+g as (select * from (select * from g1 union all select * from g2) where folded <> ''),
+open as (select distinct n, folded from g where folded not in (select folded from var) and folded not in (select t from t) and not regexp_matches(folded, '\\d')),
+near as (select folded, open.n, term, term_idx, levenshtein({_letters('folded')}, {_letters('t')}) as d, case when length(t) >= 10 then 2 else 1 end as most, t from open join t on open.n = t.n and abs(length(folded) - length(t)) <= case when length(t) >= 10 then 2 else 1 end),
+guess as (select folded, n, term, d from near where d between 1 and most and not (case when length(folded) <= length(t) then t in (folded || 's', folded || 'es') else folded in (t || 's', t || 'es') end) qualify row_number() over (partition by folded, n order by term_idx) = 1),
+hit as (select doc_id, i, g.n, g.folded, coalesce(vterm, term) as term, case when vterm is not null then 0 else d end as d, case when vterm is not null then 'given' else 'chapter' end as evidence from g left join var on var.folded = g.folded left join guess on guess.folded = g.folded and guess.n = g.n where vterm is not null or term is not null)"""
 
 
-@query(f"with {_TERMS} select cast(item_id as int) as passage_idx, cast(i as int) as i, folded, term, cast(d as int) as distance from b")
+def _items(spark, sf):
+    return table(spark, sf, "documents").select(F.lit("all").alias("source_id"), F.col("doc_id").cast("int").alias("passage_idx"), "text", F.col("doc_id").cast("double").alias("start"))
+
+
+@query(f"with {_TERMS} select cast(doc_id as int) as passage_idx, cast(i as int) as i, n, folded, term, evidence, cast(d as int) as distance from hit")
 def J2_fuzzy_hits(spark, sf):
-    """J2 to J4, G3 to G7, F12."""
-    return glossary.hits(_items(spark, sf), _terms(spark, sf), _no_variants(spark), [1]).select("passage_idx", "i", "folded", "term", "distance")
+    """Names and known wrong forms of one word and of two, in all documents."""
+    return glossary.hits(_items(spark, sf), _terms(spark, sf), _variants(spark, sf), [1, 2]).select("passage_idx", "i", "n", "folded", "term", "evidence", "distance")
 
 
-@query(f"""with {_TERMS}, c as (select folded, term, count(*)::int as occurrences, min({{'i': item_id, 'j': i, 'd': d}}) as f from b group by 1, 2)
-select cast(row_number() over (order by occurrences desc, f.i, f.j) - 1 as int) as correction_idx, folded, term as "right", occurrences, cast(f.i as int) as at, round(1 - f.d / 10, 2) as confidence from c""")
+@query(f"""with recursive {_TERMS}, o as (select *, row_number() over (partition by doc_id order by n desc, i) as r from hit),
+k(doc_id, r, taken, kept) as (select doc_id, r, [struct_pack(a := i, b := i + n)], true from o where r = 1
+  union all select o.doc_id, o.r, case when c.free then list_append(k.taken, struct_pack(a := o.i, b := o.i + o.n)) else k.taken end, c.free from k join o on o.doc_id = k.doc_id and o.r = k.r + 1,
+  lateral (select len(list_filter(k.taken, lambda y: o.i < y.b and y.a < o.i + o.n)) = 0 as free) c),
+kept as (select o.*, row_number() over (partition by o.doc_id order by o.r) - 1 as rank from o join k on k.doc_id = o.doc_id and k.r = o.r where k.kept),
+c as (select folded, term, count(*)::int as occurrences, min({{'i': doc_id, 'r': rank}}) as f, any_value(d) as d, any_value(evidence) as evidence from kept group by 1, 2)
+select cast(row_number() over (order by occurrences desc, f.i, f.r) - 1 as int) as correction_idx, folded, term as "right", occurrences, cast(f.i as int) as at, case when d = 0 then 1.0::double else round(1 - d / 10, 2)::double end as confidence, evidence from c""")
 def G9_corrections(spark, sf):
-    """G9, G8, A2, K5, K6."""
-    out = glossary.propose_corrections(_items(spark, sf), _terms(spark, sf), _no_variants(spark), [1])
-    return out.select("correction_idx", T.fold("wrong").alias("folded"), "right", "occurrences", F.col("at").cast("int").alias("at"), "confidence")
+    """Longest hits first where they overlap, then counted."""
+    out = glossary.propose_corrections(_items(spark, sf), _terms(spark, sf), _variants(spark, sf), [1, 2])
+    return out.select("correction_idx", T.fold("wrong").alias("folded"), "right", "occurrences", F.col("at").cast("int").alias("at"), "confidence", "evidence")
 
 
-@query("""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from documents),
-g as (select doc_id, unnest(range(1, len(w))) as i, w from w) select doc_id, cast(i - 1 as int) as i, trim(lower(regexp_replace(regexp_replace(w[i], '^[.,;:!?"''()\\[\\]{}—–\\-]+', ''), '[.,;:!?"''()\\[\\]{}—–\\-]+$', '') || ' ' || regexp_replace(regexp_replace(w[i + 1], '^[.,;:!?"''()\\[\\]{}—–\\-]+', ''), '[.,;:!?"''()\\[\\]{}—–\\-]+$', ''))) as folded from g""")
+@query(f"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, unnest(range(1, len(w))) as i, w from w) select doc_id, cast(i - 1 as int) as i, trim({_fold(_strip('w[i]') + " || ' ' || " + _strip('w[i + 1]'))}) as folded from g""")
 def G4_ngrams(spark, sf):
     """Windows of two words, found by their place in the original text."""
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit(0).alias("passage_idx"), "text")
     return glossary.ngrams(rows, [2]).select(F.col("source_id").cast("long").alias("doc_id"), "i", "folded")
 
 
-@query()
+@query(f"""with s as (select cast(doc_id as varchar) as source_id, unnest(list_transform(regexp_split_to_array(string_split(text, chr(10))[1], '[|:;.–—]|\\s-\\s'), lambda x, i: {{'i': i, 'w': list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')}})) as s from documents),
+u as (select source_id, s.i as seg, s.w as w, list_transform(s.w, lambda x: regexp_matches(x, '^\\p{{Lu}}')) as u from s where len(s.w) > 0),
+r as (select source_id, seg, w, u, unnest(list_filter(range(1, len(w) + 1), lambda i: u[i] and (i = 1 or not u[i - 1]))) as i from u),
+n as (select source_id, seg, w, i, coalesce(list_min(list_filter(range(1, len(w) + 1), lambda j: j > i and not u[j])), len(w) + 1) - i as n from r),
+c as (select source_id, seg, i, 0 as k, {_strip("array_to_string(w[i:i + n - 1], ' ')")} as term, 6 as least from n where n > 1 or i > 1 union all select source_id, seg, i, 1, {_strip("array_to_string(w[i + 1:i + n - 1], ' ')")}, 8 from n where n > 1 and i = 1),
+f as (select source_id, term, min({{'s': seg, 'i': i, 'k': k}}) as f from c where case when len(list_filter(regexp_split_to_array(term, '\\s+'), lambda y: y <> '')) > 1 then length(term) >= 6 else regexp_matches(term, '\\p{{L}}') and length(term) >= least end group by 1, 2)
+select source_id, term, 'title' as origin, cast(row_number() over (partition by source_id order by f) - 1 as int) as term_idx from f""")
 def G1_mined_terms(spark, sf):
-    """Names in the first lines of documents, taken as titles."""
+    """Names in the first lines of documents, which stand in for titles; sources stand in for channels."""
     meta = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("channel"), F.array().cast("array<string>").alias("chapters"))
     return glossary.terms_from(meta)
 
@@ -472,8 +559,7 @@ def _lecture(spark, sf):
     p = _conv_passages(spark, sf).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
     ch = _chapters(spark, sf).withColumn("start", F.col("start") / 1000)
     passages, secs = sections.build_sections(p, ch)
-    lect = p.groupBy("source_id").agg(F.max("end").alias("duration"), F.first("speaker").alias("s0")).select("source_id", F.concat(F.lit("Talk "), F.col("source_id")).alias("title"), F.concat(F.lit("https://example.org/w?v="), F.col("source_id")).alias("url"), F.lit("A Channel").alias("channel"), F.lit("2011-09-12").cast("date").alias("published"), "duration", F.lit("youtube").alias("provider"), F.lit("manual").alias("tier"), F.lit("en").alias("language"), F.lit("vtt").alias("caption_format"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("retrieved_at"), F.sha2("source_id", 256).alias("content_hash"))
-    return lect, secs, passages
+    return _described(passages), secs, passages
 
 
 @query(f"with {CONV} select source_id, string_agg(text, chr(10) || chr(10) order by cue_idx) as text from conv group by 1")
@@ -497,27 +583,76 @@ def O4_records(spark, sf):
     return rows.select("id", "section", "speaker", "turn", "text", _ms("start").alias("start_ms"), _ms("end").alias("end_ms"), "timestamp", "url")
 
 
-@query()
+_BODY = "regexp_replace(regexp_replace(text, '([\\\\\\[\\]<>`])', '\\\\\\1', 'g'), '(?m)^(\\s*)([#~=-]+)', '\\1\\\\\\2', 'g')"
+
+
+@query(f"""{_FOLD_CTE}, line as (
+select distinct source_id, 0 as a, 0 as b, 0 as c, '# Talk ' || source_id || chr(10) || chr(10) || '*A Channel · 12 September 2011 · [watch](https://example.org/w?v=' || source_id || ') · human-written captions (en)*' || chr(10) as line from s
+union all select distinct source_id, 1, section_idx, -1, '## ' || section || chr(10) from s where section is not null
+union all select source_id, 1, section_idx, passage_idx, '**[' || {_stamp('start_ms')} || '](https://example.org/w?v=' || source_id || '&t=' || start_ms // 1000 || ')**' || case when turn then ' **' || speaker || ':**' else '' end || ' ' || {_BODY} || chr(10) from s)
+select source_id, regexp_replace(string_agg(line, chr(10) order by a, b, c), '\\s+$', '') || chr(10) as text from line group by 1""")
 def O1_markdown(spark, sf):
-    """O1, G10, X4 to X6, W10, K10."""
-    lect, secs, passages = _lecture(spark, sf)
-    corrections = spark.createDataFrame([], "source_id string, correction_idx int, wrong string, right string, at double, confidence double, evidence string, occurrences int")
-    return render.markdown(lect, secs, passages, corrections)
+    """Talks in Markdown, without corrections."""
+    none = spark.createDataFrame([], "source_id string, correction_idx int, wrong string, right string, at double, confidence double, evidence string, occurrences int")
+    return render.markdown(*_talk_lecture(spark, sf), none)
 
 
-@query()
+@query("""select cast(n_nationkey as varchar) as source_id, '\\[' || n_name || ' x [Long ' || n_nationkey || '] ' || lower(n_name) || 'ia (' || n_name || ' [Short ' || n_nationkey || ']).' as text from nation""")
+def G10_annotated(spark, sf):
+    """Whole words, case aside, the longest misspelling first; the rest of the text is escaped."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("source_id"), "n_name")
+    rows = n.select("source_id", F.concat(F.lit("["), "n_name", F.lit(" x "), F.lower("n_name"), F.lit("ia ("), "n_name", F.lit(").")).alias("t"))
+    one = lambda i, wrong, right: n.select("source_id", F.lit(i).alias("correction_idx"), F.concat(F.lower("n_name"), F.lit(wrong)).alias("wrong"), F.concat(F.lit(right), "source_id").alias("right"))
+    return render.annotate(rows, one(0, "", "Short ").union(one(1, " x", "Long ")), "t", "text").select("source_id", "text")
+
+
+@query(f"""{_FOLD_CTE}, j as (select id, regexp_replace(json, '"end":[^,]*,', '') as json from (select source_id || ':' || passage_idx as id, to_json({{'id': source_id || ':' || passage_idx, 'source_id': source_id, 'title': 'Talk ' || source_id, 'channel': 'A Channel', 'section': section, 'speaker': speaker, 'turn': turn, 'text': text, 'timestamp': {_stamp('start_ms')}, 'url': 'https://example.org/w?v=' || source_id || '&t=' || start_ms // 1000, 'tier': 'manual', 'language': 'en'}}) as json from s))
+select id, cast(json as varchar) as json from j""")
 def O4_json_lines(spark, sf):
-    """O4, M4, M5."""
-    return render.jsonl(*_lecture(spark, sf))
+    """One JSON object a passage; the two times, which are floats, are left out of the comparison."""
+    lines = render.jsonl(*_talk_lecture(spark, sf)).select(F.explode(F.split("text", "\n")).alias("json"))
+    return lines.select(F.get_json_object("json", "$.id").alias("id"), F.regexp_replace("json", r'"start":[0-9.E-]+,"end":[0-9.E-]+,', "").alias("json"))
+
 
+_tok = lambda x: f"cast(floor(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) / 0.75) as int)"
+_OPENING = "\n\n".join(["## Transcript", render.PREAMBLE, render.BEGIN])
 
-@query()
+
+@query(f"""{_FOLD_CTE}, q as (select source_id, section_idx, any_value(section) as title, coalesce(any_value(opens), min(start_ms)) as start_ms, max(end_ms) as end_ms, sum(n) as words from s group by 1, 2),
+outline as (select source_id, '## Outline' || chr(10) || string_agg(line, chr(10) order by section_idx) as outline from (select source_id, section_idx, row_number() over (partition by source_id order by section_idx) || '. ' || coalesce(title, '(untitled)') || ' — ' || {_stamp('start_ms')} || '–' || {_stamp('end_ms')} || ' (' || words || ' words)' as line from q) group by 1),
+head as (select source_id, '# Talk ' || source_id || ' · A Channel · ' || max(end_ms) // 60000 || ' min' || chr(10) || 'https://example.org/w?v=' || source_id || chr(10) || 'Transcript: manual, en, ' || sum(n) || ' words.' as header from s group by 1),
+room as (select source_id, header, outline, 600 - {_tok('header')} - {_tok('outline')} - {int(len(_OPENING.split()) / 0.75)} - {int(len(render.END.split()) / 0.75)} as room from head join outline using (source_id)),
+e as (select s.*, '[' || {_stamp('start_ms')} || ']' || case when turn then ' ' || speaker || ':' else '' end || ' ' || {_BODY} as entry from s),
+c as (select *, sum({_tok('entry')}) over (partition by source_id order by passage_idx) <= room as kept, row_number() over (partition by source_id, section_idx order by passage_idx) = 1 as opens_section from e join room using (source_id)),
+said as (select source_id, string_agg(case when opens_section and section is not null then '### ' || section || chr(10) || chr(10) else '' end || entry, chr(10) || chr(10) order by passage_idx) as said from c where kept group by 1),
+gone as (select source_id, '## Omitted' || chr(10) || count(*) || ' passages from ' || {_stamp('min(start_ms)')} || ' to ' || {_stamp('max(end_ms)')} || ' did not fit in the context budget.' || chr(10) || 'Ask for the range ' || cast(round_even(min(start_ms) / 1000, 0) as bigint) || '–' || cast(round_even(max(end_ms) / 1000, 0) as bigint) || ' s, or for a larger budget.' as note from c where not kept group by 1)
+select source_id, concat_ws(chr(10) || chr(10), header, outline, '{_OPENING.replace("'", "''")}', said, '{render.END}', note) as text from room left join said using (source_id) left join gone using (source_id)""")
 def O5_context(spark, sf):
-    """O5, W7, W8, D10."""
-    return render.context(*_lecture(spark, sf), budget=600)
+    """Talks within a budget; what is left out is told."""
+    return render.context(*_talk_lecture(spark, sf), budget=600)
+
+
+_PIECES = f"""{DOC}, t as (select source_id, cue_idx, string_split(text, ' ') as w, start_ms from doc),
+cuts as (select source_id, cue_idx, w, start_ms, list_filter(range(1, len(w)), lambda i: regexp_matches(w[i], '[.?!]["'')\\]}}»”’]*$') and regexp_matches(w[i + 1], '^["''(\\[{{«“‘]*[\\p{{Lu}}\\p{{Nd}}]')
+  and not (regexp_replace(regexp_replace(lower(w[i]), '^["''(\\[{{«“‘]+', ''), '["'')\\]}}»”’]+$', '') in ('e.g.','i.e.','etc.','vs.','cf.','al.','no.','fig.','dr.','mr.','mrs.','ms.','prof.','st.','jr.','sr.')
+       or regexp_matches(regexp_replace(regexp_replace(lower(w[i]), '^["''(\\[{{«“‘]+', ''), '["'')\\]}}»”’]+$', ''), '^(\\p{{L}}|\\p{{L}}{{1,2}}(\\.\\p{{L}}{{1,2}})+).$'))) as cut from t),
+ends as (select source_id, cue_idx, w, start_ms, list_concat([0], cut) as a, list_concat(cut, [len(w)]) as b from cuts),
+pieces as (select source_id, cue_idx, start_ms, w, unnest(list_transform(range(1, len(a) + 1), lambda k: {{'k': k - 1, 'a': a[k], 'b': b[k]}})) as s from ends)"""
 
 
-@query()
+@query(f"""with recursive {_PIECES},
+policy as (select source_id, case when sum(n) >= 200 then sum(len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '[.?!]["'')\\]}}»”’]*$')))) >= sum(n) * 0.01 else true end as punctuated from doc group by 1),
+own as (select source_id, cue_idx, s.k as piece_idx, array_to_string(w[s.a + 1:s.b], ' ') as text, start_ms + 400 * s.a as start_ms, s.b - s.a as n from pieces join policy using (source_id) where punctuated
+  union all select source_id, cue_idx, 0, text, start_ms, n from doc join policy using (source_id) where not punctuated),
+z as (select own.*, punctuated, row_number() over w as k, coalesce(regexp_matches(lag(text) over w, '[.?!]["'')\\]}}»”’]*\\s*$'), false) as ended from own join policy using (source_id) window w as (partition by source_id order by cue_idx, piece_idx)),
+f(source_id, k, words, wanted, run) as (
+  select source_id, k, n, false, 0 from z where k = 1
+  union all
+  select z.source_id, z.k, case when c.closes then 0 else f.words end + z.n, case when c.closes then false else c.wanted end, f.run + c.closes::int
+  from f join z on z.source_id = f.source_id and z.k = f.k + 1,
+  lateral (select f.wanted or (z.punctuated and f.words >= 90) as wanted) w,
+  lateral (select w.wanted as wanted, f.words >= 500 or case when z.punctuated then (w.wanted or f.words >= 250) and z.ended else w.wanted or f.words >= 250 end as closes) c)
+select f.source_id, cast(f.run as int) as passage_idx, string_agg(z.text, ' ' order by z.k) as text, cast(min(z.start_ms) as bigint) as start_ms, cast(max(z.start_ms + 400 * z.n) as bigint) as end_ms, cast(null as varchar) as speaker, false as turn from f join z on z.source_id = f.source_id and z.k = f.k group by 1, 2""")
 def R19_reflow(spark, sf):
     """R19, R15 and all stages: documents as tracks, read into paragraphs."""
     cues = as_cues(doc(spark, sf))

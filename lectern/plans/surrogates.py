@@ -1,7 +1,8 @@
 """Timed text made of the driver's tables, and the same as SQL.
 
 ``conv``: a conversation is a source, each turn a cue of 400 ms a word. ``doc``: a
-document is a source, each line a cue, word i at 400 ms x i. ``tracks``: each document
+document is a source, each line a cue, word i at 400 ms x i. ``talk``: the same with
+pauses and speakers. ``tracks``: each document
 as the track of one of a few sources.
 """
 
@@ -47,6 +48,17 @@ d1 as (select source_id, cast(l.i as int) as cue_idx, l.t as text, cast(len(stri
 doc as (select *, cast(400 * sum(n) over w as bigint) as end_ms, cast(400 * (sum(n) over w - n) as bigint) as start_ms from d1 window w as (partition by source_id order by cue_idx))"""
 
 
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc's lines as a talk: a pause of three seconds before every fifth line, another speaker every seventh; adds k (from 0), speaker, turn."""
+    rows = doc(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("source_id").orderBy("cue_idx")) - 1)
+    pause = (3000 * F.floor(F.col("k") / 5)).cast("long")
+    return rows.select("source_id", "track_idx", "cue_idx", "k", "text", "n", (F.col("start_ms") + pause).alias("start_ms"), (F.col("end_ms") + pause).alias("end_ms"), F.concat(F.lit("S"), (F.floor(F.col("k") / 7) % 2).cast("string")).alias("speaker"), (F.col("k") % 7 == 0).alias("turn"))
+
+
+TALK = f"""{DOC}, talk0 as (select *, row_number() over (partition by source_id order by cue_idx) - 1 as k from doc),
+talk as (select source_id, cue_idx, k, text, n, cast(start_ms + 3000 * (k // 5) as bigint) as start_ms, cast(end_ms + 3000 * (k // 5) as bigint) as end_ms, 'S' || (k // 7 % 2) as speaker, k % 7 = 0 as turn from talk0)"""
+
+
 def as_cues(rows: DataFrame, timed: bool = True) -> DataFrame:
     """conv or doc rows as cues, with a time for every word if ``timed``."""
     start = F.col("start_ms") / 1000
