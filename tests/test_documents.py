@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.plans import fetch, outcome, render
 from lectern.sources import files, metadata, store
+from lectern.sources.providers import folder_provider, listing_provider
 from lectern.sources.registry import Registry, UnknownName, default_parsers, default_renderers, provider_for
 from lectern.streaming import pauses
 
@@ -24,7 +25,7 @@ def folder(tmp_path):
 
 
 def test_listing(spark, folder):
-    t = {(r["source_id"], r["track_idx"]): (r["tier"], r["raw_language"], r["caption_format"]) for r in fetch.discover(spark, folder).collect()}
+    t = {(r["source_id"], r["track_idx"]): (r["tier"], r["raw_language"], r["caption_format"]) for r in files.tracks(files.listing(spark, folder)).collect()}
     assert t[("talk", 0)] == ("asr_platform", "en", "json3") and t[("talk", 1)] == ("manual", "en", "vtt") and ("notes", 0) not in t
     assert files.nothing_to_read(files.listing(spark, folder), "x").count() == 0
 
@@ -50,6 +51,80 @@ def test_fetch_end_to_end(spark, folder):
         fetch.fetch(spark, fetch.Request(folder, budget=3))
 
 
+def test_corrections_are_refused_whole(spark, folder):
+    table = spark.createDataFrame([("Programing", "Programming", None), (None, "x", None)], "wrong string, right string, evidence string")
+    out = fetch.fetch(spark, fetch.Request(folder, corrections=table))
+    assert {r["source_id"]: r["failure"]["code"] for r in out.failures.collect()}["corrections"] == "MALFORMED_CORRECTIONS"
+    assert "[Programming]" not in out.documents.collect()[0]["text"] and out.corrections.count() == 0
+    fine = fetch.fetch(spark, fetch.Request(folder, corrections=table.limit(1)))
+    assert "Programing [Programming]" in fine.documents.collect()[0]["text"] and fine.corrections.collect()[0]["evidence"] == "given"
+
+
+def test_ceilings_of_glossary_and_corrections(spark, folder, monkeypatch):
+    lines = spark.createDataFrame([(i, f"Dynamic Programming{i}") for i in range(2001)], "line_idx int, line string")
+    out = fetch.fetch(spark, fetch.Request(folder, glossary=lines))
+    assert {r["source_id"]: r["failure"]["code"] for r in out.failures.collect()}["glossary"] == "PAYLOAD_TOO_LARGE" and out.corrections.count() == 0
+    monkeypatch.setattr(fetch.glossary, "MAX_CORRECTIONS", 1)
+    table = spark.createDataFrame([("Programing", "Programming", None), ("fine", "five", None)], "wrong string, right string, evidence string")
+    out = fetch.fetch(spark, fetch.Request(folder, corrections=table))
+    assert {r["source_id"]: r["failure"]["code"] for r in out.failures.collect()}["corrections"] == "PAYLOAD_TOO_LARGE" and out.corrections.count() == 0
+
+
+def stored(spark, payload):
+    video = lambda i, **more: json.dumps({"id": i, "title": f"Talk {i}", "webpage_url": f"https://www.youtube.com/watch?v={i}", "channel": "Chan", "language": "en", "subtitles": {"en": [{"ext": "vtt", "url": f"u-{i}"}]}, "automatic_captions": {}, "chapters": [{"title": "Open", "start_time": 0}], **more})
+    rows = [("https://www.youtube.com/watch?v=v1", video("v1")), ("v2", video("v2")), ("v3", '{"id": "v3"}'), ("v4", video("v4", subtitles={})), ("https://www.youtube.com/playlist?list=PL", json.dumps({"id": "PL", "entries": [{"id": k} for k in ("v1", "v2", "v3", "v4", "v9")]}))]
+    listings = spark.createDataFrame(rows, "source string, json string")
+    captions = spark.createDataFrame([("u-v1", payload)], "ref string, payload string")
+    return listing_provider(listings, captions)
+
+
+def test_addresses_go_through_their_provider(spark, folder):
+    own = [stored(spark, VTT), folder_provider()]
+    out = fetch.fetch(spark, fetch.Request("https://www.youtube.com/playlist?list=PL", providers=own))
+    failed = {(r["source_id"], r["failure"]["code"]) for r in out.failures.collect()}
+    assert failed == {("v2", "ACQUISITION_FAILED"), ("v3", "TRANSPORT_CONTRACT_CHANGED"), ("v4", "NO_CAPTIONS_AVAILABLE"), ("v9", "LECTURE_UNAVAILABLE")}
+    text = out.documents.collect()[0]["text"]
+    assert text.startswith("# Talk v1\n\n*Chan · [watch](https://www.youtube.com/watch?v=v1)") and "## Open" in text
+    assert fetch.fetch(spark, fetch.Request(folder, providers=own)).documents.count() == 1
+    assert [r["failure"]["code"] for r in fetch.fetch(spark, fetch.Request(folder + "/nothing", providers=own)).failures.collect()] == ["LECTURE_UNAVAILABLE"]
+    assert [r["failure"]["code"] for r in fetch.fetch(spark, fetch.Request("https://x.invalid/", providers=own)).failures.collect()] == ["LECTURE_UNAVAILABLE"]
+    with pytest.raises(UnknownName):
+        fetch.fetch(spark, fetch.Request(folder, providers=own[:1]))
+
+
+def test_stored_payloads_come_first(spark, tmp_path):
+    ask = lambda payload: fetch.fetch(spark, fetch.Request("https://www.youtube.com/watch?v=v1", providers=[stored(spark, payload)], cache=str(tmp_path / "store"), renderer="plain"))
+    assert "Welcome" in ask(VTT).documents.collect()[0]["text"]
+    again = ask(None)  # the transport has nothing any more
+    assert "Welcome" in again.documents.collect()[0]["text"] and again.failures.count() == 0
+
+
+def test_only_chosen_files_are_opened(spark, folder):
+    tracks = files.tracks(files.listing(spark, folder))
+    read = files.payloads(spark, tracks.where("source_id = 'talk' and tier = 'manual'"), folder)
+    assert [r["path"].rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").load([r["ref"] for r in read.select("ref").collect()]).select("path").collect()] == ["talk.en.vtt"]
+    assert "talk.auto.en.json3" not in str(read._jdf.queryExecution().executedPlan()) and read.count() == 1
+
+
+def test_atomic_write_claims_and_cleans_up(tmp_path, monkeypatch):
+    path = tmp_path / "deep" / "a.md"
+    assert outcome.atomic_write(str(path), "one", overwrite=False) is None and path.read_text() == "one"
+    assert outcome.atomic_write(str(path), "two", overwrite=False) == "OUTPUT_EXISTS" and path.read_text() == "one"
+    tried, real = [], outcome.os.replace
+
+    def busy(a, b):
+        tried.append(a)
+        if len(tried) < 4:
+            raise PermissionError
+        real(a, b)
+
+    monkeypatch.setattr(outcome.os, "replace", busy)
+    assert outcome.atomic_write(str(path), "three") is None and path.read_text() == "three" and len(tried) == 4
+    monkeypatch.setattr(outcome.os, "replace", lambda a, b: (_ for _ in ()).throw(PermissionError()))
+    assert outcome.atomic_write(str(tmp_path / "deep" / "b.md"), "x", overwrite=False) == "OUTPUT_UNWRITABLE"
+    assert [f.name for f in (tmp_path / "deep").iterdir()] == ["a.md"]
+
+
 def lecture(spark, budget_words=30):
     lect = spark.createDataFrame([("s", "A *title*", "https://e.org/w?v=1", "Chan", 125.0, "youtube", "manual", "en", "vtt", "ab" * 32)], "source_id string, title string, url string, channel string, duration double, provider string, tier string, language string, caption_format string, content_hash string").withColumn("published", F.lit("2011-09-12").cast("date")).withColumn("retrieved_at", F.lit("2024-05-06 00:00:00").cast("timestamp"))
     secs = spark.createDataFrame([("s", 0, "One | two", 0.0, 60.0), ("s", 1, None, 60.0, 3700.5)], "source_id string, section_idx int, title string, start double, end double")

@@ -192,3 +192,98 @@ def test_urls(spark):
     assert values(spark, U.redact, ["see https://u:p@Host.org:80/x?sig=1#f, ok"]) == ["see https://host.org:80/x ok"]
     assert values(spark, U.safe_url, ["http://a.b/c", "javascript:x", "http://a b", "https:///x", None]) == ["http://a.b/c", None, None, None, None]
     assert values(spark, U.video_id, ["abcdefghijk", "https://youtu.be/abcdefghijk?list=P", "https://www.youtube.com/embed/videoseries?list=P", "https://elsewhere.org/youtube.com/watch?v=abcdefghijk"]) == ["abcdefghijk", "abcdefghijk", None, None]
+
+
+REFERENCES = ["caf&eacute; &#233; &#xE9; &#8217;", "&amp;lt; &ampfoo; &notit; &notin; &nbsp;|&hellip;", "&#0; &#x80; &#xD800; &#x110000; &#11; &#xFFFE; &#99999999999; &#x0000041;", "&bogus; & &; &#; &#x; &&amp", "&CounterClockwiseContourIntegral;&acE;&NotEqualTilde;", "plain", "", "&eacute&eacute;&copy2024 &Aacutex"]
+
+
+def test_all_character_references(spark):
+    import html
+
+    assert values(spark, T.unescape, REFERENCES) == [html.unescape(t) for t in REFERENCES]
+    names = [f"&{k} x" for k in html.entities.html5]
+    assert values(spark, T.unescape, names) == [html.unescape(t) for t in names]
+
+
+def test_references_in_captions(spark):
+    rows = [("a", 0, "vtt", "WEBVTT\n\n00:01.000 --> 00:02.000\n<i>caf&eacute;</i> &#8217;t &lt;b&gt;\n"), ("b", 0, "srt", "1\n00:00:01,000 --> 00:00:02,000\ncaf&eacute; &hellip;\n")]
+    out = {r["source_id"]: r["text"] for r in parse.parse_captions(spark.createDataFrame(rows, "source_id string, track_idx int, caption_format string, payload string")).collect()}
+    assert out == {"a": "café ’t <b>", "b": "café …"}
+
+
+def test_casefold_is_unicode_s(spark):
+    letters = [chr(c) for c in range(1, 0x1E944) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)] + ["ı", "ΌΣΟΣ", "Straße", "ς", "i̇"]
+    cherokee = lambda c: 0x13A0 <= ord(c[0]) <= 0x13FF or 0xAB70 <= ord(c[0]) <= 0xABBF
+    got = values(spark, T.casefold, letters)
+    wrong = [a for a, b in zip(letters, got) if b != a.casefold() and not cherokee(a)]
+    assert wrong == []
+
+
+@given(st.text(alphabet="abc ", min_size=6, max_size=14), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 20), st.sampled_from("abcx")), max_size=2))
+@settings(max_examples=12, deadline=None)
+def test_terms_within_reach_share_a_part(spark_module, term, edits):
+    phrase = term
+    for kind, at, letter in edits[: 2 if len(term) >= glossary.LONG else 1]:
+        i = at % (len(phrase) + 1)
+        phrase = phrase[:i] + (letter if kind != 1 else "") + phrase[i + (kind != 0) :]
+    if not phrase:
+        return
+    df = spark_module.createDataFrame([(term, phrase)], "t string, p string")
+    assert df.where(F.arrays_overlap(glossary.parts_of_term(F.col("t")), glossary.parts_within(F.col("p")))).count() == 1
+
+
+@pytest.fixture(scope="module")
+def spark_module(spark):
+    return spark
+
+
+def test_hits_equal_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(4, 11)))
+    names = [" ".join(word() for _ in range(r.choice([1, 1, 2, 3]))) for _ in range(40)]
+
+    def spoil(t):
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(t))
+            t = t[:i] + r.choice(["", "a", "bd", " "]) + t[i + r.randint(0, 1) :]
+        return t
+
+    texts = [" ".join(r.choice([word(), spoil(r.choice(names)), r.choice(names)]) for _ in range(30)) for _ in range(12)]
+    source = lambda k: f"s{k % 2}"
+    passages = spark.createDataFrame([(source(k), k, t, float(k)) for k, t in enumerate(texts)], "source_id string, passage_idx int, text string, start double")
+    rows = [(None if i % 3 == 0 else f"s{i % 2}", t, "chapter" if i % 4 else "glossary", i) for i, t in enumerate(names)]
+    forms = [(None, "aa bb", "Known", "given"), ("s1", texts[1].split()[0], "Own", "given")]
+    lengths = [1, 2, 3]
+    out = glossary.hits(passages, spark.createDataFrame(rows, "source_id string, term string, origin string, term_idx int"), spark.createDataFrame(forms, "source_id string, folded string, term string, evidence string"), lengths)
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    expected = set()
+    for k, t in enumerate(texts):
+        w = t.split()
+        own = [x for x in rows if x[0] in (None, source(k))]
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                phrase = " ".join(w[i : i + n])
+                form = next((f for f in forms if f[0] in (None, source(k)) and f[1] == phrase), None)
+                if form:
+                    expected.add((k, i, n, form[2], 0))
+                elif phrase not in [x[1] for x in own]:
+                    for _, term, origin, _ in own:
+                        if len(term.split()) != n or len(term) < 6:
+                            continue
+                        d = distance(phrase, term)
+                        a, b = sorted((phrase, term), key=len)
+                        if 0 < d <= (2 if len(term) >= 10 else 1) and not (origin != "glossary" and b in (a + "s", a + "es", a + "'s", a + "’s")):
+                            expected.add((k, i, n, term, d))
+                            break
+    assert {(x["passage_idx"], x["i"], x["n"], x["term"], x["distance"]) for x in out.collect()} == expected and len(expected) > 15
