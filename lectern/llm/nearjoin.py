@@ -3,16 +3,21 @@
 1. Every text gets a MinHash signature, folded to one hash per band. Equal texts meet in
    one row per text (partial aggregation, so a group of copies costs one row a task).
 2. Band hashes are shuffled; each text is linked to the least text of every bucket that
-   it shares. The components of these links hold all candidate pairs.
+   it shares. The components of these links hold all candidate pairs. Where texts that
+   are only somewhat alike have run together into a large component, its texts are
+   banded again with longer bands, which few unlike pairs share.
 3. Inside a component all pairs are verified on full shingle sets. A large component is
    dealt into blocks: texts by size class (sizes further apart than the threshold cannot
-   reach it) and then by hash, and one task verifies one pair of blocks. It returns a
-   row per text: its links and a root for its linked texts, never the pairs.
+   reach it) and then by hash, and one task verifies one pair of blocks, tile by tile. It
+   returns a row per text: its links and a root for its linked texts, never the pairs.
+   Blocks grow with the square root of their class, so that of n texts each is shipped
+   about sqrt(n / TILE_TEXTS) times, up to what a task holds.
 4. Components of the verified links are the classes.
 
 Bands and rows follow from the recall wanted at the threshold, see :func:`bands_for`.
-No bucket, component or partner list is capped. Work inside one component grows with
-the square of its *distinct* texts, since every link is counted; memory does not.
+No bucket, component or partner list is capped; very frequent buckets and labels meet
+their rows by broadcast. Work inside one component grows with the square of its
+*distinct* texts, since every link is counted; memory does not.
 
 Edge cases: a null or empty text has no shingles and links only to its own copies;
 texts of fewer than n words have one shingle and link where all words agree. Rows that
@@ -28,16 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SHINGLE, SIMILAR, MinHash, as_bytes, copy_key, cut, row_key, shingles, workers_see_package
+from lectern.llm.common import SHINGLE, SIMILAR, MinHash, as_bytes, copy_key, cut, join_hot, row_key, shingles, workers_see_package
 from lectern.llm.components import connected_components
 
 RECALL = 0.9999
 MOST_HASHES = 128
-#: What one block holds: texts, and shingles in all.
-BLOCK_TEXTS, BLOCK_SHINGLES = 768, 1_000_000
+#: Min-wise values for texts of large components.
+MORE_HASHES = 512
+#: What is compared at once, and what a component must exceed to be large: texts, and shingles in all.
+TILE_TEXTS, TILE_SHINGLES = 768, 500_000
+#: Most shingles of one block; a task holds two.
+BLOCK_SHINGLES = 4_000_000
 
 
 def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -122,46 +131,115 @@ def roots(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
+def tiles(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of at most TILE_TEXTS texts and, but for single texts, TILE_SHINGLES shingles."""
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start >= TILE_TEXTS or held + n > TILE_SHINGLES):
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return [*out, (start, len(sizes))] if len(sizes) else out
+
+
 def _verify(threshold: float, n: int):
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("key", ignore_index=True)
-        sets = [np.unique(shingles(d, n)) for d in pdf["data"]]
-        adjacent = linked(sets, threshold)
-        side = pdf["side"].to_numpy()
-        if (side != side[0]).any():  # two blocks: pairs inside one are another group's
-            adjacent &= side[:, None] != side[None, :]
-        weight = adjacent @ pdf["copies"].to_numpy(np.float64)
-        root = roots(adjacent)
-        has = adjacent.any(axis=1)
+        pdf = pdf.drop_duplicates("key", ignore_index=True).sort_values(["side", "key"], kind="stable", ignore_index=True)
+        sets = [np.unique(shingles(d, n)) for d in pdf.pop("data")]
+        sizes = np.array([len(s) for s in sets])
+        side, copies = pdf["side"].to_numpy(), pdf["copies"].to_numpy(np.float64)
+        two = len(sets) and side[0] != side[-1]  # two blocks: pairs inside one are another group's
+        weight, root = np.zeros(len(sets)), np.arange(len(sets))
+        parts = tiles(sizes)
+        for k, (a, b) in enumerate(parts):
+            for c, d in parts[k:]:
+                if two and side[a] == side[d - 1] or sizes[a:b].max() < threshold * sizes[c:d].min() or sizes[c:d].max() < threshold * sizes[a:b].min():
+                    continue
+                at = np.r_[a:b, c:d] if a != c else np.arange(a, b)
+                adjacent = linked([sets[i] for i in at], threshold)
+                if two:
+                    adjacent &= side[at][:, None] != side[at][None, :]
+                if a != c:  # pairs inside a tile have their turn
+                    adjacent[: b - a, : b - a] = adjacent[b - a :, b - a :] = False
+                weight[at] += adjacent @ copies[at]
+                root = merged(root, at, roots(adjacent))
+        has = weight > 0
         keys = pdf["key"].to_numpy()
         return pd.DataFrame({"key": keys[has], "links": weight[has].round().astype("int64"), "root": keys[root[has]]})
 
     return run
 
 
+def merged(root: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Labels of all texts after those at ``at`` were found to hang together as own says; a label is a text of its component."""
+    root = root.copy()
+    for i, j in zip(root[at].tolist(), root[at[own]].tolist()):
+        i, j = int(root[i]), int(root[j])
+        if i != j:
+            root[root == max(i, j)] = min(i, j)
+    return root
+
+
 def candidates(texts: DataFrame) -> DataFrame:
-    """texts(key, bands) -> (id, label): components of texts that share a band's bucket."""
+    """texts(key, bands) -> (id, label): components of texts that share a band's bucket.
+
+    A bucket stands for its least text. A text is linked to the least of its buckets'
+    texts, and these to that one, so that texts alike give the same links but for their own.
+    """
     rows = texts.select("key", F.posexplode("bands").alias("band", "hash"))
-    buckets = rows.groupBy("band", "hash").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return connected_components(rows.join(buckets, ["band", "hash"]).select(F.col("key").alias("u"), "v"))
+    buckets = cut(rows.groupBy("band", "hash").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = join_hot(rows, buckets.drop("n"), ["band", "hash"], counts=buckets.select("band", "hash", "n"))
+    of_text = shared.groupBy("key").agg(F.collect_set("v").alias("vs")).select("key", "vs", F.array_min("vs").alias("m"))
+    links = F.concat(F.array(F.struct(F.col("key").alias("u"), F.col("m").alias("v"))), F.transform("vs", lambda v: F.struct(v.alias("u"), F.col("m").alias("v"))))
+    return connected_components(of_text.select(F.inline(links)))
+
+
+def is_large() -> Column:
+    """Whether a component of n texts and s shingles is more than one comparison."""
+    return (F.col("n") > TILE_TEXTS) | (F.col("s") > TILE_SHINGLES)
+
+
+def components(texts: DataFrame, base: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """texts(key, size, bands, rep), base(id, key, data) -> (key, comp), and key, data of these: all linked pairs share a component.
+
+    Texts of large components are banded again.
+    """
+    first = cut(candidates(texts).select(F.col("id").alias("key"), F.col("label").alias("comp")), "components")
+    data = cut(whole_texts(first, texts, base), "candidates")
+    total = first.join(texts.select("key", "size"), "key").groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    large = cut(join_hot(first, total.where(is_large()).select("comp"), ["comp"], counts=total.select("comp", "n")).select("key"), "large")
+    if large.isEmpty():
+        return first, data
+    bands, rows = bands_for(threshold, recall, MORE_HASHES)
+    again = signatures(data.join(large, "key", "left_semi").withColumn("id", F.lit(0)), bands, rows, n)
+    split = candidates(cut(again, "again")).select(F.col("id").alias("key"), F.col("label").alias("comp"))
+    return cut(first.join(large, "key", "left_anti").unionByName(split), "components"), data
+
+
+def whole_texts(chosen: DataFrame, texts: DataFrame, base: DataFrame) -> DataFrame:
+    """key, data of the chosen keys: of rows that share a text only those of the least id are shuffled. Rows alike in both are all there."""
+    rows = chosen.join(texts.select("key", "rep"), "key").select(row_key(F.col("rep"), F.col("key")).alias("row"))
+    return base.withColumn("row", row_key(F.col("id"), F.col("key"))).join(rows, "row", "left_semi").select("key", "data")
 
 
 def blocks(members: DataFrame, threshold: float) -> DataFrame:
     """members(comp, key, size, ...) -> a row for each group of pairs that a text must meet in: adds pair, side.
 
-    Components within one block are one group. In others a text stands in a size class
-    and, within it, in a block chosen by its hash; it meets all blocks of its own class
-    and of the two next to it. Blocks are as many as the class's texts and shingles need.
+    Components that are no more than one comparison are one group. In others a text
+    stands in a size class and, within it, in a block chosen by its hash; it meets all
+    blocks of its own class and of the two next to it. A class of n texts has about
+    sqrt(n / TILE_TEXTS) blocks, or as many as its shingles need.
     """
     total = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    m = members.join(total, "comp")
-    small = m.where((F.col("n") <= BLOCK_TEXTS) & (F.col("s") <= BLOCK_SHINGLES)).drop("n", "s")
-    large = m.where((F.col("n") > BLOCK_TEXTS) | (F.col("s") > BLOCK_SHINGLES)).drop("n", "s")
+    m = cut(join_hot(members, total, ["comp"], counts=total.select("comp", "n")), "totals")
+    small, large = m.where(~is_large()).drop("n", "s"), m.where(is_large()).drop("n", "s")
     # a hair wider than 1 / threshold, so that rounding cannot put a pair two classes apart
     large = large.withColumn("cls", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(1 / threshold * 1.0001)).cast("int"))
-    per = large.groupBy("comp", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("comp", "cls", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    n, s = F.col("n"), F.col("s")
+    k = F.greatest(F.ceil(n / F.greatest(F.lit(float(TILE_TEXTS)), F.sqrt(n * TILE_TEXTS))), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    per = large.groupBy("comp", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("comp", "cls", k.alias("k"))
     near = per.select("comp", (F.col("cls") + 1).alias("cls"), F.col("k").alias("below")).join(per, ["comp", "cls"], "right").join(per.select("comp", (F.col("cls") - 1).alias("cls"), F.col("k").alias("above")), ["comp", "cls"], "left")
     own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
     none = F.array().cast("array<struct<a:string,b:string>>")
@@ -174,7 +252,7 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
         upto(F.coalesce("above", F.lit(0)), lambda j: pair(name(cls, i), name(cls + 1, j))),
         upto(F.coalesce("below", F.lit(0)), lambda j: pair(name(cls - 1, j), name(cls, i))),
     )
-    dealt = large.join(near, ["comp", "cls"]).withColumn("own", own).withColumn("meet", F.explode(meets))
+    dealt = join_hot(large, near, ["comp", "cls"]).withColumn("own", own).withColumn("meet", F.explode(meets))
     cols = members.columns
     return small.select(*cols, F.lit("").alias("pair"), F.lit("").alias("side")).union(dealt.select(*cols, F.concat_ws("/", "meet.a", "meet.b").alias("pair"), name(cls, i).alias("side")))
 
@@ -189,26 +267,33 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, n: int = SHINGL
     base = docs.select(F.col(doc_id).alias("id"), copy_key(F.col(text)).alias("key"), as_bytes(F.col(text)).alias("data"))
     sig = cut(signatures(base, bands, rows, n), "signatures")
     texts = cut(sig.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
-    comp = candidates(texts).withColumnRenamed("id", "key").withColumnRenamed("label", "comp")
-    members = comp.join(texts.select("key", "copies", "rep", "size"), "key")
+    comp, data = components(texts, base, threshold, n, recall)
+    members = cut(comp.join(texts.select("key", "copies", "rep", "size"), "key"), "members")
     dealt = blocks(members, threshold)
-    chosen = comp.join(texts.select("key", "rep"), "key").select(row_key(F.col("rep"), F.col("key")).alias("row"))
-    one = base.withColumn("row", row_key(F.col("id"), F.col("key"))).join(chosen, "row", "left_semi").select("key", "data")
-    groups = dealt.select("comp", "pair", "side", "key", "copies").join(one, "key")
+    groups = dealt.select("comp", "pair", "side", "key", "copies").join(data, "key")
     found = cut(groups.groupBy("comp", "pair").applyInPandas(_verify(threshold, n), "key binary, links long, root binary"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     label = connected_components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
     in_class = label.withColumnRenamed("id", "key").join(texts.select("key", "rep"), "key")
     first = in_class.groupBy("label").agg(F.min("rep").alias("class_id"))
-    of_key = texts.select("key", "copies", "rep").join(in_class.join(first, "label").select("key", "class_id"), "key", "left").join(links, "key", "left")
+    of_key = texts.select("key", "copies", "rep").join(join_hot(in_class, first, ["label"]).select("key", "class_id"), "key", "left").join(links, "key", "left")
     of_key = of_key.select("key", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sig.select(F.col("id").alias("doc_id"), "key").join(of_key, "key").select("doc_id", "key", "class_id", "copy_of", "n_links")
+    rows = sig.select(F.col("id").alias("doc_id"), "key")
+    # a group of copies may hold a third of all rows
+    return join_hot(rows, of_key, ["key"], counts=texts.select("key", F.col("copies").alias("n"))).select("doc_id", "key", "class_id", "copy_of", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILAR, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The row with the least doc_id of each class, with its own columns; of rows that tie, one."""
+    """The row with the least doc_id of each class, with its own columns; of rows that tie, one.
+
+    Rows are chosen by doc_id and text key; whole rows move once, to meet what was chosen.
+    """
     classes = near_duplicates(docs, threshold, n, text=text, doc_id=doc_id)
-    first = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("k")).agg(F.min_by(F.struct("doc_id", "key"), F.struct("doc_id", "key")).alias("f")).select("f.*")
-    first = first.select(row_key(F.col("doc_id"), F.col("key")).alias("__at"))
+    alike = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("k"), "doc_id", "key").agg(F.count("*").alias("n"))
+    first = alike.groupBy("class_id", "k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key", "n")).alias("f")).select("f.*")
+    first = cut(first.select(row_key(F.col("doc_id"), F.col("key")).alias("__at"), "n"), "chosen")
     whole = docs.select(F.struct(*docs.columns).alias("__row"), row_key(F.col(doc_id), copy_key(F.col(text))).alias("__at"))
-    return whole.join(first, "__at").groupBy("__at").agg(F.first("__row").alias("r")).select("r.*")
+    found = whole.join(first.select("__at"), "__at")
+    if not first.where("n > 1").isEmpty():  # rows alike in doc_id and text
+        found = found.groupBy("__at").agg(F.first("__row").alias("__row"))
+    return found.select("__row.*")
