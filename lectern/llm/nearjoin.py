@@ -11,7 +11,7 @@
    reach it) and then by hash, and one task verifies one pair of blocks, tile by tile. It
    returns a row per text: its links and a root for its linked texts, never the pairs.
    Blocks grow with the square root of their class, so that of n texts each is shipped
-   about sqrt(n / TILE_TEXTS) times, up to what a task holds.
+   about sqrt(n / BLOCK_TEXTS) times, up to what a task holds.
 4. Components of the verified links are the classes.
 
 Bands and rows follow from the recall wanted at the threshold, see :func:`bands_for`.
@@ -45,6 +45,8 @@ MOST_HASHES = 128
 MORE_HASHES = 512
 #: What is compared at once, and what a component must exceed to be large: texts, and shingles in all.
 TILE_TEXTS, TILE_SHINGLES = 768, 500_000
+#: A class of n texts is cut into blocks of about the square root of n times this many.
+BLOCK_TEXTS = 256
 #: Most shingles of one block; a task holds two.
 BLOCK_SHINGLES = 4_000_000
 
@@ -230,7 +232,7 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
     Components that are no more than one comparison are one group. In others a text
     stands in a size class and, within it, in a block chosen by its hash; it meets all
     blocks of its own class and of the two next to it. A class of n texts has about
-    sqrt(n / TILE_TEXTS) blocks, or as many as its shingles need.
+    sqrt(n / BLOCK_TEXTS) blocks, or as many as its shingles need.
     """
     total = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     m = cut(join_hot(members, total, ["comp"], counts=total.select("comp", "n")), "totals")
@@ -238,7 +240,7 @@ def blocks(members: DataFrame, threshold: float) -> DataFrame:
     # a hair wider than 1 / threshold, so that rounding cannot put a pair two classes apart
     large = large.withColumn("cls", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(1 / threshold * 1.0001)).cast("int"))
     n, s = F.col("n"), F.col("s")
-    k = F.greatest(F.ceil(n / F.greatest(F.lit(float(TILE_TEXTS)), F.sqrt(n * TILE_TEXTS))), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    k = F.greatest(F.ceil(n / F.sqrt(n * BLOCK_TEXTS)), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     per = large.groupBy("comp", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("comp", "cls", k.alias("k"))
     near = per.select("comp", (F.col("cls") + 1).alias("cls"), F.col("k").alias("below")).join(per, ["comp", "cls"], "right").join(per.select("comp", (F.col("cls") - 1).alias("cls"), F.col("k").alias("above")), ["comp", "cls"], "left")
     own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")

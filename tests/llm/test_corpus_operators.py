@@ -90,6 +90,7 @@ def test_join_equals_brute_force(spark, docs, blocks, monkeypatch):
     monkeypatch.setattr(nearjoin, "TILE_TEXTS", blocks[0])
     monkeypatch.setattr(nearjoin, "TILE_SHINGLES", blocks[1])
     monkeypatch.setattr(nearjoin, "BLOCK_SHINGLES", blocks[2])
+    monkeypatch.setattr(nearjoin, "BLOCK_TEXTS", blocks[0] // 2)
     monkeypatch.setattr(common, "HOT_ROWS", blocks[3])
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     link, label = brute_links(rows)
@@ -454,6 +455,17 @@ def test_licenses_equal_brute_force(spark):
     assert got == expected and {i for i, *_ in got} == {0, 1, 2, 3, 7}
 
 
+def test_licenses_and_containment_edge_cases(spark):
+    rows = [(None, "Released under the MIT License."), (2**60 + 1, "Released under the MIT License."), (2**60 + 1, "Released under the MIT License."), (3, None), (4, ""), (5, "x " * 100_000)]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, unit string, license string, item_id string")
+    assert Counter((r["doc_id"], r["license"], r["unit"]) for r in licenses.scan(df).collect()) == Counter({(None, "MIT", "line"): 1, (2**60 + 1, "MIT", "line"): 2})
+    assert licenses.scan(df.limit(0)).count() == 0
+    items = spark.createDataFrame([(None, "Released under the MIT License.", 1), (2**60 + 3, "x x x x x x x", 2)], "item_id long, text string, doc_id long")
+    assert Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find(df, items).collect()) == Counter({(None, None): 1, (2**60 + 1, None): 2, (5, 2**60 + 3): 1})
+    kept = decontaminate.drop_contaminated(df, items)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+
+
 def test_licenses_within_running_text(spark):
     full = dict(licenses.full_texts())
     wrap = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
