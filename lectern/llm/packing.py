@@ -37,9 +37,10 @@ END_ID = 1
 SHARD_PIECES = 16_384
 #: What shards are counted by: texts have about as many bytes an id. No bound rests on it.
 BYTES_AN_ID = 4
-_MEMO = 150_000
+_MEMO = 300_000
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _SAFE = re.compile(r"[\x21-\x7e" + "À-ÖØ-öø-ÿ" + r"]+\Z")
+_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:?!]*)\Z").match
 _PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
@@ -62,6 +63,7 @@ class WordIds(dict):
 
         super().__init__()
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -84,7 +86,12 @@ class WordIds(dict):
     def __missing__(self, run: bytes) -> bytes:
         found = self.old.get(run)
         if found is None:
-            found = self.ids_of(run.decode("utf-8", "replace"))
+            plain = _PLAIN(run)
+            if plain:  # most runs: a word and what closes it, each remembered by itself
+                word, tail = plain.groups()
+                found = self.part(word.lower()) + (self.part(tail) if tail else b"")
+            else:
+                found = self.ids_of(run.decode("utf-8", "replace"))
         if len(run) <= 40:
             if len(self) >= _MEMO:
                 self.old = dict(self)
@@ -92,6 +99,17 @@ class WordIds(dict):
             self[run] = found
         return found
 
+    def part(self, data: bytes) -> bytes:
+        """Ids of a part as the tokenizer cuts them; in lower case."""
+        found = self.parts.get(data)
+        if found is None:
+            found = self.id_of[self.core(data + b"\xff")].tobytes()
+            if len(data) <= 40:
+                if len(self.parts) >= _MEMO:
+                    self.parts.clear()
+                self.parts[data] = found
+        return found
+
     def ids_of(self, run: str) -> bytes:
         if not _SAFE.match(run) or "<|" in run:
             return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
