@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import tokens
+from lectern.functions.text import n_tokens, tokens
 from lectern.operators import CUES, TRACK, WORDS
+from lectern.sources.shared import workers_see_package
 
 
 def overlap_length(tail: Column, head: Column) -> Column:
@@ -31,31 +37,37 @@ def _overlap(tail: list[str], head: list[str]) -> int:
 def dedupe_rolling_window(cues: DataFrame) -> DataFrame:
     """Cues without the words that the track has just said; cues with nothing new go.
 
-    A cue keeps its own start, and its word times only if all of its words are new. The
-    state is the last words of the track, as many as its longest cue has; a track is
-    read in order by one task, and its size has a ceiling.
+    A cue keeps its own start, and its word times only if all of its words are new.
+    Tracks are dealt over the tasks and pass through each in order as one stream; the
+    state is the last words of a track, as many as its longest cue has.
     """
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("cue_idx", kind="stable")
-        longest = max((len(t.split()) for t in pdf["text"]), default=0)
-        tail: list[str] = []
-        keep, texts, words = [], [], []
-        for text, timed in zip(pdf["text"], pdf["words"]):
-            own = text.split()
-            fresh = own[_overlap(tail, own) :]
-            keep.append(bool(fresh))
-            if fresh:
-                tail = [*tail, *fresh][-longest:]
-                texts.append(" ".join(fresh))
-                words.append(list(timed) if len(timed) == len(fresh) else [])
-        out = pdf[keep].copy()
-        out["text"], out["words"] = pd.Series(texts, index=out.index, dtype=object), pd.Series(words, index=out.index, dtype=object)
-        return out
-
-    return cues.select(*[c.strip().split(" ")[0] for c in CUES.split(", ")]).groupBy(*TRACK).applyInPandas(run, CUES)
+    workers_see_package(cues.sparkSession)
+    names = [c.strip().split(" ")[0] for c in CUES.split(", ")]
+    types = {c.strip().split(" ")[0]: c.strip().split(" ", 1)[1] for c in CUES.replace(WORDS, "words_type").split(", ")}
+    own = cues.select(*[F.col(c).cast(WORDS if types[c] == "words_type" else types[c]).alias(c) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tail = None, []
+        for batch in batches:
+            kept, texts, timed = [], [], []
+            sizes = pc.list_value_length(batch.column("words")).to_pylist()
+            for i, (source, track, text, size, longest) in enumerate(zip(*[batch.column(c).to_pylist() for c in (*TRACK, "text")], sizes, batch.column("longest").to_pylist())):
+                if now != (source, track):
+                    now, tail = (source, track), []
+                words = text.split()
+                fresh = words[_overlap(tail, words) :]
+                if fresh:
+                    tail = [*tail, *fresh][-longest:]
+                    kept.append(i)
+                    texts.append(" ".join(fresh))
+                    timed.append(size == len(fresh))
+            part = batch.take(pa.array(kept, pa.int64()))
+            columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(timed, pa.bool_())], [*names, "timed"])
+
+    dealt = own.repartition(*TRACK).withColumn("longest", F.max(n_tokens("text")).over(W.partitionBy(*TRACK)))
+    out = dealt.sortWithinPartitions(*TRACK, "cue_idx").mapInArrow(run, f"{CUES}, timed boolean")
+    return out.withColumn("words", F.when(F.col("timed"), F.col("words")).otherwise(F.array().cast(WORDS))).select(*names)
 
 
 def dedupe_fold(cues: DataFrame) -> DataFrame:

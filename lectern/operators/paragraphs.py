@@ -15,6 +15,7 @@ from lectern.operators import TRACK
 from lectern.operators.dedupe import dedupe_rolling_window
 from lectern.operators.markup import consume_markup
 from lectern.operators.sentences import ends_sentence, punctuated, split_at_sentences
+from lectern.sources.shared import workers_see_package
 
 WORD_TAIL, GAP, TARGET, MOST = 1.0, 1.0, 90, 250
 PAUSE_FLOOR, CEILING = 0.75, 2
@@ -62,6 +63,7 @@ def paragraph_runs(cues: DataFrame) -> DataFrame:
     A turn closes whatever is open and begins a segment. Tracks are dealt over the tasks
     and pass through each in order as one stream, which holds a few numbers.
     """
+    workers_see_package(cues.sparkSession)
     order = ["cue_idx", "piece_idx", "turn_idx"]
     end = F.col("start") + F.col("duration")
     facts = cues.select("source_id", *[F.col(c).cast("int").alias(c) for c in ("track_idx", *order)], "start", speech_end(F.col("words"), end).alias("spoken"), n_tokens("text").alias("n"), ends_sentence("text").alias("ended"), F.coalesce("turn", F.lit(False)).alias("turn"), "punctuated")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import FALLBACK_STEM, sanitise
 from lectern.functions.web import redact
+from lectern.sources.shared import workers_see_package
 from lectern.sources.store import there
 
 EXIT_OK, EXIT_FAILED, EXIT_PARTIAL = 0, 1, 2
@@ -99,6 +100,7 @@ def write_outputs(planned: DataFrame, folder: str, overwrite: bool = True) -> Da
     (as the cluster's shared folder is); a folder of another file system is refused.
     Without overwrite a name is claimed first, so that of two runs one writes it.
     """
+    workers_see_package(planned.sparkSession)
     scheme = re.match("[A-Za-z][A-Za-z0-9+.-]*(?=://)", folder)
     if scheme and scheme[0] != "file":
         raise ValueError(f"files are written to a mounted folder, not to {scheme[0]}://")

@@ -51,23 +51,33 @@ def test_fetch_end_to_end(spark, folder):
         fetch.fetch(spark, fetch.Request(folder, budget=3))
 
 
+def mined(spark):
+    return spark.createDataFrame([("a", "Mined Name", "title", 0)], "source_id string, term string, origin string, term_idx int")
+
+
+def codes(failures):
+    return {r["source_id"]: r["code"] for r in failures.collect()}
+
+
 def test_corrections_are_refused_whole(spark, folder):
     table = spark.createDataFrame([("Programing", "Programming", None), (None, "x", None)], "wrong string, right string, evidence string")
-    out = fetch.fetch(spark, fetch.Request(folder, corrections=table))
-    assert {r["source_id"]: r["failure"]["code"] for r in out.failures.collect()}["corrections"] == "MALFORMED_CORRECTIONS"
-    assert "[Programming]" not in out.documents.collect()[0]["text"] and out.corrections.count() == 0
-    fine = fetch.fetch(spark, fetch.Request(folder, corrections=table.limit(1)))
+    _, variants, failed = fetch.names(spark, fetch.Request(folder, corrections=table), mined(spark))
+    assert codes(failed) == {"corrections": "MALFORMED_CORRECTIONS"} and variants.count() == 0
+    fine = fetch.fetch(spark, fetch.Request(folder, corrections=table.limit(1), glossary=spark.createDataFrame([(i, f"Dynamic Programming{i}") for i in range(2001)], "line_idx int, line string")))
     assert "Programing [Programming]" in fine.documents.collect()[0]["text"] and fine.corrections.collect()[0]["evidence"] == "given"
+    assert {r["source_id"]: r["failure"]["code"] for r in fine.failures.collect()}["glossary"] == "PAYLOAD_TOO_LARGE"
 
 
-def test_ceilings_of_glossary_and_corrections(spark, folder, monkeypatch):
-    lines = spark.createDataFrame([(i, f"Dynamic Programming{i}") for i in range(2001)], "line_idx int, line string")
-    out = fetch.fetch(spark, fetch.Request(folder, glossary=lines))
-    assert {r["source_id"]: r["failure"]["code"] for r in out.failures.collect()}["glossary"] == "PAYLOAD_TOO_LARGE" and out.corrections.count() == 0
+def test_ceilings_and_order_of_names(spark, folder, monkeypatch):
+    lines = spark.createDataFrame([(0, "Mined Name: mint nam"), (1, "Other: oter")], "line_idx int, line string")
+    table = spark.createDataFrame([("Oter", "Otter", None), ("fine", "five", None)], "wrong string, right string, evidence string")
+    request = fetch.Request(folder, glossary=lines, corrections=table)
+    terms, variants, failed = fetch.names(spark, request, mined(spark))
+    assert {(r["source_id"], r["term"], r["origin"]) for r in terms.collect()} == {(None, "Mined Name", "glossary"), (None, "Other", "glossary")}
+    assert {(r["folded"], r["term"], r["evidence"]) for r in variants.collect()} == {("mint nam", "Mined Name", "glossary"), ("oter", "Otter", "given"), ("fine", "five", "given")} and failed.count() == 0
     monkeypatch.setattr(fetch.glossary, "MAX_CORRECTIONS", 1)
-    table = spark.createDataFrame([("Programing", "Programming", None), ("fine", "five", None)], "wrong string, right string, evidence string")
-    out = fetch.fetch(spark, fetch.Request(folder, corrections=table))
-    assert {r["source_id"]: r["failure"]["code"] for r in out.failures.collect()}["corrections"] == "PAYLOAD_TOO_LARGE" and out.corrections.count() == 0
+    terms, variants, failed = fetch.names(spark, request, mined(spark))
+    assert codes(failed) == {"corrections": "PAYLOAD_TOO_LARGE"} and {r["folded"] for r in variants.collect()} == {"mint nam", "oter"}
 
 
 def stored(spark, payload):
@@ -85,9 +95,9 @@ def test_addresses_go_through_their_provider(spark, folder):
     assert failed == {("v2", "ACQUISITION_FAILED"), ("v3", "TRANSPORT_CONTRACT_CHANGED"), ("v4", "NO_CAPTIONS_AVAILABLE"), ("v9", "LECTURE_UNAVAILABLE")}
     text = out.documents.collect()[0]["text"]
     assert text.startswith("# Talk v1\n\n*Chan · [watch](https://www.youtube.com/watch?v=v1)") and "## Open" in text
-    assert fetch.fetch(spark, fetch.Request(folder, providers=own)).documents.count() == 1
-    assert [r["failure"]["code"] for r in fetch.fetch(spark, fetch.Request(folder + "/nothing", providers=own)).failures.collect()] == ["LECTURE_UNAVAILABLE"]
-    assert [r["failure"]["code"] for r in fetch.fetch(spark, fetch.Request("https://x.invalid/", providers=own)).failures.collect()] == ["LECTURE_UNAVAILABLE"]
+    assert fetch.Request(folder, providers=own).provider().name == "local" and fetch.Request("https://x.invalid/", providers=own).provider().name == "youtube"
+    assert codes(own[1].list(spark, folder + "/nothing").failures) == {folder + "/nothing": "LECTURE_UNAVAILABLE"}
+    assert codes(own[0].list(spark, "https://x.invalid/").failures) == {"https://x.invalid/": "LECTURE_UNAVAILABLE"}
     with pytest.raises(UnknownName):
         fetch.fetch(spark, fetch.Request(folder, providers=own[:1]))
 
