@@ -46,7 +46,7 @@ END = b""
 FOLDS, HELD_OUT = 7, 2
 #: What the shorter history counts like, in tokens.
 SMOOTH = 20
-_FLUSH_WORDS, _FLUSH_PAIRS, _MEMO = 400_000, 4_000_000, 300_000
+_FLUSH_WORDS, _FLUSH_PAIRS, _MEMO = 400_000, 4_000_000, 600_000
 
 
 @dataclass(frozen=True)
@@ -134,25 +134,29 @@ class Head:
             found[missing] = code
             if len(self.memo) > _MEMO:
                 self.memo.clear()
-            self.memo.update(zip(new, code.tolist()))
+            # words beyond the head are too rare to be worth remembering
+            self.memo.update((new[i], int(code[i])) for i in np.flatnonzero(code != self.rest).tolist())
         return found.astype(np.uint32)
 
 
 def encode(docs: DataFrame, head) -> DataFrame:
     """(rid, doc_id, held_out, data) -> ... ids (unsigned 32-bit, the end's 0 last), rest (words beyond the head and how often)."""
-    kind_of = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Head = head.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, codes, rest = batch.slice(at, 256), [], []
+                part, codes, words, times, ends = batch.slice(at, 256), [], [], [], [0]
                 for data in part.column("data"):
                     w = words_of(data.as_py())
                     code = np.append(own.encode(w), np.uint32(0))
                     codes.append(code.tobytes())
-                    rest.append([{"word": x, "k": k} for x, k in Counter(w[i] for i in np.flatnonzero(code == own.rest).tolist()).items()])
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(codes, pa.binary()), pa.array(rest, kind_of)], ["rid", "doc_id", "held_out", "ids", "rest"])
+                    rest = Counter([w[i] for i in np.flatnonzero(code == own.rest).tolist()])
+                    words.extend(rest.keys())
+                    times.extend(rest.values())
+                    ends.append(len(words))
+                beyond = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "k"]))
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(codes, pa.binary()), beyond], ["rid", "doc_id", "held_out", "ids", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("rid", "doc_id", "held_out", "data").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, ids binary, rest array<struct<word:binary,k:long>>")
@@ -290,31 +294,34 @@ def moved(training: DataFrame, cls, link, n_cls: int, classes: int) -> DataFrame
         return np.concatenate([tokens[mine] * width + left, tokens[mine] * width + n_cls + right])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, carry = link.value, None
+        how, held, size, most = link.value, [], 0, _FLUSH_PAIRS
 
-        def settle(code: np.ndarray, n: np.ndarray):
-            word, at = np.unique(code // width, return_inverse=True)
-            table = np.zeros((len(word), width))
-            np.add.at(table, (at, code % width), n)
-            best = best_classes(table[:, :n_cls], table[:, n_cls:], how, classes)
-            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(best.astype(np.int32))], ["word", "cls"])
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return code, np.bincount(at, np.concatenate([n for _, n in held]))
 
-        for batch in batches:  # sorted by word: a word's rows are together
-            code, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
-            if carry is not None:
-                code, n = np.concatenate([carry[0], code]), np.concatenate([carry[1], n])
-            if not len(code):
-                continue
-            last = int(np.searchsorted(code // width, code[-1] // width))
-            carry = (code[last:], n[last:])
-            if last:
-                yield settle(code[:last], n[:last])
-        if carry is not None and len(carry[0]):
-            yield settle(*carry)
+        for batch in batches:
+            held.append((batch.column("code").to_numpy(), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size >= most:  # no more than the task's words times the classes remain
+                held = [summed()]
+                size = len(held[0][0])
+                most = max(_FLUSH_PAIRS, 2 * size)
+        if not held:
+            return
+        code, n = summed()
+        word = code // width
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        for i in range(0, len(starts), 20_000):
+            a, b = starts[i], starts[i + 20_000] if i + 20_000 < len(starts) else len(code)
+            own, at = np.unique(word[a:b], return_inverse=True)
+            table = np.zeros((len(own), width))
+            table[at, code[a:b] % width] = n[a:b]
+            best = best_classes(table[:, :n_cls], table[:, n_cls:], how, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(best.astype(np.int32))], ["word", "cls"])
 
     word = F.floor(F.col("code") / width)
-    rows = tallied(training, neighbours).withColumn("word", word).repartition("word").sortWithinPartitions("word").select("code", "n")
-    return rows.mapInArrow(run, "word long, cls int")
+    return tallied(training, neighbours).repartition(word).mapInArrow(run, "word long, cls int")
 
 
 @dataclass
