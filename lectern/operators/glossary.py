@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE, col, fold, has_digit, let, strip_edges, tokens
+from lectern.functions.text import SPACE, casefold, col, fold, has_digit, let, strip_edges, tokens
 from lectern.sources.shared import cut
 
 SHORTEST, SHORTEST_INHERITED, LONG = 6, 8, 10
@@ -87,26 +87,31 @@ def merely_inflected(phrase: Column, term: Column, origin: Column) -> Column:
 
 
 def ngrams(passages: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """source_id, passage_idx, i (first word), n, phrase (as written, white space and all), folded: windows of every length."""
+    """source_id, passage_idx, i (first word), n, phrase (as written, white space and all), folded: windows of every length.
 
-    def windows(words: Column, gaps: Column) -> Column:
+    Words are folded once a text; a window's folded form is theirs, as fold() makes it of the phrase.
+    """
+
+    def windows(words: Column, gaps: Column, folded: Column) -> Column:
         # gaps[k] stands before word k, so a window is its words with the gaps inside it
         def of(n: int) -> Column:
             def window(i: Column) -> Column:
                 parts = [F.get(words, i)]
                 for k in range(1, n):
                     parts += [F.get(gaps, i + k), F.get(words, i + k)]
-                return F.struct(i.alias("i"), F.lit(n).alias("n"), F.concat(*parts).alias("phrase"))
+                own = F.trim(F.concat_ws(" ", *[F.get(folded, i + k) for k in range(n)]))
+                return F.struct(i.alias("i"), F.lit(n).alias("n"), F.concat(*parts).alias("phrase"), own.alias("folded"))
 
             last = F.size(words) - n
-            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).otherwise(F.array().cast("array<struct<i:int,n:int,phrase:string>>"))
+            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).otherwise(F.array().cast("array<struct<i:int,n:int,phrase:string,folded:string>>"))
 
         return F.flatten(F.array(*map(of, lengths)))
 
     word = r"(?U)[^\s\x1c-\x1f]+"
-    every = let(F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0)), lambda w: let(F.split(F.col("text"), word, -1), lambda g: windows(w, g)))
-    rows = passages.select("source_id", "passage_idx", *keep, F.explode(every).alias("g"))
-    return rows.select("source_id", "passage_idx", *keep, "g.*").withColumn("folded", fold("phrase"))
+    # an edge may be stripped of a word to nothing: the word then counts as an empty one
+    of_words = lambda w: let(F.split(F.col("text"), word, -1), lambda g: let(F.transform(w, lambda x: casefold(strip_edges(x))), lambda f: windows(w, g, f)))
+    every = let(F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0)), of_words)
+    return passages.select("source_id", "passage_idx", *keep, F.explode(every).alias("g")).select("source_id", "passage_idx", *keep, "g.*")
 
 
 def _bounds(length: Column, k: int, i: int) -> tuple[Column, Column]:
@@ -170,7 +175,7 @@ def hits(passages: DataFrame, terms: DataFrame, variants: DataFrame, lengths: li
     multiplied out. Known variants win over known spellings, these over guesses, and
     among guesses the first term, not the nearest.
     """
-    grams = ngrams(passages, lengths, "start").where("folded <> ''")
+    grams = cut(ngrams(passages, lengths, "start").where("folded <> ''"), "grams")
     distinct = cut(grams.select("source_id", "folded", "n").distinct(), "phrases")
     forms = cut(variants.select("source_id", "folded", "term", "evidence"), "forms")
     named = _with(distinct, forms, ["folded"]).groupBy("source_id", "folded", "n").agg(F.min(F.struct("term", "evidence")).alias("v")).select("source_id", "folded", "n", "v.term", "v.evidence", F.lit(0).alias("distance"))
@@ -179,7 +184,11 @@ def hits(passages: DataFrame, terms: DataFrame, variants: DataFrame, lengths: li
     watched = terms.where(worth_watching("term")).select("source_id", "term", "origin", "term_idx", fold("term").alias("t"), F.size(tokens("term")).alias("n")).where(~has_digit("t"))
     parts = cut(watched.withColumn("at", F.explode(parts_of_term(F.col("t")))), "parts")
     most = allowed_distance(F.col("t"))
-    near = _with(open_.withColumn("at", F.explode(parts_within(F.col("folded")))), parts, ["n", "at"])
+    # phrases of a length that some term of as many words is near to: a few rows a number of words
+    near_length = F.explode(F.sequence(F.length("t") - 2, F.length("t") + 2)).alias("length")
+    lengths_of = parts.select("n", near_length).distinct()
+    fitting = open_.withColumn("length", F.length("folded")).join(F.broadcast(lengths_of), ["n", "length"], "left_semi").drop("length")
+    near = _with(fitting.withColumn("at", F.explode(parts_within(F.col("folded")))), parts, ["n", "at"])
     near = near.withColumn("distance", F.levenshtein("folded", "t")).where((F.col("distance") > 0) & (F.col("distance") <= most) & ~merely_inflected(F.col("folded"), F.col("t"), F.col("origin")))
     guess = near.groupBy("source_id", "folded", "n").agg(F.min_by(F.struct("term", "origin", "distance"), "term_idx").alias("g")).select("source_id", "folded", "n", "g.term", F.col("g.origin").alias("evidence"), "g.distance")
     return grams.join(named.unionByName(guess), ["source_id", "folded", "n"]).select("source_id", "passage_idx", "start", "i", "n", strip_edges("phrase").alias("phrase"), "folded", "term", "evidence", "distance")
