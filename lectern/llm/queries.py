@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, html_extract, licenses, lm, nearjoin, packing, quality, resample, secrets, urls, whitening
+from lectern.llm import chat, decontaminate, html_extract, licenses, lm, media, nearjoin, packing, quality, resample, secrets, urls, whitening
 from lectern.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +68,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_lm_scoring, op4_secret_scan, op5_quality_rules, op6_chat_format, op7_html_extraction, op8_ngram_jaccard_join, op9_decontamination, op10_license_scan, op12_importance_resampling, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_lm_scoring, op4_secret_scan, op5_quality_rules, op6_chat_format, op7_html_extraction, op8_ngram_jaccard_join, op9_decontamination, op10_license_scan, op11_lossless_webp, op12_importance_resampling, op13_embedding_whitening)}
 
 #: Words of a text as in lectern.llm.common: A-Z lowered, split at 0x20 and 0x09-0x0D.
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda w: w <> '')"""
