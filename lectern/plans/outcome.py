@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import tempfile
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import FALLBACK_STEM, sanitise
 from lectern.functions.web import redact
-from lectern.sources.shared import workers_see_package
+from lectern.sources.documents import write_documents
+from lectern.sources.shared import cut
 from lectern.sources.store import there
 
 EXIT_OK, EXIT_FAILED, EXIT_PARTIAL = 0, 1, 2
@@ -94,31 +95,24 @@ def existing_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_outputs(planned: DataFrame, folder: str, overwrite: bool = True) -> DataFrame:
-    """Writes the files to be written, one document a file, each by an atomic replace; returns name, action, code.
+    """Writes the files to be written as one transaction; returns name, action, code of all.
 
-    Rows are written where they are, so the folder must be one that the executors mount
-    (as the cluster's shared folder is); a folder of another file system is refused.
-    Without overwrite a name is claimed first, so that of two runs one writes it.
+    Without overwrite a file that came to be there meanwhile stays as it is. What the
+    folder holds afterwards decides the codes: OUTPUT_EXISTS where another text has the
+    name, OUTPUT_UNWRITABLE where none has.
     """
-    workers_see_package(planned.sparkSession)
-    scheme = re.match("[A-Za-z][A-Za-z0-9+.-]*(?=://)", folder)
-    if scheme and scheme[0] != "file":
-        raise ValueError(f"files are written to a mounted folder, not to {scheme[0]}://")
-    root = folder[len("file://") :] if scheme else folder
-
-    def put(it):
-        import pandas as pd
-
-        for pdf in it:
-            out = []
-            for name, text, action in zip(pdf["name"], pdf["text"], pdf["action"]):
-                code = "OUTPUT_EXISTS" if action == "refused" else None
-                if action == "write":
-                    code = atomic_write(os.path.join(root, name), text, overwrite)
-                out.append((name, action, code))
-            yield pd.DataFrame(out, columns=["name", "action", "code"])
-
-    return planned.select("name", "text", "action").mapInPandas(put, "name string, action string, code string")
+    spark = planned.sparkSession
+    planned = cut(planned.select("name", "action", "text"), "planned")
+    trouble = None
+    try:
+        write_documents(planned.where("action = 'write'"), folder, exclusive=not overwrite)
+    except PySparkException as e:  # a task or the commit met a folder that takes no files
+        trouble = e
+    after = planned.join(existing_files(spark, folder), "name", "left")
+    same = F.col("hash") == F.sha2(F.coalesce("text", F.lit("")), 256)
+    lost = F.when(F.col("hash").isNull() | F.lit(trouble is not None), "OUTPUT_UNWRITABLE").otherwise("OUTPUT_EXISTS")
+    code = F.when(F.col("action") == "refused", "OUTPUT_EXISTS").when((F.col("action") == "write") & ~F.coalesce(same, F.lit(False)), lost)
+    return cut(after.select("name", "action", code.alias("code")), "outcomes")
 
 
 #: How often a replace that lost a race is tried, and the first wait in seconds, doubled each time.

@@ -17,7 +17,9 @@ from lectern.plans import fetch, outcome
 from lectern.plans.queries import _payloads, query
 from lectern.plans.surrogates import CONV, DOC, TRACKS, as_cues, doc, table, tracks
 from lectern.sources import files, metadata, registry, store
-from lectern.sources.shared import shared_folder
+from lectern.sources.captions import captions
+from lectern.sources.documents import write_documents
+from lectern.sources.shared import cut, shared_folder
 
 
 def _pick(column, values: dict, otherwise=None):
@@ -78,6 +80,31 @@ def S4_written_and_read(spark, sf):
     return read.join(cues, "source_id").select("source_id", "language", "tier", "caption_format", "n_cues", F.col("n_words").cast("long").alias("n_words"))
 
 
+_CAPTION_FILES = f"""with {CONV}, c as (select source_id, count(*) filter (where text <> '') as n_cues, cast(sum(n) as bigint) as n_words from conv group by 1)
+select 'conv' || source_id as source_id, 'de' as language, 'asr_platform' as tier, 'srt' as caption_format, n_cues, n_words from c where n_cues > 0"""
+
+
+@query(_CAPTION_FILES)
+def S3_captions_source(spark, sf):
+    """Conversations written in two formats by the sink, read by the data source with a filter on the format pushed into its listing."""
+    folder = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}/captions-{uuid.uuid4().hex}"
+    both = [_payloads(spark, sf, fmt).select(F.concat(F.lit("conv"), "source_id", F.lit(end)).alias("name"), F.col("payload").alias("text")) for fmt, end in (("vtt", ".en.vtt"), ("srt", ".auto.de.SRT"))]
+    write_documents(both[0].union(both[1]), folder)
+    found = cut(captions(spark, folder, slices=spark.sparkContext.defaultParallelism).where("caption_format = 'srt'"), "captions")
+    read = files.tracks(found).join(found.select(F.col("path").alias("ref"), "payload"), "ref")
+    cues = parse.parse_captions(read).groupBy("source_id").agg(F.count("*").alias("n_cues"), F.sum(T.n_tokens("text")).cast("long").alias("n_words"))
+    return read.join(cues, "source_id").select("source_id", "language", "tier", "caption_format", "n_cues", "n_words")
+
+
+@query("""select 'd' || doc_id || '.txt' as name, sha256(coalesce(text, '')) as hash, cast(strlen(coalesce(text, '')) as bigint) as length from documents""")
+def O7_documents_sink(spark, sf):
+    """Every document a file, all of them written as one transaction, and what the folder then holds."""
+    folder = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}/documents-{uuid.uuid4().hex}"
+    write_documents(table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("name"), "text"), folder)
+    lengths = files.listing(spark, folder).select("name", "length")
+    return outcome.existing_files(spark, folder).join(lengths, "name")
+
+
 # ---- listings
 
 
@@ -117,14 +144,14 @@ def S16_contract_broken(spark, sf):
 
 
 def _playlists(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 40 < 3")
+    o = table(spark, sf, "orders")
     size = F.when(F.col("o_orderkey") % 40 == 0, 0).when(F.col("o_orderkey") % 400 == 1, 501).otherwise((F.col("o_orderkey") % 7 + 1).cast("int"))
     entry = lambda i: F.struct(F.concat(F.lit("e"), i.cast("string")).alias("id"))
     entries = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), entry)).otherwise(F.array().cast("array<struct<id:string>>"))
     return metadata.expand_playlists(metadata.read_info(o.select(F.col("o_orderkey").cast("string").alias("source"), F.to_json(F.struct(entries.alias("entries"))).alias("json"))))
 
 
-_PLAYLISTS = "p as (select cast(o_orderkey as varchar) as source, case when o_orderkey % 40 = 0 then 0 when o_orderkey % 400 = 1 then 501 else o_orderkey % 7 + 1 end as n from orders where o_orderkey % 40 < 3)"
+_PLAYLISTS = "p as (select cast(o_orderkey as varchar) as source, case when o_orderkey % 40 = 0 then 0 when o_orderkey % 400 = 1 then 501 else o_orderkey % 7 + 1 end as n from orders)"
 
 
 @query(f"""with {_PLAYLISTS} select source, cast(i as int) as position, 'e' || (i + 1) as video_id, null as code from (select source, unnest(range(0, n)) as i from p where n between 1 and 500)
@@ -280,11 +307,22 @@ def O7_plan_outputs(spark, sf):
 # ---- registries, requests
 
 
-@query("""select * from (values ('parser', 'json3'), ('parser', 'srt'), ('parser', 'subrip'), ('parser', 'vtt'), ('parser', 'webvtt'), ('renderer', 'citation'), ('renderer', 'cite'), ('renderer', 'context'), ('renderer', 'jsonl'), ('renderer', 'markdown'), ('renderer', 'md'), ('renderer', 'plain'), ('renderer', 'text')) v(kind, name)""")
+@query(f"""with {TRACKS}, t as (select source_id, track_idx, upper(caption_format) as asked, case cast(source_id as varchar) when '' then '' else caption_format end as fmt from tracks)
+select caption_format as name, case caption_format when 'json3' then 'json3' when 'vtt' then 'vtt' when 'webvtt' then 'vtt' when 'srt' then 'srt' when 'subrip' then 'srt' end as parser, count(*) as n from tracks group by 1, 2
+union all select r, case when r in ('markdown', 'md') then 'markdown' when r in ('plain', 'text') then 'plain' when r in ('citation', 'cite') then 'citation' when r in ('context', 'jsonl') then r end, count(*) from (select ['markdown', 'md', 'text', 'cite', 'jsonl', 'context', 'html'][cast(o_orderkey % 7 as int) + 1] as r from orders) group by 1, 2""")
 def U1_registered_names(spark, sf):
-    """What parsers and renderers there are, aliases included."""
-    rows = [("parser", n) for n in registry.default_parsers().names()] + [("renderer", n) for n in registry.default_renderers().names()]
-    return spark.createDataFrame(rows, "kind string, name string")
+    """Which component each asked name of a table's rows gets, aliases included; null where there is none."""
+    parsers, renderers = registry.default_parsers(), registry.default_renderers()
+    first = {}
+    known = []
+    for kind, found in (("parser", parsers), ("renderer", renderers)):
+        for name in found.names():
+            known.append((kind, name, first.setdefault((kind, id(found.get(name))), name)))
+    names = F.broadcast(spark.createDataFrame(known, "kind string, name string, parser string"))
+    asked = tracks(spark, sf).select(F.lit("parser").alias("kind"), F.col("caption_format").alias("name"))
+    style = F.get(F.array(*map(F.lit, ["markdown", "md", "text", "cite", "jsonl", "context", "html"])), (F.col("o_orderkey") % 7).cast("int"))
+    asked = asked.union(table(spark, sf, "orders").select(F.lit("renderer"), style))
+    return asked.groupBy("kind", "name").agg(F.count("*").alias("n")).join(names, ["kind", "name"], "left").select("name", "parser", "n")
 
 
 @query(f"with {TRACKS} select source_id, string_agg(distinct caption_format, ',' order by caption_format) as formats from tracks group by 1")
@@ -303,8 +341,8 @@ def R15_policies(spark, sf):
     return paragraphs.policy_for(kinds, cues).select("source_id", "dedupe", "punctuated")
 
 
-@query("""select doc_id, regexp_matches(left(lang || source, 6), '[0-9]') as has_digit, greatest(cast(n_chars as double) - 500, 0) as clamped, cast(round_even(n_chars / 2.0, 0) as bigint) || '' as half, printf('%.2f', (n_chars % 100) / 100.0) as confidence from documents""")
+@query("""select doc_id, regexp_matches(lang || source, '[0-9]') as has_digit, greatest(cast(n_chars as double) - 500, 0) as clamped, cast(round_even(n_chars / 2.0, 0) as bigint) || '' as half, printf('%.2f', (n_chars % 100) / 100.0) as confidence from documents""")
 def X14_digits_and_numbers(spark, sf):
     """X14, D9, D10."""
     n = F.col("n_chars")
-    return table(spark, sf, "documents").select("doc_id", T.has_digit(F.left(F.concat("lang", "source"), F.lit(6))).alias("has_digit"), D.not_negative(n.cast("double") - 500).alias("clamped"), D.half_even(n / 2).alias("half"), F.format_string("%.2f", (n % 100) / 100).alias("confidence"))
+    return table(spark, sf, "documents").select("doc_id", T.has_digit(F.concat("lang", "source")).alias("has_digit"), D.not_negative(n.cast("double") - 500).alias("clamped"), D.half_even(n / 2).alias("half"), F.format_string("%.2f", (n % 100) / 100).alias("confidence"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.languages import FORMATS, UNKNOWN, looks_like_language, primary_subtag
 from lectern.operators.parse import MAX_PAYLOAD
+from lectern.sources.captions import payloads_of
+from lectern.sources.stores import reachable
 
 #: Parts of a file name that tell a track's tier.
 TIER_MARKERS = {"manual": "manual", "human": "manual", "auto": "asr_platform", "asr": "asr_platform", "whisper": "asr_local", "transcribed": "asr_local", "translated": "translated"}
@@ -59,21 +61,28 @@ def nothing_to_read(files: DataFrame, source: str) -> DataFrame:
     return n.where("readable = 0").select(F.lit(source).alias("source_id"), F.when(F.col("n") == 0, "LECTURE_UNAVAILABLE").otherwise("NO_CAPTIONS_AVAILABLE").alias("code"))
 
 
+#: Bytes of payloads by which chosen files are dealt over tasks.
+TASK_BYTES = 128 * 1024 * 1024
+
+
 def payloads(spark: SparkSession, chosen: DataFrame, folder: str) -> DataFrame:
     """chosen tracks with payload, content_hash and code: UTF-8 without its mark, line ends as newlines.
 
-    Only the chosen files are opened. A file over its ceiling is not: its length in the
-    listing tells, and again the length of what is read. It, or one that is not UTF-8,
-    has a code instead of a payload.
+    Only the chosen files are opened, by the tasks that their rows lie in; no list of them
+    is made. A file over its ceiling is not read: its length in the listing tells, and again
+    the bytes that come of it, in chunks. It, or one that is not UTF-8 or is gone, has a code
+    instead of a payload. In a file system that only the JVM reaches the folder's captions
+    are scanned for them.
     """
     large = chosen.where(F.col("length") > MAX_PAYLOAD).select(*chosen.columns, F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("content_hash"), F.lit("PAYLOAD_TOO_LARGE").alias("code"))
     small = chosen.where(F.col("length") <= MAX_PAYLOAD)
-    paths = [r["ref"] for r in small.select("ref").toLocalIterator()]  # as many as the listing that the driver holds has at most
-    if not paths:
-        return large
-    content = spark.read.format("binaryFile").load(paths).where(F.col("length") <= MAX_PAYLOAD).select(F.col("path").alias("ref"), "content")
-    raw = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    text = F.regexp_replace(F.regexp_replace(raw, "^\ufeff", ""), "\r\n?", "\n")
-    read = small.join(content, "ref", "left")
-    code = F.when(F.col("content").isNull() | text.isNull(), "INPUT_UNREADABLE")
-    return read.select(*chosen.columns, text.alias("payload"), F.sha2(text, 256).alias("content_hash"), code.alias("code")).unionByName(large)
+    if reachable(folder):
+        size = small.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        read = payloads_of(small.repartition(max(spark.sparkContext.defaultParallelism, size // TASK_BYTES + 1), "ref"))
+    else:
+        of_captions = "*.{" + ",".join([*FORMATS, *map(str.upper, FORMATS)]) + "}"
+        content = spark.read.format("binaryFile").option("pathGlobFilter", of_captions).load(folder).where(F.col("length") <= MAX_PAYLOAD).select(F.col("path").alias("ref"), "content")
+        raw = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+        text = F.regexp_replace(F.regexp_replace(raw, "^\ufeff", ""), "\r\n?", "\n")
+        read = small.join(content, "ref", "left").select(*chosen.columns, text.alias("payload"), F.when(F.col("content").isNull() | text.isNull(), "INPUT_UNREADABLE").alias("code"))
+    return read.select(*chosen.columns, "payload", F.sha2("payload", 256).alias("content_hash"), "code").unionByName(large)
