@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE, casefold, col, fold, has_digit, let, strip_edges, tokens
-from lectern.sources.shared import cut
+from lectern.functions.text import SPACE, casefold, col, fold, let, strip_edges, tokens
+from lectern.operators import matching
 
-SHORTEST, SHORTEST_INHERITED, LONG = 6, 8, 10
+SHORTEST, SHORTEST_INHERITED = 6, 8
 MAX_ENTRIES, MAX_CORRECTIONS = 2_000, 10_000
 
 
@@ -76,16 +76,6 @@ def merge(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return first.unionByName(second.join(first.select(key), key, "left_anti"))
 
 
-def allowed_distance(term: Column) -> Column:
-    return F.when(F.length(term) >= LONG, 2).otherwise(1)
-
-
-def merely_inflected(phrase: Column, term: Column, origin: Column) -> Column:
-    short = F.when(F.length(phrase) <= F.length(term), phrase).otherwise(term)
-    long = F.when(F.length(phrase) <= F.length(term), term).otherwise(phrase)
-    return (origin != "glossary") & ((long == F.concat(short, F.lit("s"))) | (long == F.concat(short, F.lit("es"))) | (long == F.concat(short, F.lit("'s"))) | (long == F.concat(short, F.lit("’s"))))
-
-
 def ngrams(passages: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     """source_id, passage_idx, i (first word), n, phrase (as written, white space and all), folded: windows of every length.
 
@@ -114,99 +104,26 @@ def ngrams(passages: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     return passages.select("source_id", "passage_idx", *keep, F.explode(every).alias("g")).select("source_id", "passage_idx", *keep, "g.*")
 
 
-def _bounds(length: Column, k: int, i: int) -> tuple[Column, Column]:
-    """(start from 0, size) of part i of k nearly equal parts of a text of a length; the longer parts come last."""
-    base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
-    return base * i + F.greatest(F.lit(0), F.lit(i - k) + longer), base + (F.lit(i) >= k - longer).cast("int")
-
-
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.struct(length.cast("int").alias("length"), F.lit(i).alias("part"), part.alias("text"))
-
-
-def parts_of_term(term: Column) -> Column:
-    """array<struct<length, part, text>>: a term in one part more than the edits it is allowed."""
-    n = F.length(term)
-    of = lambda k: F.array(*[_key(n, i, F.substring(term, _bounds(n, k, i)[0] + 1, _bounds(n, k, i)[1])) for i in range(k)])
-    return F.when(n >= LONG, of(3)).otherwise(of(2))
-
-
-def parts_within(phrase: Column) -> Column:
-    """Every place where a phrase would have a part of a term that is at most its allowed edits away.
-
-    Of k parts an edit spoils at most one, so one stays whole; where it can then stand
-    follows from the edits before and after it (the selection of Pass-Join, Li et al. 2011).
-    """
-    n, out = F.length(phrase), []
-    for edits in (1, 2):
-        k = edits + 1
-        for longer in range(-edits, edits + 1):
-            length = n - longer
-            fits = (length >= LONG) if edits == 2 else (length < LONG)
-            for i in range(k):
-                start, size = _bounds(length, k, i)
-                for shift in range(max(-i, longer - (k - 1 - i)), min(i, longer + (k - 1 - i)) + 1):
-                    at = start + shift
-                    out.append(F.when(fits & (length >= k) & (at >= 0) & (at + size <= n), _key(length, i, F.substring(phrase, at + 1, size))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
-
-
-#: A table of so many rows or fewer, of a name or a part of one each, goes to every task; a larger one meets phrases by a shuffle.
-MOST_SENT = 100_000
-
-
-def _with(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with what table (a written one) has for their source, and with what it has for all (a null source_id)."""
-    own, shared = table.where("source_id is not null"), table.where("source_id is null").drop("source_id")
-    if table.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        own, shared = F.broadcast(own), F.broadcast(shared)
-    if how == "left_anti":
-        return rows.join(own, ["source_id", *keys], how).join(shared, keys, how)
-    return rows.join(own, ["source_id", *keys]).unionByName(rows.join(shared, keys))
+def matches(passages: DataFrame, terms: DataFrame, variants: DataFrame, lengths: list[int]) -> DataFrame:
+    """As hits, with ``rank``: the place among a passage's hits that overlap none taken before them, longest first, then leftmost; null for the others."""
+    named = terms.select("source_id", "term", fold("term").alias("folded"), "origin", F.col("term_idx").cast("long").alias("term_idx"), F.size(tokens("term")).alias("words"), worth_watching("term").alias("watched"))
+    return matching.match(passages, named, variants.select("source_id", "folded", "term", "evidence"), lengths)
 
 
 def hits(passages: DataFrame, terms: DataFrame, variants: DataFrame, lengths: list[int]) -> DataFrame:
-    """source_id, passage_idx, start, i, n, phrase, term, evidence, distance: windows that are, or nearly are, a watched name.
+    """source_id, passage_idx, start, i, n, phrase, folded, term, evidence, distance: windows that are, or nearly are, a watched name.
 
     terms(source_id, term, origin, term_idx) and variants(source_id, folded, term,
-    evidence) are per source, or for all sources where source_id is null. Each distinct
-    folded phrase of a source is compared once, with the terms of as many words that
-    share a part with it which so many edits leave whole: no source and no glossary is
-    multiplied out. Known variants win over known spellings, these over guesses, and
-    among guesses the first term, not the nearest.
+    evidence) are per source, or for all sources where source_id is null. Known variants
+    win over known spellings, these over guesses, and among guesses the first term, not
+    the nearest.
     """
-    grams = cut(ngrams(passages, lengths, "start").where("folded <> ''"), "grams")
-    distinct = cut(grams.select("source_id", "folded", "n").distinct(), "phrases")
-    forms = cut(variants.select("source_id", "folded", "term", "evidence"), "forms")
-    named = _with(distinct, forms, ["folded"]).groupBy("source_id", "folded", "n").agg(F.min(F.struct("term", "evidence")).alias("v")).select("source_id", "folded", "n", "v.term", "v.evidence", F.lit(0).alias("distance"))
-    known = cut(terms.select("source_id", fold("term").alias("folded")).distinct(), "known")
-    open_ = _with(_with(distinct, forms.select("source_id", "folded"), ["folded"], "left_anti"), known, ["folded"], "left_anti").where(~has_digit("folded"))
-    watched = terms.where(worth_watching("term")).select("source_id", "term", "origin", "term_idx", fold("term").alias("t"), F.size(tokens("term")).alias("n")).where(~has_digit("t"))
-    parts = cut(watched.withColumn("at", F.explode(parts_of_term(F.col("t")))), "parts")
-    most = allowed_distance(F.col("t"))
-    # phrases of a length that some term of as many words is near to: a few rows a number of words
-    near_length = F.explode(F.sequence(F.length("t") - 2, F.length("t") + 2)).alias("length")
-    lengths_of = parts.select("n", near_length).distinct()
-    fitting = open_.withColumn("length", F.length("folded")).join(F.broadcast(lengths_of), ["n", "length"], "left_semi").drop("length")
-    near = _with(fitting.withColumn("at", F.explode(parts_within(F.col("folded")))), parts, ["n", "at"])
-    near = near.withColumn("distance", F.levenshtein("folded", "t")).where((F.col("distance") > 0) & (F.col("distance") <= most) & ~merely_inflected(F.col("folded"), F.col("t"), F.col("origin")))
-    guess = near.groupBy("source_id", "folded", "n").agg(F.min_by(F.struct("term", "origin", "distance"), "term_idx").alias("g")).select("source_id", "folded", "n", "g.term", F.col("g.origin").alias("evidence"), "g.distance")
-    return grams.join(named.unionByName(guess), ["source_id", "folded", "n"]).select("source_id", "passage_idx", "start", "i", "n", strip_edges("phrase").alias("phrase"), "folded", "term", "evidence", "distance")
-
-
-def greedy(found: DataFrame) -> DataFrame:
-    """Hits of each passage that overlap none taken before them: longest first, then leftmost."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "i", "n", "start", "phrase", "folded", "term", "evidence", "distance")))
-    kind = "array<struct<k:int,i:int,n:int,start:double,phrase:string,folded:string,term:string,evidence:string,distance:int>>"
-    free = lambda acc, x: ~F.exists(acc, lambda y: (x["i"] < y["i"] + y["n"]) & (y["i"] < x["i"] + x["n"]))
-    taken = F.aggregate(rows, F.array().cast(kind), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    order = F.transform(taken, lambda x, r: F.struct(r.alias("rank"), x.alias("x")))
-    return found.groupBy("source_id", "passage_idx").agg(order.alias("t")).select("source_id", "passage_idx", F.inline("t")).select("source_id", "passage_idx", "rank", "x.*").drop("k")
+    return matches(passages, terms, variants, lengths).drop("rank")
 
 
 def propose_corrections(passages: DataFrame, terms: DataFrame, variants: DataFrame, lengths: list[int]) -> DataFrame:
     """source_id, correction_idx, wrong, right, at, confidence, evidence, occurrences; the most frequent first."""
-    own = greedy(hits(passages, terms, variants, lengths))
+    own = matches(passages, terms, variants, lengths).where("rank is not null")
     first = F.struct("passage_idx", "rank")
     out = own.groupBy("source_id", "folded", "term").agg(F.count("*").cast("int").alias("occurrences"), F.min_by(F.struct("phrase", "start", "evidence", "distance"), first).alias("f"), F.min(first).alias("seen"))
     conf = F.when(F.col("f.distance") == 0, 1.0).otherwise(F.round(1 - F.col("f.distance") / 10, 2))

@@ -494,7 +494,11 @@ g1 as (select doc_id, i - 1 as i, 1 as n, trim({_fold(_strip('w[i]'))}) as folde
 g2 as (select doc_id, i - 1 as i, 2 as n, trim({_fold(_strip('w[i]') + " || ' ' || " + _strip('w[i + 1]'))}) as folded from (select doc_id, w, unnest(range(1, len(w))) as i from dw)),
 g as (select * from (select * from g1 union all select * from g2) where folded <> ''),
 open as (select distinct n, folded from g where folded not in (select folded from var) and folded not in (select t from t) and not regexp_matches(folded, '\\d')),
-near as (select folded, open.n, term, term_idx, levenshtein({_letters('folded')}, {_letters('t')}) as d, case when length(t) >= 10 then 2 else 1 end as most, t from open join t on open.n = t.n and abs(length(folded) - length(t)) <= case when length(t) >= 10 then 2 else 1 end),
+lay as (select lt, most, k, i, lt // k * i + greatest(0, i - k + lt % k) as s, lt // k + case when i >= k - lt % k then 1 else 0 end as size from (select lt, most, k, unnest(range(k)) as i from (select distinct length(t) as lt, case when length(t) >= 10 then 2 else 1 end as most, case when length(t) >= 10 then 3 else 2 end as k from t))),
+part as (select n, lt, i, substring(t, s + 1, size) as part, t, term, term_idx, most from t join lay on length(t) = lt),
+probe as (select distinct n, folded, lt, i, substring(folded, s + sh + 1, size) as part from (select n, folded, lt, i, s, size, unnest(range(-most, most + 1)) as sh from open join lay on length(folded) between lt - most and lt + most) where s + sh >= 0 and s + sh + size <= length(folded)),
+close as (select distinct folded, n, t, term, term_idx, most from probe join part using (n, lt, i, part)),
+near as (select folded, n, term, term_idx, levenshtein({_letters('folded')}, {_letters('t')}) as d, most, t from close),
 guess as (select folded, n, term, d from near where d between 1 and most and not (case when length(folded) <= length(t) then t in (folded || 's', folded || 'es') else folded in (t || 's', t || 'es') end) qualify row_number() over (partition by folded, n order by term_idx) = 1),
 hit as (select doc_id, i, g.n, g.folded, coalesce(vterm, term) as term, case when vterm is not null then 0 else d end as d, case when vterm is not null then 'given' else 'chapter' end as evidence from g left join var on var.folded = g.folded left join guess on guess.folded = g.folded and guess.n = g.n where vterm is not null or term is not null)"""
 

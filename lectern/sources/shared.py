@@ -50,3 +50,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     folder, fs = hadoop(spark, own)
     fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores where it is smaller than an input split for each of them.
+
+    A small file often is one row group, and so one task's. What is larger stays where
+    it is; the size is that which the plan tells without running.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df

@@ -9,7 +9,7 @@ from lectern.functions import languages as L
 from lectern.functions import text as T
 from lectern.functions import times as D
 from lectern.functions import web as U
-from lectern.operators import CUES, dedupe, glossary, markup, paragraphs, parse, resolve, sections, sentences
+from lectern.operators import CUES, dedupe, glossary, markup, matching, paragraphs, parse, resolve, sections, sentences
 
 
 def values(spark, expr, rows, kind="string"):
@@ -221,20 +221,15 @@ def test_casefold_is_unicode_s(spark):
 
 @given(st.text(alphabet="abc ", min_size=6, max_size=14), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 20), st.sampled_from("abcx")), max_size=2))
 @settings(max_examples=12, deadline=None)
-def test_terms_within_reach_share_a_part(spark_module, term, edits):
+def test_terms_within_reach_share_a_part(term, edits):
     phrase = term
-    for kind, at, letter in edits[: 2 if len(term) >= glossary.LONG else 1]:
+    for kind, at, letter in edits[: 2 if len(term) >= matching.LONG else 1]:
         i = at % (len(phrase) + 1)
         phrase = phrase[:i] + (letter if kind != 1 else "") + phrase[i + (kind != 0) :]
     if not phrase:
         return
-    df = spark_module.createDataFrame([(term, phrase)], "t string, p string")
-    assert df.where(F.arrays_overlap(glossary.parts_of_term(F.col("t")), glossary.parts_within(F.col("p")))).count() == 1
-
-
-@pytest.fixture(scope="module")
-def spark_module(spark):
-    return spark
+    found = matching.Names([(term, term, "glossary", 0, 1, True)], [])
+    assert any(0 in table.get(phrase[span], ()) for span, table in found.plan(1, len(phrase)))
 
 
 def test_hits_equal_brute_force(spark):
