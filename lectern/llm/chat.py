@@ -46,6 +46,8 @@ LOSS_ROLE = "assistant"
 _ESCAPE = re.compile(r"\\|###|</turn>")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>)")
 CHUNK = 65_536
+#: Runs of white space, as the encoder's pattern has it, that its backtracking is spared.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def escape(text: str) -> str:
@@ -67,7 +69,7 @@ class Codec:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self._encode, self.bytes_of = own.encode_ordinary, own.decode_bytes
+            self._encode, self.bytes_of = lambda text: _encode_long(own, text), own.decode_bytes
             self.base = max(ranks.values()) + 1
         else:
             from tokenizers import Tokenizer
@@ -93,6 +95,17 @@ class Codec:
         return np.concatenate([np.array(head, np.int32), self.encode(escape(text)), np.array([self.base + TURN_END], np.int32)]), len(head)
 
 
+def _encode_long(own, text: str) -> list[int]:
+    """encode_ordinary, with long white space cut out as the pattern would cut it: all of a run but its last character, which goes to what follows, is one piece."""
+    out, at = [], 0
+    for run in _LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += own.encode_ordinary(text[at : run.start()])
+        out += own._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + own.encode_ordinary(text[at:])
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in byte-level vocabularies: printable bytes for themselves, others from 256 up."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
