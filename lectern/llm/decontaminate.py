@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.llm.common import SHINGLE, SIMILAR, MinHash, as_bytes, cut, shingles, workers_see_package
 
@@ -142,6 +143,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, n: int =
     """doc_id, item_id, n_shared, n_item (shingles), containment: a row per document and contained item."""
     workers_see_package(docs.sparkSession)
     kinds = [docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
+    types = [to_arrow_type(items.schema[item_id].dataType), pa.int64(), pa.int64()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shared long, n_item long"
 
     def against(shared):
@@ -150,7 +152,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, n: int =
             for batch in batches:
                 hits = [(j, *hit) for j, data in enumerate(batch.column(1)) for hit in index.search(data.as_py())]
                 cols = list(zip(*hits)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c) if c else pa.array([], pa.int64()) for c in cols[1:]]], ["doc_id", "item_id", "n_shared", "n_item"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], types)]], ["doc_id", "item_id", "n_shared", "n_item"])
 
         return docs.select(F.col(doc_id).alias("doc_id"), as_bytes(F.col(text)).alias("data")).mapInArrow(run, schema)
 
