@@ -59,18 +59,21 @@ class Rules:
         for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):
             host, _, path = rule.partition("/")
             self.by_host.setdefault(host, []).append(("/" + path, rule, verdict))
+        #: No more labels of a host are looked at than a rule's host has.
+        self.labels = max((h.count(".") + 1 for h in self.by_host), default=0)
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
         best: tuple[str | None, str | None] = (None, None)
-        suffix = host
-        while suffix:
-            for prefix, rule, verdict in self.by_host.get(suffix, ()):
+        at = len(host)
+        for _ in range(self.labels):
+            at = host.rfind(".", 0, at)
+            suffix = host[at + 1 :]
+            for prefix, rule, verdict in self.by_host.get(suffix, ()) if suffix else ():
                 if path.startswith(prefix):
-                    if best[0] is None or len(rule) > len(best[0]):
+                    if best[0] is None or len(rule) >= len(best[0]):
                         best = (rule, verdict)
                     break
-            _, dot, suffix = suffix.partition(".")
-            if not dot:
+            if at < 0:
                 break
         return best
 
