@@ -63,7 +63,7 @@ def failures(rows: DataFrame, source: str = "source_id", detail: str | None = No
 
 
 def file_names(documents: DataFrame, extension: str) -> DataFrame:
-    """documents(doc_idx, title, source_id) -> doc_idx, name: no two alike, case aside.
+    """documents(doc_idx, title, source_id) -> doc_idx, name: no two alike, case aside. extension: one for all, or a column of documents.
 
     The first of a name keeps it; later ones take a number. A numbered name may meet
     another document's own, so numbers go on over all documents of the same base.
@@ -71,13 +71,14 @@ def file_names(documents: DataFrame, extension: str) -> DataFrame:
     stem = F.coalesce(F.nullif(sanitise("title"), F.lit("")), F.nullif(sanitise("source_id"), F.lit("")), F.lit(FALLBACK_STEM))
     ident = sanitise("source_id")
     tell = F.when((ident != "") & (F.lower(ident) != F.lower(stem)), ident).otherwise("")
-    rows = documents.select("doc_idx", stem.alias("stem"), tell.alias("tell"))
+    ending = F.col(extension) if extension in documents.columns else F.lit(extension)
+    rows = documents.select("doc_idx", stem.alias("stem"), tell.alias("tell"), ending.alias("ending"))
     k = F.row_number().over(W.partitionBy(F.lower("stem"), F.lower("tell")).orderBy("doc_idx"))
     inner = F.concat_ws(" ", F.nullif("tell", F.lit("")), F.when(F.col("k") > 1, F.col("k").cast("string")))
     name = F.concat("stem", F.when(inner != "", F.concat(F.lit(" ("), inner, F.lit(")"))).otherwise(""))
-    first = rows.withColumn("k", k).select("doc_idx", name.alias("n"))
+    first = rows.withColumn("k", k).select("doc_idx", "ending", name.alias("n"))
     again = F.row_number().over(W.partitionBy(F.lower("n")).orderBy("doc_idx"))
-    return first.select("doc_idx", F.concat("n", F.when(again > 1, F.concat(F.lit(" ("), again.cast("string"), F.lit(")"))).otherwise(""), F.lit("." + extension)).alias("name"))
+    return first.select("doc_idx", F.concat("n", F.when(again > 1, F.concat(F.lit(" ("), again.cast("string"), F.lit(")"))).otherwise(""), F.lit("."), "ending").alias("name"))
 
 
 def plan_outputs(documents: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:

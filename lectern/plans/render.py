@@ -155,3 +155,11 @@ def render_many(documents: DataFrame, renderer: str, order: str = "source_id") -
     """One row: all documents(source_id, text) joined by the renderer's separator."""
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text")))
     return documents.agg(F.array_join(F.transform(lines, lambda x: x["text"]), SEPARATORS[ALIASES.get(renderer, renderer)]).alias("text"))
+
+
+def render_several(documents: DataFrame, order: list[str]) -> DataFrame:
+    """One row: all documents(order..., renderer, text) joined in order, those of one renderer by its separator, others by the most common one."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, "renderer", "text")))
+    of = F.create_map(*[F.lit(x) for kv in SEPARATORS.items() for x in kv])
+    piece = lambda all_: lambda x, i: F.concat(F.when(i == 0, "").when(x["renderer"] == F.get(all_, i - 1)["renderer"], of[x["renderer"]]).otherwise(SEPARATORS["markdown"]), x["text"])
+    return documents.agg(rows.alias("d")).select(F.array_join(F.transform("d", piece(F.col("d"))), "").alias("text"))

@@ -18,7 +18,7 @@ from lectern.operators import resolve
 from lectern.plans import outcome, render
 from lectern.plans.fetch import Request, fetch
 from lectern.sources.registry import UnknownName
-from lectern.sources.shared import hadoop
+from lectern.sources.shared import cut, hadoop
 
 #: Most bytes of a glossary or of a file of corrections.
 MAX_REFERENCE = 1024 * 1024
@@ -84,6 +84,10 @@ def budgeted() -> list[str]:
     return sorted(TAKE_BUDGET)
 
 
+#: What requests make, in the order of requests, then of sources.
+DOCUMENTS = "request int, source_id string, title string, renderer string, text string"
+
+
 @dataclass
 class Run:
     output: DataFrame  # text: one row, empty where files were written
@@ -104,33 +108,38 @@ def _lines(failures: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, requests: list[Request], folder: str | None = None, overwrite: bool = False) -> Run:
-    """Fetches every request; one that makes no sense, or whose source nothing handles, is a failure beside the others' documents."""
+    """Fetches every request; one that makes no sense, or whose source nothing handles, is a failure beside the others' documents.
+
+    Each request has its own renderer and options. A document is known by its request and
+    source together, so two folders may hold lectures of one name; files are named in the
+    order of requests.
+    """
     none = spark.createDataFrame([], "source_id string, code string, detail string")
-    documents, failures = [], [outcome.failures(none, detail="detail")]
-    titles = []
-    for request in requests:
+    documents, failures = [spark.createDataFrame([], DOCUMENTS)], [outcome.failures(none, detail="detail")]
+    for k, request in enumerate(requests):
         try:
             result = fetch(spark, request)
         except (UnknownName, ValueError) as e:
             row = (request.source, getattr(e, "code", "CONFIG_ERROR"), str(e))
             failures.append(outcome.failures(spark.createDataFrame([row], none.schema), detail="detail"))
             continue
-        documents.append(result.documents.select("source_id", "text"))
-        titles.append(result.lectures.select("source_id", "title"))
+        renderer = render.ALIASES.get(request.renderer, request.renderer)
+        own = result.documents.select("source_id", "text").join(result.lectures.select("source_id", "title"), "source_id")
+        documents.append(cut(own.select(F.lit(k).alias("request"), "source_id", "title", F.lit(renderer).alias("renderer"), "text"), "documents"))
         failures.append(result.failures)
-    renderer = requests[0].renderer if requests else "markdown"
-    made = _union(documents) if documents else spark.createDataFrame([], "source_id string, text string")
+    made = _union(documents)
     written = spark.createDataFrame([], "name string, action string, code string")
-    if folder and documents:
-        numbered = made.join(_union(titles), "source_id").withColumn("doc_idx", F.xxhash64("source_id"))
-        named = numbered.join(outcome.file_names(numbered, render.EXTENSIONS[render.ALIASES.get(renderer, renderer)]), "doc_idx")
+    if folder and len(documents) > 1:
+        numbered = made.withColumn("doc_idx", F.struct("request", "source_id"))
+        extension = F.create_map(*[F.lit(x) for kv in render.EXTENSIONS.items() for x in kv])[F.col("renderer")]
+        named = numbered.withColumn("extension", extension).join(outcome.file_names(numbered.withColumn("extension", extension), "extension"), "doc_idx")
         planned = outcome.plan_outputs(named.select("name", "text"), outcome.existing_files(spark, folder), overwrite)
-        written = spark.createDataFrame(outcome.write_outputs(planned, folder, overwrite).collect(), written.schema)  # a name and a code a document
+        written = outcome.write_outputs(planned, folder, overwrite)
         failures.append(outcome.failures(written.where("code is not null").select(F.col("name").alias("source_id"), "code")))
-    failed = _union(failures)
+    failed = cut(_union(failures), "failures")
     done = written.where("code is null") if folder else made
     code = outcome.exit_code(done, failed).first()["exit_code"]
-    output = render.render_many(made, renderer) if not folder else spark.createDataFrame([("",)], "text string")
+    output = render.render_several(made, ["request", "source_id"]) if not folder else spark.createDataFrame([("",)], "text string")
     return Run(output, _lines(failed), written, code, outcome.envelope(made, written.where("code is null"), failed, failed.limit(0)))
 
 

@@ -67,3 +67,23 @@ def test_names_and_listing(spark, folder):
         R.tiers_of(["best"])
     lines = {r["source_id"]: r["line"] for r in R.listing(spark, Request(folder)).collect()}
     assert lines["talk"] == "talk: de, en\n  de — asr_platform, srt\n  en — manual, vtt"
+
+
+def test_sources_of_one_name_stay_apart(spark, tmp_path):
+    for name, said in (("one", "First."), ("two", "Second.")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "week.en.vtt").write_text(VTT.replace("Welcome to Dynamic Programing.", said))
+    requests = [Request(str(tmp_path / "two"), renderer="plain"), Request(str(tmp_path / "one"), renderer="plain"), Request(str(tmp_path / "one"), renderer="jsonl")]
+    out = R.run(spark, requests, str(tmp_path / "out"))
+    assert out.exit_code == 0 and sorted(r["name"] for r in out.files.collect()) == ["week (2).txt", "week (3).jsonl", "week.txt"]
+    assert [(tmp_path / "out" / n).read_text() for n in ("week.txt", "week (2).txt")] == ["Second.", "First."] and '"First."' in (tmp_path / "out" / "week (3).jsonl").read_text()
+    text = R.run(spark, requests[:2]).output.first()["text"]
+    assert text == "Second.\n\n\nFirst."
+
+
+def test_separators_follow_the_renderers(spark):
+    from lectern.plans import render
+
+    rows = [(0, "b", "jsonl", "1"), (0, "a", "jsonl", "0"), (1, "a", "plain", "x"), (2, "a", "plain", "y"), (3, "a", "jsonl", "2")]
+    out = render.render_several(spark.createDataFrame(rows, "request int, source_id string, renderer string, text string"), ["request", "source_id"])
+    assert out.first()["text"] == "0\n1\n\n\nx\n\n\ny\n\n\n2"
