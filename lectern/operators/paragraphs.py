@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,7 +16,7 @@ from lectern.operators import TRACK
 from lectern.operators.dedupe import dedupe_rolling_window
 from lectern.operators.markup import consume_markup
 from lectern.operators.sentences import ends_sentence, punctuated, split_at_sentences
-from lectern.sources.shared import workers_see_package
+from lectern.sources.shared import cut, workers_see_package
 
 WORD_TAIL, GAP, TARGET, MOST = 1.0, 1.0, 90, 250
 PAUSE_FLOOR, CEILING = 0.75, 2
@@ -57,24 +58,45 @@ def gap_before(start: Column, end_of_speech: Column) -> Column:
     return start - F.lag(end_of_speech).over(w)
 
 
-def paragraph_runs(cues: DataFrame) -> DataFrame:
+ORDER = ["cue_idx", "piece_idx", "turn_idx"]
+#: A longer track is folded in chunks of so many cues.
+CHUNK = 100_000
+_STATE = "struct<seg:long,run:int,words:long,wanted:boolean,last:double,said:boolean>"
+_KEYS = [*TRACK, "chunk"]
+
+
+def paragraph_runs(cues: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """cues(..., cue_idx, piece_idx, turn_idx, punctuated) -> adds run: which paragraph of its segment a cue is in, and seg.
 
     A turn closes whatever is open and begins a segment. Tracks are dealt over the tasks
-    and pass through each in order as one stream, which holds a few numbers.
+    and pass through each in order as one stream, which holds a few numbers. A track of
+    more than ``chunk`` cues is cut into chunks by its cues' ordinals, which are dealt like
+    tracks: where a chunk's stream starts is told beforehand by :func:`entries`.
     """
     workers_see_package(cues.sparkSession)
-    order = ["cue_idx", "piece_idx", "turn_idx"]
     end = F.col("start") + F.col("duration")
-    facts = cues.select("source_id", *[F.col(c).cast("int").alias(c) for c in ("track_idx", *order)], "start", speech_end(F.col("words"), end).alias("spoken"), n_tokens("text").alias("n"), ends_sentence("text").alias("ended"), F.coalesce("turn", F.lit(False)).alias("turn"), "punctuated")
+    facts = cues.select("source_id", *[F.col(c).cast("int").alias(c) for c in ("track_idx", *ORDER)], "start", speech_end(F.col("words"), end).alias("spoken"), n_tokens("text").alias("n"), ends_sentence("text").alias("ended"), F.coalesce("turn", F.lit(False)).alias("turn"), "punctuated")
+    facts = cut(facts.withColumn("chunk", F.floor(F.col("cue_idx") / chunk).cast("int")), "facts")
+    none = F.lit(None).cast(_STATE)
+    if facts.agg(F.max("chunk")).first()[0]:
+        long = facts.where("chunk > 0").select(*TRACK).distinct()
+        told = cut(entries(facts.join(long, TRACK, "left_semi")), "entries")
+        placed = facts.join(told, _KEYS, "left")
+    else:
+        placed = facts.withColumn("entry", none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seg, current, words, wanted, last, said = None, 0, 0, 0, False, 0.0, False
         for batch in batches:
             segs, runs = [], []
-            for source, track, start, spoken, n, ended, turn, is_punctuated in zip(*[batch.column(c).to_pylist() for c in (*TRACK, "start", "spoken", "n", "ended", "turn", "punctuated")]):
-                if now != (source, track):
-                    now, seg, current, words, wanted = (source, track), int(turn), 0, 0, False
+            for source, track, part, start, spoken, n, ended, turn, is_punctuated, entry in zip(*[batch.column(c).to_pylist() for c in (*_KEYS, "start", "spoken", "n", "ended", "turn", "punctuated", "entry")]):
+                first = now != (source, track, part)
+                if first:
+                    now = (source, track, part)
+                    if entry is not None:
+                        seg, current, words, wanted, last, said = (entry[c] for c in ("seg", "run", "words", "wanted", "last", "said"))
+                if first and entry is None:
+                    seg, current, words, wanted = int(turn), 0, 0, False
                 elif turn:
                     seg, current, words, wanted = seg + 1, 0, 0, False
                 else:
@@ -84,12 +106,141 @@ def paragraph_runs(cues: DataFrame) -> DataFrame:
                 segs.append(seg)
                 runs.append(current)
                 words, last, said = words + n, spoken, ended
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*TRACK, *order)], pa.array(segs, pa.int64()), pa.array(runs, pa.int32())], [*TRACK, *order, "seg", "run"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*TRACK, *ORDER)], pa.array(segs, pa.int64()), pa.array(runs, pa.int32())], [*TRACK, *ORDER, "seg", "run"])
 
-    in_order = facts.repartition(*TRACK).sortWithinPartitions(*TRACK, *order)
+    in_order = placed.repartition(*_KEYS).sortWithinPartitions(*_KEYS, *ORDER)
     return in_order.mapInArrow(run, "source_id string, track_idx int, cue_idx int, piece_idx int, turn_idx int, seg long, run int")
 
 
+def closings(n: np.ndarray, late: np.ndarray, ended: np.ndarray, turn: np.ndarray, is_punctuated: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For a paragraph that opens at each cue of a stretch: the cue at which it closes (the stretch's size if at none), and where a break is wanted.
+
+    late: whether more than GAP lies before a cue; ended: whether the cue before it ends a
+    sentence; turn: whether another speaker begins. As fold_step has it.
+    """
+    size = len(n)
+    said = np.concatenate([[0], np.cumsum(n)])[:size]  # words before each cue
+    at = np.arange(size)
+
+    def following(mask: np.ndarray) -> np.ndarray:
+        """By place, the first place from it on where mask holds."""
+        return np.concatenate([np.minimum.accumulate(np.where(mask, at, size)[::-1])[::-1], [size]])
+
+    reached = lambda words: np.searchsorted(said, said + words, "left")
+    closes = np.minimum(following(turn)[at + 1], reached(MOST * CEILING))
+    if not is_punctuated:
+        return np.minimum(closes, np.minimum(following(late)[at + 1], reached(MOST))), np.full(size, size)
+    wanted = np.minimum(following(late)[reached(TARGET * PAUSE_FLOOR)], following(~late)[reached(TARGET)])
+    return np.minimum(closes, following(ended)[np.minimum(wanted, reached(MOST))]), wanted
+
+
+def exits(n: np.ndarray, late: np.ndarray, ended: np.ndarray, turn: np.ndarray, is_punctuated: bool) -> list[np.ndarray]:
+    """For a paragraph that opens at each cue of a stretch, how things stand at the end: segments begun, run, words, wanted. A run counts from the opening one where no segment begins."""
+    size = len(n)
+    close, wanted = closings(n, late, ended, turn, is_punctuated)
+    total = int(n.sum())
+    said = np.concatenate([[0], np.cumsum(n)])[:size]
+    segs, runs, opens = [0] * (size + 1), [0] * (size + 1), list(range(size)) + [size]
+    for i, (j, new) in enumerate(zip(close[::-1].tolist(), turn[np.minimum(close, size - 1)][::-1].tolist())):
+        i = size - 1 - i
+        if j < size:
+            opens[i] = opens[j]
+            segs[i] = segs[j] + new
+            runs[i] = runs[j] + (not new and not segs[j])
+    last = np.array(opens[:size], np.int64)  # where the paragraph opens that is open at the end
+    return [np.array(segs[:size], np.int64), np.array(runs[:size], np.int64), total - said[last], wanted[last] < size]
+
+
+_SUMMARY = "source_id string, track_idx int, chunk int, punctuated boolean, start double, last double, said boolean, n array<long>, late array<boolean>, ended array<boolean>, turn array<boolean>, segs array<long>, runs array<long>, words array<long>, wanted array<boolean>"
+
+
+def summaries(facts: DataFrame) -> DataFrame:
+    """A row a chunk: its cues up to where any paragraph that was open before must have closed, and what becomes of one that opens at each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            source, track, part, is_punctuated = now
+            start, spoken, n, said, turn = (np.concatenate([h[k] for h in held]) for k in range(5))
+            late, ended = np.zeros(len(n), bool), np.zeros(len(n), bool)
+            late[1:], ended[1:] = start[1:] - spoken[:-1] > GAP, said[:-1]
+            head = int(np.searchsorted(np.cumsum(n) - n, MOST * CEILING)) + 1
+            arrays = [x[:head].tolist() for x in (n, late, ended, turn, *exits(n, late, ended, turn, is_punctuated))]
+            values = [source, track, part, is_punctuated, float(start[0]), float(spoken[-1]), bool(said[-1]), *arrays]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("start", "spoken", "n", "ended", "turn")]
+            columns = [c.fill_null(False if pa.types.is_boolean(c.type) else 0).to_numpy(zero_copy_only=False) for c in columns]
+            keys = list(zip(*[batch.column(c).to_pylist() for c in (*_KEYS, "punctuated")]))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                key = (*keys[at][:3], bool(keys[at][3]))
+                if now is not None and key != now:
+                    yield done()
+                    held = []
+                now = key
+                held.append([c[at:end] for c in columns])
+                at = end
+        if held:
+            yield done()
+
+    flag, number = pa.list_(pa.bool_()), pa.list_(pa.int64())
+    types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.bool_(), number, flag, flag, flag, number, number, number, flag]
+    names = [c.split(" ")[0] for c in _SUMMARY.split(", ")]
+    return facts.repartition(*_KEYS).sortWithinPartitions(*_KEYS, *ORDER).mapInArrow(run, _SUMMARY)
+
+
+def entries(facts: DataFrame) -> DataFrame:
+    """source_id, track_idx, chunk, entry: how things stand before each chunk but the first, from the chunks' summaries in order.
+
+    A summary has at most as many cues as hold MOST * CEILING words, so of a track only that
+    much a chunk passes through one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            keys, out = [], []
+            for row in batch.to_pylist():
+                key = (row["source_id"], row["track_idx"])
+                fresh = key != now
+                if not fresh:
+                    keys.append((*key, row["chunk"]))
+                    out.append(dict(state))
+                now = key
+                if fresh:
+                    state, opened = {"seg": int(row["turn"][0]), "run": 0, "words": 0, "wanted": False}, 0
+                else:
+                    opened = None
+                    for j, (n, late, ended, turn) in enumerate(zip(row["n"], row["late"], row["ended"], row["turn"])):
+                        if j == 0:
+                            late, ended = row["start"] - state["last"] > GAP, state["said"]
+                        if turn:
+                            state |= {"seg": state["seg"] + 1, "run": 0}
+                        else:
+                            closes, state["wanted"] = fold_step(GAP + 1 if late else 0.0, state["words"], state["wanted"], False, row["punctuated"], ended)
+                            if not closes:
+                                state["words"] += n
+                                continue
+                            state["run"] += 1
+                        opened = j
+                        break
+                if opened is not None:
+                    begun = row["segs"][opened]
+                    state |= {"seg": state["seg"] + begun, "run": row["runs"][opened] + (0 if begun else state["run"]), "words": row["words"][opened], "wanted": row["wanted"][opened]}
+                state |= {"last": row["last"], "said": row["said"]}
+            columns = list(zip(*keys)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))], pa.array(out, kind)], [*_KEYS, "entry"])
+
+    kind = pa.struct([("seg", pa.int64()), ("run", pa.int32()), ("words", pa.int64()), ("wanted", pa.bool_()), ("last", pa.float64()), ("said", pa.bool_())])
+    return summaries(facts).repartition(*TRACK).sortWithinPartitions(*_KEYS).mapInArrow(run, f"source_id string, track_idx int, chunk int, entry {_STATE}")
+
+
 def runs_by_fold(cues: DataFrame) -> DataFrame:
     """The same runs as one expression a track: the twin that paragraph_runs is tested against."""
     order = ["cue_idx", "piece_idx", "turn_idx"]
