@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import n_tokens, tokens
 from lectern.operators import CUES, TRACK, WORDS
-from lectern.sources.shared import workers_see_package
+from lectern.sources.shared import cut, workers_see_package
 
 
 def overlap_length(tail: Column, head: Column) -> Column:
@@ -34,40 +33,111 @@ def _overlap(tail: list[str], head: list[str]) -> int:
     return border[-1] if line and tail else 0
 
 
-def dedupe_rolling_window(cues: DataFrame) -> DataFrame:
+#: A longer track is read in chunks of so many cues; before a chunk so many cues are read to guess what was last said.
+CHUNK, BEFORE = 100_000, 400
+_KEYS = [*TRACK, "chunk"]
+_NAMES = [c.strip().split(" ")[0] for c in CUES.split(", ")]
+
+
+def _fresh(tail: list[str], text: str | None) -> list[str]:
+    words = (text or "").split()
+    return words[_overlap(tail, words) :]
+
+
+def dedupe_rolling_window(cues: DataFrame, chunk: int = CHUNK, before: int = BEFORE) -> DataFrame:
     """Cues without the words that the track has just said; cues with nothing new go.
 
     A cue keeps its own start, and its word times only if all of its words are new.
     Tracks are dealt over the tasks and pass through each in order as one stream; the
-    state is the last words of a track, as many as its longest cue has.
+    state is the last words of a track, as many as its longest cue has. A track of more than
+    ``chunk`` cues is cut into chunks by its cues' ordinals, which are dealt like tracks and
+    start from what :func:`last_words` found.
     """
     workers_see_package(cues.sparkSession)
-    names = [c.strip().split(" ")[0] for c in CUES.split(", ")]
     types = {c.strip().split(" ")[0]: c.strip().split(" ", 1)[1] for c in CUES.replace(WORDS, "words_type").split(", ")}
-    own = cues.select(*[F.col(c).cast(WORDS if types[c] == "words_type" else types[c]).alias(c) for c in names])
+    own = cues.select(*[F.col(c).cast(WORDS if types[c] == "words_type" else types[c]).alias(c) for c in _NAMES])
+    sizes = own.groupBy(*TRACK).agg(F.max(n_tokens("text")).alias("longest"), F.max("cue_idx").alias("last"))
+    own = own.withColumn("chunk", F.floor(F.col("cue_idx") / chunk).cast("int"))
+    sizes = cut(sizes, "sizes")
+    long = sizes.where(F.col("last") >= chunk).select(*TRACK, "longest")
+    rows = own.join(sizes.select(*TRACK, "longest"), TRACK)
+    if long.limit(1).count():
+        texts = cut(own.select(*_KEYS, "cue_idx", "text").join(long, TRACK), "texts")
+        rows = rows.join(last_words(texts, chunk, before), _KEYS, "left")
+    else:
+        rows = rows.withColumn("tail", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tail = None, []
         for batch in batches:
             kept, texts, timed = [], [], []
             sizes = pc.list_value_length(batch.column("words")).to_pylist()
-            for i, (source, track, text, size, longest) in enumerate(zip(*[batch.column(c).to_pylist() for c in (*TRACK, "text")], sizes, batch.column("longest").to_pylist())):
-                if now != (source, track):
-                    now, tail = (source, track), []
-                words = text.split()
-                fresh = words[_overlap(tail, words) :]
+            for i, (source, track, part, text, size, longest, told) in enumerate(zip(*[batch.column(c).to_pylist() for c in (*_KEYS, "text")], sizes, batch.column("longest").to_pylist(), batch.column("tail"))):
+                if now != (source, track, part):
+                    now, tail = (source, track, part), told.as_py() or []
+                fresh = _fresh(tail, text)
                 if fresh:
                     tail = [*tail, *fresh][-longest:]
                     kept.append(i)
                     texts.append(" ".join(fresh))
                     timed.append(size == len(fresh))
-            part = batch.take(pa.array(kept, pa.int64()))
-            columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(timed, pa.bool_())], [*names, "timed"])
+            part_ = batch.take(pa.array(kept, pa.int64()))
+            columns = [pa.array(texts, pa.string()) if c == "text" else part_.column(c) for c in _NAMES]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(timed, pa.bool_())], [*_NAMES, "timed"])
+
+    dealt = rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "cue_idx")
+    out = dealt.mapInArrow(run, f"{CUES}, timed boolean")
+    return out.withColumn("words", F.when(F.col("timed"), F.col("words")).otherwise(F.array().cast(WORDS))).select(*_NAMES)
+
+
+def last_words(texts: DataFrame, chunk: int, before: int) -> DataFrame:
+    """texts(source_id, track_idx, chunk, cue_idx, text, longest) -> source_id, track_idx, chunk, tail: the words last said before each chunk but the first.
+
+    All chunks are read at once from a guess, which is what reading the ``before`` cues in
+    front of a chunk leaves. Where the chunk before ends in other words than were guessed,
+    the chunk is read again from these, until all agree: the words are then those of one
+    stream, however the guesses were. Each round settles at least one more chunk of every
+    track; captions that say new words settle in the first.
+    """
+    empty = F.lit(None).cast("array<string>")
+    ahead = texts.where(F.col("cue_idx") % chunk >= chunk - before).withColumn("chunk", F.col("chunk") + 1)
+    later = cut(texts.where("chunk > 0").select(*_KEYS).distinct(), "chunks")
+    guessed = cut(later.join(_tails(ahead.withColumn("tail", empty)), _KEYS, "left"), "guessed")
+    at = texts.join(guessed, _KEYS, "left")
+    ends = cut(_tails(at), "ends")
+    while True:
+        found = ends.select(*TRACK, (F.col("chunk") + 1).alias("chunk"), F.col("tail").alias("found"))
+        none = F.array().cast("array<string>")
+        wrong = cut(guessed.join(found, _KEYS).where(F.coalesce("found", none) != F.coalesce("tail", none)).select(*_KEYS, F.col("found").alias("tail")), "wrong")
+        if not wrong.limit(1).count():
+            return guessed
+        again = _tails(texts.join(wrong, _KEYS))
+        put = lambda old, new: old.join(new.select(*_KEYS), _KEYS, "left_anti").unionByName(new)
+        guessed, ends = cut(put(guessed, wrong), "guessed"), cut(put(ends, cut(again, "again")), "ends")
+
+
+def _tails(rows: DataFrame) -> DataFrame:
+    """rows(keys, cue_idx, text, longest, tail) -> keys, tail: the words last said after reading each chunk's rows from its tail (null: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tail = None, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*now, tail), (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())))], [*_KEYS, "tail"])
+
+        for batch in batches:
+            for source, track, part, text, longest, told in zip(*[batch.column(c).to_pylist() for c in (*_KEYS, "text", "longest")], batch.column("tail")):
+                if now != (source, track, part):
+                    if now is not None:
+                        yield done()
+                    now, tail = (source, track, part), told.as_py() or []
+                fresh = _fresh(tail, text)
+                if fresh:
+                    tail = [*tail, *fresh][-longest:]
+        if now is not None:
+            yield done()
 
-    dealt = own.repartition(*TRACK).withColumn("longest", F.max(n_tokens("text")).over(W.partitionBy(*TRACK)))
-    out = dealt.sortWithinPartitions(*TRACK, "cue_idx").mapInArrow(run, f"{CUES}, timed boolean")
-    return out.withColumn("words", F.when(F.col("timed"), F.col("words")).otherwise(F.array().cast(WORDS))).select(*names)
+    return rows.select(*_KEYS, "cue_idx", "text", "longest", "tail").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "cue_idx").mapInArrow(run, "source_id string, track_idx int, chunk int, tail array<string>")
 
 
 def dedupe_fold(cues: DataFrame) -> DataFrame:

@@ -147,6 +147,13 @@ def R17_fold_as_expression(spark, sf):
     return paragraphs.runs_by_fold(_talk_cues(spark, sf)).select("source_id", "cue_idx", "run")
 
 
+@query(_FOLD)
+def R17_long_tracks(spark, sf):
+    """The fold of tracks longer than a chunk, here of eight cues: chunks are summed up, stitched and streamed apart."""
+    w = W.partitionBy("source_id").orderBy("seg", "run")
+    return paragraphs.paragraph_runs(_talk_cues(spark, sf), chunk=8).select("source_id", "cue_idx", (F.dense_rank().over(w) - 1).alias("run"))
+
+
 # ---- tokens, dedupe, sentences
 
 
@@ -174,6 +181,12 @@ def R2_dedupe_rolling_window(spark, sf):
     return dedupe.dedupe_rolling_window(_windowed(spark, sf)).select("source_id", "cue_idx", "text")
 
 
+@query(ORACLES["R2_dedupe_rolling_window"])
+def R2_long_tracks(spark, sf):
+    """R2: tracks longer than a chunk, here of a hundred cues, read at once from what was probably said before, and again where it was not."""
+    return dedupe.dedupe_rolling_window(_windowed(spark, sf), chunk=100, before=20).select("source_id", "cue_idx", "text")
+
+
 @query(
     _WIN
     + """ f(source_id, cue_idx, seen, fresh, whole) as (

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.operators import dedupe, paragraphs
 
@@ -65,3 +64,36 @@ def test_closings_are_those_of_single_steps():
                         break
                     words, at = words + n[at], at + 1
                 assert close[i] == at
+
+
+def rolling(name, n, vocabulary, repeat):
+    """Cues that say again the last words of the ones before, now and then the same line over and over."""
+    said, rows = [], []
+    for k in range(n):
+        new = [R.choice(vocabulary) for _ in range(R.randint(0, 4))]
+        old = said[-R.randint(0, 5) :] if said and R.random() < 0.8 else []
+        text = " ".join(old + new) if R.random() > repeat else " ".join(["la"] * R.randint(1, 3))
+        said += new
+        rows.append((name, 0, k, text, float(k), 1.0, [(w, float(k)) for w in text.split()], None, False))
+    return rows
+
+
+def plain_dedupe(rows):
+    longest, tail, out = max(len(r[3].split()) for r in rows), [], []
+    for r in rows:
+        words = r[3].split()
+        most = next((n for n in range(min(len(tail), len(words)), 0, -1) if tail[-n:] == words[:n]), 0)
+        fresh = words[most:]
+        if fresh:
+            tail = [*tail, *fresh][-longest:]
+            out.append((r[0], r[2], " ".join(fresh), len(words) if len(words) == len(fresh) else 0))
+    return out
+
+
+@pytest.mark.parametrize("chunk,before", [(50, 10), (40, 0), (100_000, 400)])
+def test_chunks_are_deduplicated_as_one_stream(spark, chunk, before):
+    words = [f"w{i}" for i in range(300)]
+    tracks = [rolling("a", 330, words, 0), rolling("b", 260, ["x", "y"], 0.1), rolling("c", 200, ["la"], 0.5), rolling("d", 20, words, 0), rolling("e", 210, words, 0.9)]
+    frame = spark.createDataFrame([r for t in tracks for r in t], "source_id string, track_idx int, cue_idx int, text string, start double, duration double, words array<struct<text:string,start:double>>, speaker string, turn boolean").repartition(4)
+    got = sorted((r["source_id"], r["cue_idx"], r["text"], len(r["words"])) for r in dedupe.dedupe_rolling_window(frame, chunk, before).collect())
+    assert got == sorted(x for t in tracks for x in plain_dedupe(t))
