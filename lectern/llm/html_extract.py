@@ -16,9 +16,11 @@ the threshold. Copies of a page count once on their host.
 
 Statistics are counts by (host, node, text) with partial aggregation, and what is known
 of a node, or of a host's node, meets the rows of a very frequent one by broadcast, so a
-host with a third of all pages is no single task's work. Texts never move: pages are read twice, and
-only where the tree overrules the markup does a hash of 8 bytes travel to the tasks: one
-a node, and one a text that recurs over most pages of a node that stays.
+host with a third of all pages is no single task's work. Pages are read twice, and only
+where the tree overrules the markup does a hash of 8 bytes travel to the tasks: one a
+node, and one a text that recurs over most pages of a node that stays. Up to MOST_SENT of
+them are broadcast and texts never move; beyond, hashes of nodes and texts meet them by a
+shuffle, and pages what was found for them.
 
 Edge cases: null and empty pages have an empty text. A null URL belongs to the empty
 host. Repeated rows are each extracted. An empty table gives no rows. Broken markup is
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,8 @@ from lectern.llm.urls import split_url
 IMPORTANT = 0.5
 #: The tree over all hosts counts like this many pages at most.
 ENOUGH_PAGES = 8
+#: Keys that are sent to every task, 8 bytes each; more of them meet their pages by a join.
+MOST_SENT = 4_000_000
 #: Importance by markup alone: declared boilerplate, weakly declared inside content, undeclared, content. One of .5 or more is kept where the tree knows nothing.
 PRIORS = (0.01, 0.3, 0.5, 0.95)
 #: Values of nodes and texts lie within this of 0 and 1: what is plainly declared boilerplate is overruled only where its host's markup has lost trust.
@@ -157,27 +161,57 @@ def tokens_of(page: str) -> Iterator[tuple[str, str, str, int]]:
             at = sent
 
 
-def blocks_of(page: str) -> list[tuple[str, int, str]]:
-    """(path, index in PRIORS, text) of each block with text, in page order.
+class _Stack:
+    """Open elements: tag, hash of the path, whether firmly boilerplate, innermost doubtful frame (0: none), whether in content. The last place of each tag is known, so nothing is searched."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.solid = [0]  # places of blocks other than paragraphs
+
+    def last(self, tag: str) -> int:
+        """The innermost place of an open tag, 0 if there is none."""
+        found = self.places[tag]
+        return found[-1] if found else 0
+
+    def push(self, tag: str, *rest) -> None:
+        self.places[tag].append(len(self.items))
+        if tag in BLOCKS and tag != "p":
+            self.solid.append(len(self.items))
+        self.items.append((tag, *rest))
+
+    def cut(self, place: int) -> None:
+        for tag, *_ in self.items[place:]:
+            self.places[tag].pop()
+        del self.items[place:]
+        while self.solid[-1] >= place:
+            self.solid.pop()
+
+
+_PARTNERS = {"dt": "dd", "dd": "dt", "td": "th", "th": "td"}
+
+
+def blocks_of(page: str) -> list[tuple[int, int, str]]:
+    """(hash of the path, index in PRIORS, text) of each block with text, in page order, in time linear in the page.
 
     A form, or what a class or id calls boilerplate, is not held to be any if it holds
     an article and over half of the page's text: it is the page's frame.
     """
-    out: list[tuple[str, bool, tuple[int, ...], bool, str]] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = [("", "", False, (), False)]  # tag, path, boilerplate, doubtful frames (weak ones below 0), in content
+    out: list[tuple[int, bool, int, bool, str]] = []
+    stack = _Stack()
     parts: list[str] = []
-    frames, holding = 0, set()
+    outer, weak, holding = [0], [False], set()  # of doubtful frames, numbered from 1: the one around it, whether declared weakly; those around an article
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((*stack[-1][1:], text))
+                out.append((*stack.items[-1][1:], text))
 
-    def close(i: int) -> None:
+    def close(place: int) -> None:
         flush()
-        del stack[i:]
+        stack.cut(place)
 
     tokens, sent = tokens_of(page), None
     while True:
@@ -190,13 +224,10 @@ def blocks_of(page: str) -> list[tuple[str, int, str]]:
             parts.append(text)
             continue
         if text:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            if place := stack.last(tag):
+                close(place)
+            elif tag in BLOCKS:
+                flush()
             continue
         if tag in RAW:
             if tag != "head" and not attributes.rstrip().endswith("/"):
@@ -213,46 +244,51 @@ def blocks_of(page: str) -> list[tuple[str, int, str]]:
         if tag not in BLOCKS and not bad:
             continue
         if tag in ENDS_P or tag in ITEM:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p" and tag in ENDS_P or stack[i][0] == tag and tag in ITEM or {stack[i][0], tag} in ({"dt", "dd"}, {"td", "th"}):
-                    close(i)
-                    break
-                if stack[i][0] in ITEM.get(tag, BLOCKS - {"p"}):
-                    break
+            ended = max(stack.last("p") if tag in ENDS_P else 0, stack.last(tag) if tag in ITEM else 0, stack.last(_PARTNERS[tag]) if tag in _PARTNERS else 0)
+            held = max(map(stack.last, ITEM[tag])) if tag in ITEM else stack.solid[-1]
+            if ended > held:
+                close(ended)
         flush()
-        _, path, firm, doubtful, content = stack[-1]
+        _, path, firm, frame, content = stack.items[-1]
         if tag in ("body", "html"):
             bad = 0
         elif tag in CONTENT and bad < 2:
-            holding.update(doubtful)
+            k = frame
+            while k and k not in holding:  # a frame that is marked has those around it marked
+                holding.add(k)
+                k = outer[k]
             content, bad = True, 0
         if tag in BOILERPLATE - FRAMES and not (tag == "header" and content):
             firm = True
         elif bad or tag in FRAMES:
-            frames += 1
-            doubtful = (*doubtful, -frames if bad == 1 and tag not in FRAMES else frames)
-        stack.append((tag, f"{path}/{tag}" + f"[{presentation}]" * bool(presentation), firm, doubtful, content))
+            outer.append(frame)
+            weak.append(bad == 1 and tag not in FRAMES)
+            frame = len(outer) - 1
+        stack.push(tag, _hash(f"{path}/{tag}[{presentation}]"), firm, frame, content)
     flush()
-    sizes: Counter = Counter()
-    for _, _, doubtful, _, text in out:
-        for k in doubtful:
-            sizes[k] += len(text)
-    total = sum(len(x[-1]) for x in out)
-    framing = {k for k in holding if 2 * sizes[k] > total}
-
-    def look(firm: bool, doubtful: tuple[int, ...], content: bool) -> int:
-        held = [k for k in doubtful if k not in framing]
-        if firm or held:
-            return int(not firm and content and max(held) < 0)
+    sizes = [0] * len(outer)
+    for _, _, frame, _, text in out:
+        sizes[frame] += len(text)
+    total = sum(sizes)
+    for k in range(len(outer) - 1, 0, -1):
+        sizes[outer[k]] += sizes[k]
+    held, strong = [False] * len(outer), [False] * len(outer)  # whether a block in this frame is in one that is boilerplate; in one strongly declared
+    for k in range(1, len(outer)):
+        own = not (k in holding and 2 * sizes[k] > total)
+        held[k], strong[k] = held[outer[k]] or own, strong[outer[k]] or own and not weak[k]
+
+    def look(firm: bool, frame: int, content: bool) -> int:
+        if firm or held[frame]:
+            return int(not firm and content and not strong[frame])
         return 3 if content else 2
 
-    return [(path, look(firm, doubtful, content), text) for path, firm, doubtful, content, text in out]
+    return [(path, look(firm, frame, content), text) for path, firm, frame, content, text in out]
 
 
 class _Nodes(dict):
-    """(path, index in PRIORS) -> 64-bit hash, remembered."""
+    """(hash of the path, index in PRIORS) -> 64-bit hash, remembered."""
 
-    def __missing__(self, key: tuple[str, int]) -> int:
+    def __missing__(self, key: tuple[int, int]) -> int:
         if len(self) > 100_000:
             self.clear()
         path, look = key
@@ -343,38 +379,58 @@ def _key(host: np.ndarray, node: np.ndarray, text: np.ndarray) -> np.ndarray:
     return _mix(_mix(_mix(host) + node) + text)
 
 
-def keys_of(rows: DataFrame) -> np.ndarray:
-    """(host, node, text) as sorted hashes; a null text counts as 0."""
+def keyed(rows: DataFrame) -> DataFrame:
+    """(host, node, text) -> key: their hash; a null text counts as 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = _key(*[batch.column(c).to_numpy() for c in ("host", "node", "text")])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
-    found = rows.select("host", "node", F.coalesce("text", F.lit(0)).alias("text")).mapInArrow(run, "key long").toArrow()
-    return np.unique(found.column("key").to_numpy().view(np.uint64))
+    return rows.select("host", "node", F.coalesce("text", F.lit(0)).alias("text")).mapInArrow(run, "key long").distinct()
+
+
+def keys_of_pages(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """host, page, keys: of each distinct page (host, page, nodes) those keys that its own nodes and texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _key(*[batch.column(c).to_numpy() for c in ("host", "node", "text")])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(key.view(np.int64))], ["host", "page", "key"])
+
+    once = pages.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", "page", F.inline("nodes"))
+    own = once.select("host", "page", "node", F.coalesce("text", F.lit(0)).alias("text")).mapInArrow(run, "host long, page long, key long")
+    # a node may be on most pages
+    return join_hot(cut(own, "own"), keys, ["key"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("key")).alias("keys"))
 
 
 def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found if len(keys) else np.zeros(len(found), bool)
 
 
-def extract(pages: DataFrame, important: float = IMPORTANT, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def extract(pages: DataFrame, important: float = IMPORTANT, page_id: str = "page_id", url: str = "url", page: str = "html", most_sent: int = MOST_SENT) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each row of pages."""
     spark = pages.sparkSession
     workers_see_package(spark)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    shared = spark.sparkContext.broadcast(keys_of(overruled(cut(spread(seen(rows)), "spread"), important)))
+    keys = cut(keyed(overruled(cut(spread(seen(rows)), "spread"), important)), "keys")
+    if keys.count() <= most_sent:
+        shared = spark.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy().view(np.uint64)))
+        rows = rows.withColumn("keys", F.lit(None).cast("array<long>"))
+    else:  # each page meets its own keys; of copies of a page, which may be very many, by broadcast
+        shared = None
+        rows = join_hot(hashed(rows), keys_of_pages(seen(rows), keys), ["host", "page"], "left").select("page_id", "url", "html", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
     declared = np.array(PRIORS) >= important
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keys = _Nodes(), shared.value
+        known = _Nodes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = []
-                for url, page in zip(part.column("url").to_pylist(), part.column("html")):
+                for url, page, own in zip(part.column("url").to_pylist(), part.column("html"), part.column("keys")):
                     found = blocks_of(page.as_py() or "")
+                    keys = shared.value if shared else np.sort(own.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                     node = np.array([known[p, look] for p, look, _ in found], np.int64)
                     host = np.full(len(found), _hash(split_url(url)[0] or ""), np.int64)
                     stays = declared[[look for _, look, _ in found]] if found else np.zeros(0, bool)
@@ -385,3 +441,17 @@ def extract(pages: DataFrame, important: float = IMPORTANT, page_id: str = "page
     kind = rows.schema["page_id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """(page_id, url, html) and host, page as :func:`seen` hashes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                hosts = [_hash(split_url(u)[0] or "") for u in part.column("url").to_pylist()]
+                prints = [_hash(p.as_py() or "") for p in part.column("html")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hosts, pa.int64()), pa.array(prints, pa.int64())], ["page_id", "url", "html", "host", "page"])
+
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, html string, host long, page long")

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from lectern.llm import chat, decontaminate, urls
+from lectern.llm import chat, decontaminate, html_extract, urls
 
 R = random.Random(21)
 
@@ -66,3 +66,35 @@ def test_hosts_of_many_labels():
     began = time.time()
     assert rules.find("a." * 1_000_000 + "example.com", "/en/")[0] == "example.com/en/"
     assert time.time() - began < 1
+
+
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        ("<div>" * 100_000 + "x", 1),
+        ("<div class=ad>" * 100_000 + "x", 1),
+        ("<div>" * 20_000 + "</zz>" * 100_000 + "t", 1),
+        ("<li><ul>" + "<div>" * 50_000 + "<li>a</li>" * 50_000, 50_000),
+        ("<div class=ad>" * 50_000 + "<article>a</article>" * 50_000, 50_000),
+        ("<span class=ad>" * 50_000 + "<div>a</div>" * 50_000, 1),
+        ("<p>" * 100_000 + "x", 1),
+        ("".join(f"</x{i}>" for i in range(100_000)) + "x", 1),
+    ],
+)
+def test_pages_are_read_in_linear_time(page, blocks):
+    began = time.time()
+    found = html_extract.blocks_of(page)
+    assert time.time() - began < 5 and (len(found) == blocks or blocks == 1 and len(found) >= 1)
+
+
+def test_keys_meet_their_pages_by_a_join_as_by_broadcast(spark):
+    pages = []
+    for k in range(60):
+        notice = "<div>Read our notice on every page</div>" if k % 3 else ""
+        own = " ".join(R.choice("lorem ipsum dolor sit amet".split()) + str(R.randint(0, 99)) for _ in range(30))
+        pages.append((k, f"http://h{k % 2}.org/{k}", f"<body><div class=banner>Shared head {k % 2}</div><article><p>{own}</p>{notice}</article><aside>{own[::-1]}</aside></body>"))
+    pages += [(100, None, None), (101, "x", ""), *[(200 + k, "http://h1.org/copy", pages[1][2]) for k in range(30)], (1, "http://h0.org/1", pages[3][2])]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    sent, joined = (sorted(map(tuple, html_extract.extract(frame, most_sent=most).collect()), key=str) for most in (html_extract.MOST_SENT, 0))
+    assert sent == joined and len(sent) == len(pages) and any("notice" not in t for _, _, t, _ in sent if t)
+    assert html_extract.extract(frame.limit(0), most_sent=-1).count() == 0
