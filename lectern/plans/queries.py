@@ -623,12 +623,13 @@ def G10_annotated(spark, sf):
     return render.annotate(rows, one(0, "", "Short ").union(one(1, " x", "Long ")), "t", "text").select("source_id", "text")
 
 
-@query(f"""{_FOLD_CTE}, j as (select id, regexp_replace(json, '"end":[^,]*,', '') as json from (select source_id || ':' || passage_idx as id, to_json({{'id': source_id || ':' || passage_idx, 'source_id': source_id, 'title': 'Talk ' || source_id, 'channel': 'A Channel', 'section': section, 'speaker': speaker, 'turn': turn, 'text': text, 'timestamp': {_stamp('start_ms')}, 'url': 'https://example.org/w?v=' || source_id || '&t=' || start_ms // 1000, 'tier': 'manual', 'language': 'en'}}) as json from s))
-select id, cast(json as varchar) as json from j""")
+@query(f"""{_FOLD_CTE}, j as (select id, start_ms, end_ms, to_json({{'id': id, 'source_id': source_id, 'title': 'Talk ' || source_id, 'channel': 'A Channel', 'section': section, 'speaker': speaker, 'turn': turn, 'text': text, 'timestamp': {_stamp('start_ms')}, 'url': 'https://example.org/w?v=' || source_id || '&t=' || start_ms // 1000, 'tier': 'manual', 'language': 'en'}}) as json from (select *, source_id || ':' || passage_idx as id from s))
+select id, cast(json as varchar) as json, start_ms, end_ms from j""")
 def O4_json_lines(spark, sf):
-    """One JSON object a passage; the two times, which are floats, are left out of the comparison."""
+    """One JSON object a passage; the two times, which are floats, are compared in milliseconds, all else as written."""
     lines = render.jsonl(*_talk_lecture(spark, sf)).select(F.explode(F.split("text", "\n")).alias("json"))
-    return lines.select(F.get_json_object("json", "$.id").alias("id"), F.regexp_replace("json", r'"start":[0-9.E-]+,"end":[0-9.E-]+,', "").alias("json"))
+    time = lambda k: F.round(F.get_json_object("json", f"$.{k}").cast("double") * 1000).cast("long").alias(f"{k}_ms")
+    return lines.select(F.get_json_object("json", "$.id").alias("id"), F.regexp_replace("json", r'"start":[0-9.E-]+,"end":[0-9.E-]+,', "").alias("json"), time("start"), time("end"))
 
 
 _tok = lambda x: f"cast(floor(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) / 0.75) as int)"
