@@ -73,12 +73,27 @@ def paragraph_runs(cues: DataFrame, chunk: int = CHUNK) -> DataFrame:
     more than ``chunk`` cues is cut into chunks by its cues' ordinals, which are dealt like
     tracks: where a chunk's stream starts is told beforehand by :func:`entries`.
     """
-    workers_see_package(cues.sparkSession)
+    return _streamed(_facts(cues, chunk))[0]
+
+
+_FACTS = ["start", "spoken", "n", "ended", "turn", "punctuated"]
+
+
+def _facts(cues: DataFrame, chunk: int, **more: Column) -> DataFrame:
+    """What the fold asks of a cue, and more columns, as a table: texts are looked at once."""
+    key = [F.col(c).cast("int").alias(c) for c in ("track_idx", *ORDER)]
     end = F.col("start") + F.col("duration")
-    facts = cues.select("source_id", *[F.col(c).cast("int").alias(c) for c in ("track_idx", *ORDER)], "start", speech_end(F.col("words"), end).alias("spoken"), n_tokens("text").alias("n"), ends_sentence("text").alias("ended"), F.coalesce("turn", F.lit(False)).alias("turn"), "punctuated")
-    facts = cut(facts.withColumn("chunk", F.floor(F.col("cue_idx") / chunk).cast("int")), "facts")
+    facts = cues.select("source_id", *key, F.floor(F.col("cue_idx") / chunk).cast("int").alias("chunk"), "start", speech_end(F.col("words"), end).alias("spoken"), n_tokens("text").alias("n"), ends_sentence("text").alias("ended"), F.coalesce("turn", F.lit(False)).alias("turn"), "punctuated", *[c.alias(name) for name, c in more.items()])
+    return cut(facts, "facts")
+
+
+def _streamed(facts: DataFrame, openings: bool = False) -> tuple[DataFrame, bool]:
+    """paragraph_runs, and whether any track is cut into chunks; with openings only the cues at which a paragraph or a chunk begins."""
+    workers_see_package(facts.sparkSession)
+    facts = facts.select(*_KEYS, *ORDER, *_FACTS)
     none = F.lit(None).cast(_STATE)
-    if facts.agg(F.max("chunk")).first()[0]:
+    chunked = bool(facts.agg(F.max("chunk")).first()[0])
+    if chunked:
         long = facts.where("chunk > 0").select(*TRACK).distinct()
         told = cut(entries(facts.join(long, TRACK, "left_semi")), "entries")
         placed = facts.join(told, _KEYS, "left")
@@ -88,7 +103,7 @@ def paragraph_runs(cues: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seg, current, words, wanted, last, said = None, 0, 0, 0, False, 0.0, False
         for batch in batches:
-            segs, runs = [], []
+            segs, runs, opened, before = [], [], [], (seg, current)
             for source, track, part, start, spoken, n, ended, turn, is_punctuated, entry in zip(*[batch.column(c).to_pylist() for c in (*_KEYS, "start", "spoken", "n", "ended", "turn", "punctuated", "entry")]):
                 first = now != (source, track, part)
                 if first:
@@ -103,13 +118,17 @@ def paragraph_runs(cues: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     closes, wanted = fold_step(start - last, words, wanted, False, bool(is_punctuated), bool(said))
                     if closes:
                         current, words, wanted = current + 1, 0, False
+                if openings and (first or (seg, current) != before):
+                    opened.append(len(segs))
+                before = (seg, current)
                 segs.append(seg)
                 runs.append(current)
                 words, last, said = words + n, spoken, ended
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*TRACK, *ORDER)], pa.array(segs, pa.int64()), pa.array(runs, pa.int32())], [*TRACK, *ORDER, "seg", "run"])
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*TRACK, *ORDER)], pa.array(segs, pa.int64()), pa.array(runs, pa.int32())], [*TRACK, *ORDER, "seg", "run"])
+            yield out.take(pa.array(opened, pa.int64())) if openings else out
 
     in_order = placed.repartition(*_KEYS).sortWithinPartitions(*_KEYS, *ORDER)
-    return in_order.mapInArrow(run, "source_id string, track_idx int, cue_idx int, piece_idx int, turn_idx int, seg long, run int")
+    return in_order.mapInArrow(run, "source_id string, track_idx int, cue_idx int, piece_idx int, turn_idx int, seg long, run int"), chunked
 
 
 def closings(n: np.ndarray, late: np.ndarray, ended: np.ndarray, turn: np.ndarray, is_punctuated: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -265,13 +284,18 @@ def runs_by_fold(cues: DataFrame) -> DataFrame:
 
 def passages_of(cues: DataFrame, runs: list[str]) -> DataFrame:
     """Cues with run columns -> passages: text in order, first start, last end, first speaker and turn; adds passage_idx."""
-    order = F.struct("cue_idx", "piece_idx", "turn_idx")
     end = F.col("start") + F.col("duration")
-    rows = F.array_sort(F.collect_list(F.struct("cue_idx", "piece_idx", "turn_idx", "text")))
+    return _gathered(cues.withColumn("stop", passage_end(F.col("words"), end)), runs)
+
+
+def _gathered(cues: DataFrame, runs: list[str]) -> DataFrame:
+    """passages_of for cues whose passage would end at stop."""
+    order = F.struct(*ORDER)
+    rows = F.array_sort(F.collect_list(F.struct(*ORDER, "text")))
     out = cues.groupBy(*TRACK, *runs).agg(
         F.array_join(F.transform(rows, lambda x: x["text"]), " ").alias("text"),
         F.min_by("start", order).alias("start"),
-        F.max_by(passage_end(F.col("words"), end), order).alias("end"),
+        F.max_by("stop", order).alias("end"),
         F.min_by("speaker", order).alias("speaker"),
         F.min_by("turn", order).alias("turn"),
     )
@@ -279,6 +303,24 @@ def passages_of(cues: DataFrame, runs: list[str]) -> DataFrame:
     return out.select(*TRACK, idx.alias("passage_idx"), "text", "start", F.greatest("end", "start").alias("end"), "speaker", "turn")
 
 
+def fold(cues: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Cues as paragraph_runs takes them -> passages, dealt by source.
+
+    Only the cues that open a paragraph come back from the stream. They meet the cues in one
+    sort of a source, so texts are shuffled once, without their words' times; a track that is
+    cut into chunks meets them chunk by chunk, and its paragraphs are shuffled once more.
+    """
+    stop = passage_end(F.col("words"), F.col("start") + F.col("duration"))
+    facts = _facts(cues, chunk, text=F.col("text"), stop=stop, speaker=F.col("speaker"), turned=F.col("turn"))
+    opened, chunked = _streamed(facts, openings=True)
+    own = facts.select(*_KEYS, *ORDER, F.lit(1).alias("side"), "text", "start", "stop", "speaker", F.col("turned").alias("turn"))
+    marks = opened.select(*TRACK, F.floor(F.col("cue_idx") / chunk).cast("int").alias("chunk"), *ORDER, F.lit(0).alias("side"), F.struct("seg", "run").alias("at"))
+    dealt = own.unionByName(marks, allowMissingColumns=True).repartition(*(_KEYS if chunked else ["source_id"]))
+    w = W.partitionBy(*(_KEYS if chunked else TRACK)).orderBy(*ORDER, "side").rowsBetween(W.unboundedPreceding, 0)
+    placed = dealt.withColumn("at", F.last("at", ignorenulls=True).over(w)).where("side = 1")
+    return _gathered(placed.select(*TRACK, *ORDER, "text", "start", "stop", "speaker", "turn", F.col("at.seg").alias("seg"), F.col("at.run").alias("run")), ["seg", "run"])
+
+
 def reflow(cues: DataFrame, policy: DataFrame) -> DataFrame:
     """Cues and their tracks' policy(dedupe, punctuated) -> passages. Stages run in this order on the tracks that want them."""
     own = cues.join(policy, TRACK)

@@ -11,13 +11,14 @@ def chapter_at(passages: DataFrame, chapters: DataFrame) -> DataFrame:
     """passages(source_id, passage_idx, start, ...) with chapter_idx: the last chapter that starts no later; null before all.
 
     Both sides go through one sort per source and a running last value, so the work is
-    linear in both. Chapters that start together: the later in their own order.
+    linear in both. Chapters that start together: the later in their own order. Passages
+    that are dealt by source already stay where they are.
     """
-    a = passages.select("source_id", "start", F.lit(1).alias("side"), F.col("passage_idx").cast("long").alias("idx"), F.lit(None).cast("long").alias("chapter"))
-    b = chapters.select("source_id", "start", F.lit(0).alias("side"), F.col("chapter_idx").cast("long").alias("idx"), F.col("chapter_idx").cast("long").alias("chapter"))
-    w = W.partitionBy("source_id").orderBy("start", "side", "idx").rowsBetween(W.unboundedPreceding, 0)
-    found = a.union(b).withColumn("chapter_idx", F.last("chapter", ignorenulls=True).over(w)).where("side = 1").select("source_id", F.col("idx").alias("passage_idx"), F.col("chapter_idx").cast("int").alias("chapter_idx"))
-    return passages.join(found, ["source_id", "passage_idx"])
+    a = passages.withColumns({"__side": F.lit(1), "__idx": F.col("passage_idx").cast("long")})
+    b = chapters.select("source_id", "start", F.lit(0).alias("__side"), F.col("chapter_idx").cast("long").alias("__idx"), F.col("chapter_idx").cast("long").alias("__chapter")).repartition("source_id")
+    w = W.partitionBy("source_id").orderBy("start", "__side", "__idx").rowsBetween(W.unboundedPreceding, 0)
+    found = a.unionByName(b, allowMissingColumns=True).withColumn("chapter_idx", F.last("__chapter", ignorenulls=True).over(w).cast("int"))
+    return found.where("__side = 1").drop("__side", "__idx", "__chapter")
 
 
 def build_sections(passages: DataFrame, chapters: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -55,9 +55,21 @@ def citation(lectures: DataFrame) -> DataFrame:
     return lectures.select("source_id", F.concat(first, F.lit("\n\n"), note).alias("text"))
 
 
+def _titled(passages: DataFrame, sections: DataFrame, name: str) -> DataFrame:
+    """passages and their section's title; those without a section go.
+
+    Both meet in one sort of a source: a join by two keys would move passages, texts and
+    all, that are dealt by source already.
+    """
+    told = sections.select("source_id", "section_idx", F.lit(0).alias("__side"), F.struct("title").alias("__told")).repartition("source_id")
+    w = W.partitionBy("source_id", "section_idx").orderBy("__side").rowsBetween(W.unboundedPreceding, 0)
+    rows = passages.withColumn("__side", F.lit(1)).unionByName(told, allowMissingColumns=True).withColumn("__told", F.last("__told", ignorenulls=True).over(w))
+    return rows.where("__side = 1 and __told is not null").withColumn(name, F.col("__told.title")).drop("__side", "__told")
+
+
 def records(lectures: DataFrame, sections: DataFrame, passages: DataFrame) -> DataFrame:
     """The record of each passage as columns, ready for write.json or to_json."""
-    rows = passages.join(sections.select("source_id", "section_idx", F.col("title").alias("section")), ["source_id", "section_idx"]).join(lectures.select("source_id", "title", "channel", F.col("url").alias("base"), "tier", "language"), "source_id")
+    rows = _titled(passages, sections, "section").join(lectures.select("source_id", "title", "channel", F.col("url").alias("base"), "tier", "language"), "source_id")
     return rows.select(
         F.concat("source_id", F.lit(":"), F.col("passage_idx").cast("string")).alias("id"), "source_id", "title", "channel", "section", "speaker", "turn", "text", "start", "end",
         format_timestamp("start").alias("timestamp"), safe_url(link_at("base", "start")).alias("url"), "tier", "language", "passage_idx",
@@ -121,13 +133,21 @@ def admitted(passages: DataFrame, budget: Column) -> DataFrame:
 
     Costs are not negative, so the running sum is enough; budget is a column per source.
     """
-    spent = F.sum("cost").over(W.partitionBy("source_id").orderBy("passage_idx").rowsBetween(W.unboundedPreceding, 0))
-    return passages.withColumn("spent", spent).withColumn("kept", F.col("spent") <= budget)
+    return _spent(passages).withColumn("kept", F.col("spent") <= budget)
+
+
+def _spent(passages: DataFrame) -> DataFrame:
+    return passages.withColumn("spent", F.sum("cost").over(W.partitionBy("source_id").orderBy("passage_idx").rowsBetween(W.unboundedPreceding, 0)))
 
 
 def context(lectures: DataFrame, sections: DataFrame, passages: DataFrame, budget: int = BUDGET) -> DataFrame:
-    words = passages.groupBy("source_id").agg(F.sum(n_tokens("text")).alias("words"))
-    own = passages.groupBy("source_id", "section_idx").agg(F.sum(n_tokens("text")).alias("words"))
+    """Passages are read once; from then on only those that fit the whole budget keep their text: what heads it leaves no more room than that."""
+    who = F.when(F.col("turn") & (F.coalesce("speaker", F.lit("")) != ""), F.concat(F.lit(" "), label("speaker"), F.lit(":"))).otherwise("")
+    entry = F.concat(F.lit("["), format_timestamp("start"), F.lit("]"), who, F.lit(" "), body("text"))
+    said = passages.select("source_id", "section_idx", "passage_idx", "start", "end", n_tokens("text").alias("words"), entry.alias("entry")).withColumn("cost", estimate_tokens("entry"))
+    rows = cut(_spent(said).withColumn("entry", F.when(F.col("spent") <= budget, F.col("entry"))), "entries")
+    words = rows.groupBy("source_id").agg(F.sum("words").alias("words"))
+    own = rows.groupBy("source_id", "section_idx").agg(F.sum("words").alias("words"))
     titled = F.when(F.coalesce("title", F.lit("")) != "", label("title")).otherwise("(untitled)")
     line = F.concat((F.row_number().over(W.partitionBy("source_id").orderBy("section_idx"))).cast("string"), F.lit(". "), titled, F.lit(" — "), format_timestamp("start"), F.lit("–"), format_timestamp("end"), F.lit(" ("), F.col("words").cast("string"), F.lit(" words)"))
     outline = in_order(sections.join(own, ["source_id", "section_idx"]).select("source_id", "section_idx", line.alias("line")), ["section_idx"], "line", "\n").select("source_id", F.concat(F.lit("## Outline\n"), F.col("text")).alias("outline"))
