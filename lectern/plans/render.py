@@ -18,6 +18,7 @@ from lectern.functions.languages import TIERS
 from lectern.functions.text import body, body_resumed, estimate_tokens, label, n_tokens
 from lectern.functions.times import format_apa_date, format_date, format_timestamp, half_even, link_at, whole_minutes
 from lectern.functions.web import hash_prefix, safe_url
+from lectern.sources.shared import cut
 
 SEPARATORS = {"markdown": "\n\n\n", "plain": "\n\n\n", "citation": "\n\n\n", "context": "\n\n\n", "jsonl": "\n"}
 EXTENSIONS = {"markdown": "md", "plain": "txt", "citation": "txt", "context": "md", "jsonl": "jsonl"}
@@ -156,10 +157,7 @@ def context(lectures: DataFrame, sections: DataFrame, passages: DataFrame, budge
     top = lectures.join(words, "source_id").join(outline, "source_id", "left").select("source_id", header.alias("header"), F.coalesce("outline", F.lit("")).alias("outline"))
     opening = "\n\n".join(["## Transcript", PREAMBLE, BEGIN])
     top = top.withColumn("room", F.lit(budget) - estimate_tokens("header") - estimate_tokens("outline") - estimate_tokens(F.lit(opening)) - estimate_tokens(F.lit(END)))
-    who = F.when(F.col("turn") & (F.coalesce("speaker", F.lit("")) != ""), F.concat(F.lit(" "), label("speaker"), F.lit(":"))).otherwise("")
-    entry = F.concat(F.lit("["), format_timestamp("start"), F.lit("]"), who, F.lit(" "), body("text"))
-    rows = passages.select("*", entry.alias("entry")).withColumn("cost", estimate_tokens("entry")).join(top.select("source_id", "room"), "source_id")
-    rows = admitted(rows, F.col("room"))
+    rows = rows.join(top.select("source_id", "room"), "source_id").withColumn("kept", F.col("spent") <= F.col("room"))
     heading = F.row_number().over(W.partitionBy("source_id", "section_idx").orderBy("passage_idx")) == 1
     kept = rows.where("kept").join(sections.select("source_id", "section_idx", F.col("title").alias("st")), ["source_id", "section_idx"])
     kept = kept.withColumn("entry", F.concat(F.when(heading & (F.coalesce("st", F.lit("")) != ""), F.concat(F.lit("### "), label("st"), F.lit("\n\n"))).otherwise(""), F.col("entry")))
