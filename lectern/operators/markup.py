@@ -79,8 +79,8 @@ def realign(words: Column, before: Column, after: Column) -> Column:
     return let(tokens(before), kept)
 
 
-def consume_markup(cues: DataFrame) -> DataFrame:
-    """Cues with text freed of markup, and speaker and turn filled; cues without text go.
+def consume_markup(cues: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Cues with text freed of markup, and speaker and turn filled, and with the columns to keep; cues without text go.
 
     Speakers are filled before empty cues are dropped: a cue that is only a name names
     those after it, while its turn goes with it. A mark for unheard words alone goes if
@@ -95,4 +95,4 @@ def consume_markup(cues: DataFrame) -> DataFrame:
     pieces = pieces.withColumn("kept", realign(F.col("words"), F.col("text"), F.col("new")))
     moved = (F.size("kept") > 0) & (F.size("kept") < F.size("words"))
     at = F.when(moved, F.least(F.greatest(F.get(F.col("kept"), F.lit(0))["start"], F.col("start")), end)).otherwise(F.col("start"))
-    return pieces.select(*TRACK, *order, F.col("new").alias("text"), at.alias("start"), F.greatest(end - at, F.lit(0.0)).alias("duration"), F.col("kept").alias("words"), "speaker", (F.col("r.turn") | F.col("turn")).alias("turn"))
+    return pieces.select(*TRACK, *order, F.col("new").alias("text"), at.alias("start"), F.greatest(end - at, F.lit(0.0)).alias("duration"), F.col("kept").alias("words"), "speaker", (F.col("r.turn") | F.col("turn")).alias("turn"), *(keep or []))

@@ -15,7 +15,8 @@ from lectern.functions.text import n_tokens
 from lectern.operators import TRACK
 from lectern.operators.dedupe import dedupe_rolling_window
 from lectern.operators.markup import consume_markup
-from lectern.operators.sentences import ends_sentence, punctuated, split_at_sentences
+from lectern.operators.sentences import cut_at, ends_sentence, punctuated, sentence_cuts
+from lectern.operators.words import packed, unpacked
 from lectern.sources.shared import cut, workers_see_package
 
 WORD_TAIL, GAP, TARGET, MOST = 1.0, 1.0, 90, 250
@@ -323,11 +324,10 @@ def fold(cues: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def reflow(cues: DataFrame, policy: DataFrame) -> DataFrame:
     """Cues and their tracks' policy(dedupe, punctuated) -> passages. Stages run in this order on the tracks that want them."""
-    own = cues.join(policy, TRACK)
     names = cues.columns
-    deduped = dedupe_rolling_window(own.where("dedupe").select(*names)).union(own.where("not dedupe").select(*names))
-    own = deduped.join(policy.select(*TRACK, "punctuated"), TRACK)
-    split = split_at_sentences(own.where("punctuated")).unionByName(own.where("not punctuated").withColumn("piece_idx", F.lit(0)))
-    freed = consume_markup(split.drop("punctuated")).join(policy.select(*TRACK, "punctuated"), TRACK)
-    keys = [*TRACK, "cue_idx", "piece_idx", "turn_idx"]
-    return passages_of(freed.join(paragraph_runs(freed), keys), ["seg", "run"])
+    slim = cues.withColumn("p", packed(F.col("words"), F.col("text"))).select(*[c for c in names if c != "words"], "p.*")
+    own = slim.join(policy.select(*TRACK, "dedupe", "punctuated"), TRACK).withColumn("words", unpacked(F.col("starts"), F.col("loose"), F.col("text")))
+    deduped = dedupe_rolling_window(own.where("dedupe").select(*names)).join(policy.select(*TRACK, "punctuated"), TRACK)
+    own = own.where("not dedupe").select(*names, "punctuated").unionByName(deduped.select(*names, "punctuated"))
+    split = cut_at(own, F.when(F.col("punctuated"), sentence_cuts("text")).otherwise(F.array().cast("array<int>")))
+    return fold(consume_markup(split, ["punctuated"]))
