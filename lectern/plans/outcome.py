@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import FALLBACK_STEM, sanitise
 from lectern.functions.web import redact
+from lectern.sources import files
 from lectern.sources.documents import write_documents
 from lectern.sources.shared import cut
 from lectern.sources.store import there
@@ -92,6 +93,8 @@ def existing_files(spark: SparkSession, folder: str) -> DataFrame:
     """name, hash of the files of a folder of any file system."""
     if not there(spark, folder):
         return spark.createDataFrame([], "name string, hash string")
+    if files.dealt_out(spark, folder):
+        return files.dealt_listing(spark, folder, hashed=True).select("name", "hash")
     return spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("hash"))
 
 

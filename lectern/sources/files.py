@@ -6,25 +6,74 @@ Listing reads no payload: ``content`` is pruned from the scan.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.languages import FORMATS, UNKNOWN, looks_like_language, primary_subtag
 from lectern.operators.parse import MAX_PAYLOAD
-from lectern.sources.captions import payloads_of
-from lectern.sources.stores import reachable
+from lectern.sources.captions import payloads_of, share_of
+from lectern.sources.shared import hadoop, workers_see_package
+from lectern.sources.store import there
+from lectern.sources.stores import open_store, reachable
 
+#: Names that a task hands on at once.
+BATCH = 10_000
 #: Parts of a file name that tell a track's tier.
 TIER_MARKERS = {"manual": "manual", "human": "manual", "auto": "asr_platform", "asr": "asr_platform", "whisper": "asr_local", "transcribed": "asr_local", "translated": "translated"}
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, length of the files of one folder, not of those below it."""
+    if dealt_out(spark, folder):
+        return dealt_listing(spark, folder).select("path", "name", "length")
     files = spark.read.format("binaryFile").load(folder)
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), "length")
 
 
+def dealt_out(spark: SparkSession, folder: str) -> bool:
+    """Whether tasks can list a folder: it is one, no pattern, is there, and they reach it."""
+    return reachable(folder) and not re.search(r"[*?\[{]", folder) and there(spark, folder)
+
+
+def dealt_listing(spark: SparkSession, folder: str, hashed: bool = False) -> DataFrame:
+    """path, name, length, hash (null unless asked for) of a folder's files but those that Spark takes for hidden.
+
+    Each task lists the folder for itself and keeps its share by the names' hash, so the
+    driver holds no list of files, as it does for Spark's own reader.
+    """
+    workers_see_package(spark)
+    slices = spark.sparkContext.defaultParallelism
+    at, fs = hadoop(spark, folder)
+    base = fs.makeQualified(at).toString().rstrip("/")
+    kinds = {"path": pa.string(), "name": pa.string(), "length": pa.int64(), "hash": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = open_store(folder)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
+
+        for part in batches:
+            for k in part.column("id").to_pylist():
+                rows = []
+                for name, length in store.each():
+                    if name[0] in "._" or share_of(name, slices) != k:
+                        continue
+                    rows.append((f"{base}/{name}", name, length, store.sha256(store.at(name)) if hashed else None))
+                    if len(rows) == BATCH:
+                        yield batch(rows)
+                        rows = []
+                if rows:
+                    yield batch(rows)
+
+    return spark.range(0, slices, 1, slices).mapInArrow(run, "path string, name string, length long, hash string")
+
+
 def describe(name: Column) -> Column:
     """struct<stem, tier, language, caption_format> of a file name; null if it is no caption."""
     parts = F.split(name, r"\.")

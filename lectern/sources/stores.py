@@ -6,10 +6,12 @@ under another name, on the disk, before it takes its own.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs as pafs
@@ -45,6 +47,16 @@ class Store:
         found = self.fs.get_file_info(pafs.FileSelector(folder or self.root, allow_not_found=True))
         return sorted((f.base_name, f.size) for f in found if f.type == pafs.FileType.File)
 
+    def each(self) -> Iterator[tuple[str, int]]:
+        """(name, length) of the folder's files in any order; a mounted folder's are not held in memory."""
+        if not self.local:
+            yield from self.names()
+            return
+        with os.scandir(self.root) as found:
+            for f in found:
+                if f.is_file():
+                    yield f.name, f.stat().st_size
+
     def folders(self, folder: str) -> list[str]:
         found = self.fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
         return sorted(f.path for f in found if f.type == pafs.FileType.Directory)
@@ -63,6 +75,14 @@ class Store:
                 parts.append(chunk)
         return b"".join(parts)
 
+    def sha256(self, path: str) -> str:
+        """Of a file's bytes, read in chunks."""
+        told = hashlib.sha256()
+        with self.fs.open_input_stream(path) as f:
+            while chunk := f.read(CHUNK):
+                told.update(chunk)
+        return told.hexdigest()
+
     def write(self, path: str, data: bytes) -> None:
         """A new file, forced to the disk where it is a mounted one."""
         self.fs.create_dir(os.path.dirname(path))
