@@ -71,10 +71,16 @@ def _titled(passages: DataFrame, sections: DataFrame, name: str) -> DataFrame:
 def records(lectures: DataFrame, sections: DataFrame, passages: DataFrame) -> DataFrame:
     """The record of each passage as columns, ready for write.json or to_json."""
     rows = _titled(passages, sections, "section").join(lectures.select("source_id", "title", "channel", F.col("url").alias("base"), "tier", "language"), "source_id")
-    return rows.select(
-        F.concat("source_id", F.lit(":"), F.col("passage_idx").cast("string")).alias("id"), "source_id", "title", "channel", "section", "speaker", "turn", "text", "start", "end",
-        format_timestamp("start").alias("timestamp"), safe_url(link_at("base", "start")).alias("url"), "tier", "language", "passage_idx",
-    )
+    return rows.select(*_record(F.col), "passage_idx")
+
+
+def _record(of) -> list[Column]:
+    """A record's fields; of: a passage's column by its name."""
+    said = [of(c).alias(c) for c in ("section", "speaker", "turn", "text", "start", "end")]
+    return [
+        F.concat("source_id", F.lit(":"), of("passage_idx").cast("string")).alias("id"), F.col("source_id"), F.col("title"), F.col("channel"), *said,
+        format_timestamp(of("start")).alias("timestamp"), safe_url(link_at("base", of("start"))).alias("url"), F.col("tier"), F.col("language"),
+    ]
 
 
 def jsonl(lectures: DataFrame, sections: DataFrame, passages: DataFrame) -> DataFrame:
@@ -83,6 +89,12 @@ def jsonl(lectures: DataFrame, sections: DataFrame, passages: DataFrame) -> Data
     return in_order(rows.select("source_id", "passage_idx", line.alias("line")), ["passage_idx"], "line", "\n")
 
 
+def jsonl_of_rows(lectures: DataFrame) -> DataFrame:
+    """jsonl for lectures that hold their passages, as lectern.operators.whole makes them: lines are put together in their row."""
+    line = lambda p: F.to_json(F.struct(*_record(lambda c: p[c])), {"ignoreNullFields": "false"})
+    return lectures.withColumnRenamed("url", "base").select("source_id", F.array_join(F.transform("passages", line), "\n").alias("text"))
+
+
 def annotate(rows: DataFrame, corrections: DataFrame, text: str, out: str, escape=body, resume=body_resumed) -> DataFrame:
     """Adds ``out``: the text, escaped, with `` [right]`` after each misspelling that it has.
 
