@@ -14,7 +14,6 @@ by sorting all windows of 8 bytes.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from functools import lru_cache
 
@@ -44,6 +43,9 @@ def _reversed(bits: int) -> np.ndarray:
     return out
 
 
+_BACKWARDS = _reversed(7).tolist()
+
+
 def _blocks(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
@@ -60,11 +62,11 @@ class Prefix:
         if not len(symbols):
             raise ValueError("a prefix code without symbols")
         if len(symbols) == 1:
-            self.bits, self.only, self.table = 0, int(symbols[0]), np.array([symbols[0] << 4], np.uint16)
+            self.bits, self.only, self.top, self.table = 0, int(symbols[0]), int(symbols[0]), np.array([symbols[0] << 4], np.uint16)
         else:
             order = lengths.argsort(kind="stable")
             lengths = lengths[order]
-            self.bits, self.only = int(lengths[-1]), None
+            self.bits, self.only, self.top = int(lengths[-1]), None, int(symbols[-1])  # symbols come in order
             spans = 1 << (self.bits - lengths)
             if int(spans.sum()) != 1 << self.bits:
                 raise ValueError("a prefix code that is not complete")
@@ -72,6 +74,11 @@ class Prefix:
         self.mask = (1 << self.bits) - 1
 
 
+@lru_cache(1024)
+def _alone(symbol: int) -> Prefix:
+    return Prefix(np.array([symbol]), np.ones(1, np.int64))
+
+
 class Bits:
     """The bits of a file, least significant first."""
 
@@ -114,11 +121,12 @@ class Bits:
 
 def _read_code(bits: Bits, size: int) -> Prefix:
     if bits.take(1):
-        two, wide = bits.take(1), bits.take(1)
+        head = bits.take(2)
+        two, wide = head & 1, head >> 1
         symbols = sorted({bits.take(8 if wide else 1), *([bits.take(8)] if two else [])})
         if symbols[-1] >= size:
             raise ValueError("a symbol beyond its alphabet")
-        return Prefix(np.array(symbols), np.ones(len(symbols), np.int64))
+        return Prefix(np.array(symbols), np.ones(2, np.int64)) if len(symbols) > 1 else _alone(symbols[0])
     inner = [0] * len(LENGTH_ORDER)
     for k in LENGTH_ORDER[: 4 + bits.take(4)]:
         inner[k] = bits.take(3)
@@ -127,12 +135,14 @@ def _read_code(bits: Bits, size: int) -> Prefix:
     table, mask = code.table.tolist(), code.mask
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
     symbols, lengths, symbol, before = [], [], 0, 8
-    data, at = bits.data, bits.at
+    data, at, word, have = bits.data, bits.at, 0, 0
     while symbol < size and left:
         left -= 1
-        word = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        if have < 14:  # the longest token: 7 bits and as many extra ones
+            word, have = int.from_bytes(data[at >> 3 : (at >> 3) + 24], "little") >> (at & 7), 192 - (at & 7)
         found = table[word & mask]
-        at += found & 15
+        used = found & 15
+        at, have, word = at + used, have - used, word >> used
         kind = found >> 4
         if kind < 16:
             if kind:
@@ -142,8 +152,8 @@ def _read_code(bits: Bits, size: int) -> Prefix:
             symbol += 1
             continue
         extra, least = ((2, 3), (3, 3), (7, 11))[kind - 16]
-        run = least + ((word >> (found & 15)) & ((1 << extra) - 1))
-        at += extra
+        run = least + (word & ((1 << extra) - 1))
+        at, have, word = at + extra, have - extra, word >> extra
         if symbol + run > size:
             raise ValueError("code lengths beyond the alphabet")
         if kind == 16:
@@ -183,6 +193,30 @@ def _walk(bits: Bits, groups: list[list[Prefix]], which: np.ndarray | None, n: i
     return tuple(np.array(x, np.int64) for x in zip(*out))
 
 
+def _chain(steps: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the places that steps lead through from 0 on, the first place beyond them all).
+
+    What 2, 4, ... steps come to from each place is known before any is made, as long as a byte holds it.
+    """
+    size = len(steps)
+    at = np.arange(size)
+    jumps = [np.concatenate([steps, np.zeros(256, np.uint8)])]
+    while len(jumps) < 5 and jumps[-1].max() < 128:
+        last, more = jumps[-1], np.zeros(size + 256, np.uint8)
+        np.add(last[:size], last.take(at + last[:size]), out=more[:size])
+        jumps.append(more)
+    leap, now, found = jumps.pop().tobytes(), 0, []
+    put = found.append
+    while now < size:
+        put(now)
+        now += leap[now]
+    places = np.fromiter(found, np.int64, len(found))[:, None]
+    for jump in reversed(jumps):
+        places = np.stack([places, places + jump.take(places)], axis=2).reshape(len(found), -1)
+    places = places.ravel()
+    return places[: int(places.searchsorted(size))], now
+
+
 def _leap(bits: Bits, codes: list[Prefix], n: int) -> tuple[np.ndarray, ...]:
     """As _walk for one group: the size of the token that would start at each bit is known before one is read."""
     green, red, blue, alpha, far = codes
@@ -203,7 +237,7 @@ def _leap(bits: Bits, codes: list[Prefix], n: int) -> tuple[np.ndarray, ...]:
         at, code = bits.numbers(at + (found & 15), found >> 4)
         return at, length, code
 
-    plain = not (red.bits or blue.bits or alpha.bits)
+    plain, copied = not (red.bits or blue.bits or alpha.bits), green.top >= LITERALS
     short = np.ndarray((len(bits.data) - 3,), "<u4", bits.data, strides=(1,))
     parts, got = [], 0
     while got < n:
@@ -216,18 +250,23 @@ def _leap(bits: Bits, codes: list[Prefix], n: int) -> tuple[np.ndarray, ...]:
         if not plain:
             lit = np.flatnonzero(found < LITERALS << 4)
             steps[lit] = literal(base + lit + steps[lit], found[lit] >> 4)[0] - base - lit
-        far_ones = np.flatnonzero((found >= LITERALS << 4) & (found < LITERALS + LENGTHS << 4))
+        far_ones = np.flatnonzero((found >= LITERALS << 4) & (found < LITERALS + LENGTHS << 4)) if copied else ()
         if len(far_ones):
             steps[far_ones] = copy(base + far_ones + steps[far_ones], found[far_ones] >> 4)[0] - base - far_ones
-        step, at, hits = steps.tobytes(), bits.at - base, []
-        put = hits.append
-        while at < size:
-            put(at)
-            at += step[at]
-        bits.at = base + at
-        hits = np.array(hits, np.int64)
+        skip = bits.at - base
+        hits, at = _chain(steps[skip:])
+        hits += skip
+        bits.at = base + skip + at
         e = found[hits]
         g = (e >> 4).astype(np.int64)
+        if plain and not copied:  # each token is a pixel
+            if len(g) >= n - got:
+                stop = n - got
+                bits.at = base + int(hits[stop]) if stop < len(hits) else bits.at
+                g = g[:stop]
+            parts.append((g, g << 8 | (alpha.only << 24 | red.only << 16 | blue.only), None, None))
+            got += len(g)
+            continue
         after = base + hits + (e & 15)
         colour, length, code = np.zeros(len(hits), np.int64), np.ones(len(hits), np.int64), np.zeros(len(hits), np.int64)
         if plain:
@@ -245,7 +284,7 @@ def _leap(bits: Bits, codes: list[Prefix], n: int) -> tuple[np.ndarray, ...]:
             g, colour, length, code = (x[:stop] for x in (g, colour, length, code))
         parts.append((g, colour, length, code))
         got = int(ends[-1])
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    return tuple(np.concatenate(x) if x[0] is not None else None for x in zip(*parts))
 
 
 def _slot(colour: np.ndarray, cache_bits: int) -> np.ndarray:
@@ -255,6 +294,8 @@ def _slot(colour: np.ndarray, cache_bits: int) -> np.ndarray:
 def _fill(tokens: tuple[np.ndarray, ...], n: int, width: int, cache_bits: int) -> np.ndarray:
     """Pixels from tokens: literals at once, then copies in order, or all in order where there is a cache."""
     g, colour, length, code = tokens
+    if length is None:  # literals only
+        return colour.astype(np.uint32)
     starts = np.cumsum(length) - length
     if starts[-1] + length[-1] != n:
         raise ValueError("a copy beyond the image")
@@ -498,15 +539,16 @@ class _Out:
         self.some[1].append(size)
 
     def all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values += [np.array(self.some[0], np.uint64), values.astype(np.uint64)]
-        self.sizes += [np.array(self.some[1], np.int64), sizes.astype(np.int64)]
+        self.values += [np.array(self.some[0], np.uint64), values.view(np.uint64)]
+        self.sizes += [np.array(self.some[1], np.int64), sizes]
         self.some = ([], [])
 
     def bytes(self) -> bytes:
-        self.all(np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.all(np.empty(0, np.int64), np.empty(0, np.int64))
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        keep = sizes > 0
-        values, sizes = values[keep], sizes[keep]
+        if not sizes.all():
+            keep = sizes > 0
+            values, sizes = values[keep], sizes[keep]
         ends = np.cumsum(sizes)
         starts = ends - sizes
         word, shift = starts >> 6, (starts & 63).astype(np.uint64)
@@ -525,15 +567,24 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     if len(used) < 2:
         out[used if len(used) else [0]] = 1
         return out
-    weights, n = counts[used].tolist(), len(used)
+    weights, n, none = counts[used].tolist(), len(used), 1 << 63
     while True:
-        heap = sorted(max(w, least) << 20 | i for i, w in enumerate(weights))
-        up = [0] * (2 * n - 1)
+        leaves = sorted([max(w, least) << 20 | i for i, w in enumerate(weights)]) + [none, none]
+        made = [none] * (n + 1)  # nodes, which come to be in order of weight
+        up, leaf, at = [0] * (2 * n - 1), 0, 0
         for node in range(n, 2 * n - 1):
-            a = heapq.heappop(heap)
-            b = heap[0]
+            a, b = leaves[leaf], made[at]
+            if a < b:
+                leaf += 1
+            else:
+                a, at = b, at + 1
+            b, c = leaves[leaf], made[at]
+            if b < c:
+                leaf += 1
+            else:
+                b, at = c, at + 1
             up[a & 0xFFFFF] = up[b & 0xFFFFF] = node
-            heapq.heapreplace(heap, ((a >> 20) + (b >> 20)) << 20 | node)
+            made[node - n] = ((a >> 20) + (b >> 20)) << 20 | node
         depth = up
         depth[-1] = 0
         for i in range(2 * n - 3, -1, -1):
@@ -557,18 +608,34 @@ def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, sizes
 
 
+def _few_codes(lengths: list[int]) -> tuple[list[int], list[int]]:
+    """_codes for few symbols and at most 7 bits."""
+    values, sizes, code, before = [0] * len(lengths), [0] * len(lengths), 0, 0
+    order = sorted([n << 8 | s for s, n in enumerate(lengths) if n])
+    for x in order if len(order) > 1 else ():
+        n, s = x >> 8, x & 255
+        code <<= n - before
+        values[s], sizes[s], before = _BACKWARDS[code] >> (7 - n), n, n
+        code += 1
+    return values, sizes
+
+
+def _write_few(out: _Out, first: int, *second: int) -> None:
+    """The code of one symbol or two, in order."""
+    wide = int(first > 1)
+    out.some[0].extend((1, len(second), wide, first, *second))
+    out.some[1].extend((1, 1, 1, 8 if wide else 1, *[8 for _ in second]))
+
+
 def _write_code(out: _Out, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and used[-1] < LITERALS:
-        first, *second = used.tolist()
-        wide = int(first > 1)
-        out.some[0].extend((1, len(second), wide, first, *second))
-        out.some[1].extend((1, 1, 1, 8 if wide else 1, *[8 for _ in second]))
+        _write_few(out, *used.tolist())
         return
     edges = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
-    starts = [0, *edges.tolist()]
+    starts = np.concatenate([[0], edges])
     symbols, extras, before = [], [], 8  # of the code for lengths; an extra is (value, bits)
-    for value, n in zip(lengths[starts].tolist(), np.diff(starts, append=len(lengths)).tolist()):
+    for value, n in zip(lengths[starts].tolist(), _gaps(starts, len(lengths)).tolist()):
         if value and value != before:
             symbols.append(value)
             extras.append((0, 0))
@@ -580,13 +647,11 @@ def _write_code(out: _Out, lengths: np.ndarray) -> None:
             n -= k
         symbols += [value] * n
         extras += [(0, 0)] * n
-    inner = code_lengths(np.bincount(symbols, minlength=len(LENGTH_ORDER)), 7)
+    inner = code_lengths(np.bincount(symbols, minlength=len(LENGTH_ORDER)), 7).tolist()
     n = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if inner[s]))
-    values, sizes = (x.tolist() for x in _codes(inner))
-    own = [(0, 1), (n - 4, 4), *zip(inner[list(LENGTH_ORDER[:n])].tolist(), [3] * n), (0, 1)]
-    own += [x for s, extra in zip(symbols, extras) for x in ((values[s], sizes[s]), extra)]
-    for k in (0, 1):
-        out.some[k].extend([x[k] for x in own])
+    values, sizes = _few_codes(inner)
+    out.some[0].extend([0, n - 4, *[inner[s] for s in LENGTH_ORDER[:n]], 0, *[values[s] | extra << sizes[s] for s, (extra, _) in zip(symbols, extras)]])
+    out.some[1].extend([1, 4, *[3] * n, 1, *[sizes[s] + bits for s, (_, bits) in zip(symbols, extras)]])
 
 
 def _prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -607,6 +672,11 @@ def _near(width: int) -> np.ndarray:
     return out
 
 
+def _gaps(x: np.ndarray, end: int) -> np.ndarray:
+    """From each number to the next, and from the last to end."""
+    return np.concatenate([x[1:], [end]]) - x
+
+
 def copies_of(p: np.ndarray, at: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
     """Rows of start, length, distance of copies apart from each other, of ``least`` pixels or more.
 
@@ -621,8 +691,11 @@ def copies_of(p: np.ndarray, at: np.ndarray, keys: np.ndarray, least: int) -> np
     back = np.zeros(len(at), np.int64)
     back[order[same + 1]] = at[order[same + 1]] - at[order[same]]
     back[back > FARTHEST] = 0
+    gaps = _gaps(at, len(p))
+    if 16 * gaps[back > 0].sum() < len(p):  # more than these places cannot be copied
+        return none
     d = np.zeros(len(p), np.int64)
-    d[at[0] :] = back.repeat(np.diff(at, append=len(p)))
+    d[at[0] :] = back.repeat(gaps)
     d *= p == p[np.arange(len(p)) - d]
     edges = np.flatnonzero(d[1:] != d[:-1]) + 1
     starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(p)]])
@@ -686,9 +759,11 @@ def _write_pixels(out: _Out, image: np.ndarray, main: bool, cache_bits: int = 0,
         green_of[tokens] = LITERALS + fields[0][0]
     # a token's green symbol, then three more fields: of all where more than green changes, else of copies
     if still:
-        ahead = np.zeros(len(p_token) + 1, np.int64)
-        ahead[tokens + 1] = 3
-        place = np.arange(len(p_token)) + ahead.cumsum()[:-1]
+        place = np.arange(len(p_token))
+        if len(found):
+            ahead = np.zeros(len(p_token) + 1, np.int64)
+            ahead[tokens + 1] = 3
+            place += ahead.cumsum()[:-1]
         plain = place[:0]
         others = [np.array([p[0] >> _U(shift) & _U(255)], np.int64) for shift in (16, 0, 24)]
     else:
@@ -698,17 +773,21 @@ def _write_pixels(out: _Out, image: np.ndarray, main: bool, cache_bits: int = 0,
     values, sizes = (np.zeros((4 if not still else 1) * len(p_token) + 3 * len(tokens) * still, np.int64) for _ in range(2))
     alphabet = LITERALS + LENGTHS + ((1 << cache_bits) if cache_bits else 0)
 
-    def write(symbols: np.ndarray, size: int, into: np.ndarray) -> None:
+    def write(symbols: np.ndarray, size: int, into: np.ndarray | slice) -> None:
+        only = int(symbols[0]) if len(symbols) == 1 else LITERALS if len(symbols) else 0
+        if only < LITERALS:
+            _write_few(out, only)
+            return
         lengths = code_lengths(np.bincount(symbols, minlength=size), 15)
         _write_code(out, lengths)
         if np.count_nonzero(lengths) > 1:
             code, long = _codes(lengths)
-            values[into], sizes[into] = code[symbols], long[symbols]
+            values[into], sizes[into] = code.take(symbols), long.take(symbols)
 
     group = which if which is None or at_token is None else which[at_token]
     for k in range(n_groups):
         every, lit, far = (slice(None), slice(None), slice(None)) if group is None else (group == k, slice(None) if still else group[plain] == k, group[tokens] == k)
-        write(green_of[every], alphabet, place[every])
+        write(green_of[every], alphabet, every if still and not len(found) else place[every])
         for field, x in enumerate(others, 1):
             write(x[lit], LITERALS, place[plain][lit] + field)
         write(fields[1][0][far] if len(found) else tokens, DISTANCES, place[tokens][far] + 2)
@@ -741,7 +820,8 @@ def encode(
     out = _Out()
     for value, size in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (int((p >> _U(24) != 255).any()), 1), (0, 3)):
         out.put(value, size)
-    table = np.unique(p) if palette else ()
+    some = palette and len(np.unique(p.ravel()[:256])) <= 16
+    table = np.unique(p) if some else ()
     if 0 < len(table) <= 16:
         bundle = _bundle_bits(len(table))
         out.put(1, 1)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -74,6 +75,46 @@ def test_leaping_and_walking_read_the_same(some, n, cache_bits, seed):
     assert (walked == webp.decode(data)).all() and (walked == p).all()
 
 
+@given(st.integers(1, 400), st.sampled_from([1, 8, 15, 60, 127]), st.integers(0, 2**30))
+@settings(max_examples=60, deadline=None)
+def test_chains_are_single_steps(size, most, seed):
+    steps = np.random.default_rng(seed).integers(1, most + 1, size).astype(np.uint8)
+    at, walked = 0, []
+    while at < size:
+        walked.append(at)
+        at += int(steps[at])
+    places, end = webp._chain(steps)
+    assert places.tolist() == walked and end >= size
+    assert all(0 < b - a <= 256 * most for a, b in zip(walked[-1:], [end]))
+
+
+def calls_in(f) -> int:
+    """How many calls, of Python and of C, f makes."""
+    made = [0]
+
+    def count(frame, event, arg):
+        made[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return made[0]
+
+
+def test_reading_makes_far_fewer_calls_than_tokens():
+    """op11: a text's tokens are not gone through one by one, and a code of one symbol is written without counting."""
+    text = " ".join(R.choice("abcdefghijklmnopqrstuvwxyz") * R.randint(1, 3) + str(R.randint(0, 999)) for _ in range(2000)).encode()
+    own = media.payload_of(text)
+    kept = media.stored(own)
+    assert media.read(kept) == own
+    assert calls_in(lambda: media.read(kept)) < len(own) / 4
+    short = media.payload_of(text[:600])
+    media.stored(short)
+    assert calls_in(lambda: media.stored(short)) < 560
+
+
 def _set(out, *pairs):
     for value, size in pairs:
         out.put(value, size)
