@@ -90,12 +90,12 @@ def plan_outputs(documents: DataFrame, existing: DataFrame, overwrite: bool = Fa
 
 
 def existing_files(spark: SparkSession, folder: str) -> DataFrame:
-    """name, hash of the files of a folder of any file system."""
+    """name, hash, length of the files of a folder of any file system; joins with it are merges, however small the plan takes it for."""
     if not there(spark, folder):
-        return spark.createDataFrame([], "name string, hash string")
+        return spark.createDataFrame([], "name string, hash string, length long")
     if files.dealt_out(spark, folder):
-        return files.dealt_listing(spark, folder, hashed=True).select("name", "hash")
-    return spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("hash"))
+        return files.dealt_listing(spark, folder, hashed=True).select("name", "hash", "length").hint("merge")
+    return spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("hash"), "length").hint("merge")
 
 
 def write_outputs(planned: DataFrame, folder: str, overwrite: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from lectern.sources.shared import workers_see_package
-from lectern.sources.stores import open_store, unique
+from lectern.sources.stores import Store, open_store, unique
 
 WRITING = "_writing-"
 
@@ -77,12 +77,25 @@ class DocumentWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store = open_store(self.path)
         for message in messages:
-            for name, _ in store.names(message.folder) if message and message.files else ():
-                store.move(f"{message.folder}/{name}", store.at(name), self.exclusive)
-        store.drop(store.at(self.job))
+            named = 0
+            # a folder that is read while files leave it may pass over some: it is read again until all are named
+            while message and named < message.files:
+                before = named
+                for name, _ in store.each(message.folder):
+                    if not store.move(f"{message.folder}/{name}", store.at(name), self.exclusive):
+                        store.remove(f"{message.folder}/{name}")
+                    named += 1
+                if named == before:
+                    raise OSError(f"{message.folder} holds {named} of {message.files} files")
+        self._leave(store)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store = open_store(self.path)
+        self._leave(open_store(self.path))
+
+    def _leave(self, store: Store) -> None:
+        """The job's folder goes, one task's files after another's."""
+        for folder in store.folders(store.at(self.job)):
+            store.drop(folder)
         store.drop(store.at(self.job))
 
 

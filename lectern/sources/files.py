@@ -44,7 +44,8 @@ def dealt_listing(spark: SparkSession, folder: str, hashed: bool = False) -> Dat
     """path, name, length, hash (null unless asked for) of a folder's files but those that Spark takes for hidden.
 
     Each task lists the folder for itself and keeps its share by the names' hash, so the
-    driver holds no list of files, as it does for Spark's own reader.
+    driver holds no list of files, as it does for Spark's own reader. The planner takes the
+    listing for as small as the numbers it is made from: join it with a hint, or it is broadcast.
     """
     workers_see_package(spark)
     slices = spark.sparkContext.defaultParallelism
@@ -61,9 +62,7 @@ def dealt_listing(spark: SparkSession, folder: str, hashed: bool = False) -> Dat
         for part in batches:
             for k in part.column("id").to_pylist():
                 rows = []
-                for name, length in store.each():
-                    if name[0] in "._" or share_of(name, slices) != k:
-                        continue
+                for name, length in store.each(wanted=lambda name: name[0] not in "._" and share_of(name, slices) == k):
                     rows.append((f"{base}/{name}", name, length, store.sha256(store.at(name)) if hashed else None))
                     if len(rows) == BATCH:
                         yield batch(rows)

@@ -31,7 +31,16 @@ def there(spark: SparkSession, folder: str | None) -> bool:
     if not folder:
         return False
     at, fs = hadoop(spark, folder)
-    return fs.exists(at) and len(fs.listStatus(at)) > 0
+    if not fs.exists(at):
+        return False
+    if fs.makeQualified(at).toUri().getScheme() != "file":
+        return fs.listStatusIterator(at).hasNext()
+    # of a mounted folder the JVM would hold a status of every file
+    path = at.toUri().getPath()
+    if not os.path.isdir(path):
+        return True
+    with os.scandir(path) as found:
+        return next(found, None) is not None
 
 
 def write(values: DataFrame, folder: str | None, *key: str) -> None:

@@ -11,7 +11,7 @@ import os
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs as pafs
@@ -47,14 +47,14 @@ class Store:
         found = self.fs.get_file_info(pafs.FileSelector(folder or self.root, allow_not_found=True))
         return sorted((f.base_name, f.size) for f in found if f.type == pafs.FileType.File)
 
-    def each(self) -> Iterator[tuple[str, int]]:
-        """(name, length) of the folder's files in any order; a mounted folder's are not held in memory."""
+    def each(self, folder: str | None = None, wanted: Callable[[str], bool] = lambda name: True) -> Iterator[tuple[str, int]]:
+        """(name, length) of a folder's files whose names are wanted, in any order; a mounted folder's are not held in memory."""
         if not self.local:
-            yield from self.names()
+            yield from ((name, length) for name, length in self.names(folder) if wanted(name))
             return
-        with os.scandir(self.root) as found:
+        with os.scandir(folder or self.root) as found:
             for f in found:
-                if f.is_file():
+                if wanted(f.name) and f.is_file():
                     yield f.name, f.stat().st_size
 
     def folders(self, folder: str) -> list[str]:
@@ -120,6 +120,9 @@ class Store:
                 time.sleep(WAIT * 2**k)
         return True
 
+    def remove(self, path: str) -> None:
+        self.fs.delete_file(path)
+
     def drop(self, folder: str) -> None:
         if self.exists(folder):
             self.fs.delete_dir(folder)
